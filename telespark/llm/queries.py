@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import langid, quality, toxicity
+from telespark.llm import langid, mixing, packing, quality, tokens, toxicity
 from telespark.llm.common import held_out, table
 
 
@@ -17,6 +17,20 @@ def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> D
     return docs.where(~held_out("doc_id")).select("doc_id", "text").join(marks.where(F.col("label").isNotNull()), "doc_id")
 
 
+def mixable(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """Adds size, tie and quality: twice the usual weight for documents labelled good, half of it for those labelled bad."""
+    marks = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_mark_id")).agg(F.max("quality").alias("_mark"))
+    weight = F.when(F.col("_mark") == 1, 2.0).when(F.col("_mark") == 0, 0.5).otherwise(1.0)
+    sized = docs.withColumns({"size": mixing.words("text"), "tie": F.xxhash64("text")})
+    return sized.join(marks, F.col("doc_id") == F.col("_mark_id"), "left").withColumn("quality", weight).drop("_mark_id", "_mark")
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    slim = mixable(spark, sf_dir, docs).drop("text")
+    return mixing.mix(slim).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.fit(labelled(spark, sf_dir, docs, "quality"), "label")
@@ -24,6 +38,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.new_path(spark, "tokens")
+    tokens.write_orc(table(spark, sf_dir, "documents"), path, tokenizer=tokens.default_tokenizer())
+    parts = tokens.digest(tokens.read_orc(spark, path))
+    return tokens.with_starts(parts).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.digest(packing.pack(docs, tokenizer=tokens.default_tokenizer()))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     features, weights = toxicity.fit(labelled(spark, sf_dir, docs, "toxic"), "label")
@@ -38,7 +64,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": op1_mix,
     "op3_quality": op3_quality,
+    "op4_tokens": op4_tokens,
+    "op7_pack": op7_pack,
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
 }
