@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import langid, mixing, packing, quality, tokens, toxicity
+from telespark.llm import langid, minhash, mixing, packing, quality, tokens, toxicity
 from telespark.llm.common import held_out, table
 
 
@@ -45,6 +45,10 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_starts(parts).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.digest(packing.pack(docs, tokenizer=tokens.default_tokenizer()))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op3_quality": op3_quality,
     "op4_tokens": op4_tokens,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_pack": op7_pack,
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
