@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import langid, minhash, mixing, packing, quality, tokens, toxicity
+from telespark.llm import ann, langid, minhash, mixing, packing, quality, tokens, toxicity
 from telespark.llm.common import held_out, table
 
 
@@ -31,6 +31,16 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(slim).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("vector"))
+    sizes = given.where(F.size("vector") > 0).groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    rows = given.where(ann.usable("vector", sizes[0]["dim"] if sizes else 0))
+    if rows.isEmpty():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    queries = rows.where(F.col("id") % 20 == 0).groupBy("id").agg(F.min("vector").alias("vector"))
+    return ann.search(rows, queries)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.fit(labelled(spark, sf_dir, docs, "quality"), "label")
@@ -69,6 +79,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_multi_index": op2_multi_index,
     "op3_quality": op3_quality,
     "op4_tokens": op4_tokens,
     "op6_near_duplicates": op6_near_duplicates,
