@@ -149,16 +149,15 @@ def fit(train: DataFrame, *, most_rows: int = 1500, most_words: int = 20_000, mo
     return LanguageModel(langs, np.log(total[0] / total[0].sum()), matrix, words, grams)
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Adds lang_pred and score (the posterior of lang_pred) to the rows of ``docs``, which need a column text.
+def predict(docs: DataFrame, model: LanguageModel, *, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds the language and its posterior, under the given names, to the rows of ``docs``, which need a column text.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text under a model without languages.
     Ties go to the language first in code point order.  Equal texts get equal results; other columns pass through.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
             out = []
@@ -169,7 +168,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     p = m.posterior(text)
                     i = int(p.argmax())
                     out.append((m.langs[i], min(1.0, float(p[i])) if math.isfinite(p[i]) else 0.0))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+            yield pd.DataFrame(out, columns=["lang", "score"])
 
-    udf = F.pandas_udf(score, "lang_pred string, score double")
-    return docs.withColumn("_lid", udf(F.col("text"))).withColumns({"lang_pred": F.col("_lid.lang_pred"), "score": F.col("_lid.score")}).drop("_lid")
+    found = docs.withColumn("_told", F.pandas_udf(told, "lang string, score double")(F.col("text")))
+    return found.withColumns({lang: F.col("_told.lang"), score: F.col("_told.score")}).drop("_told")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import ann, langid, minhash, mixing, packing, quality, tokens, toxicity
+from telespark.llm import ann, bm25, chat, langid, minhash, mixing, packing, quality, tokens, toxicity
 from telespark.llm.common import held_out, table
 
 
@@ -55,6 +55,10 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_starts(parts).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(table(spark, sf_dir, "conversations"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
@@ -77,14 +81,72 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text")
+    return bm25.search(table(spark, sf_dir, "documents").select("doc_id", "text"), queries)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_multi_index": op2_multi_index,
     "op3_quality": op3_quality,
     "op4_tokens": op4_tokens,
+    "op5_chat": op5_chat,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_pack": op7_pack,
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
+    "op10_bm25": op10_bm25,
 }
-ORACLE_SQL: dict[str, str] = {}
+_OP5 = r"""
+WITH rows AS (
+    SELECT row_number() OVER () AS mid, conv_id, turn, role, text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS position
+    FROM conversations
+), lines AS (
+    SELECT mid, conv_id, position, line,
+           length(regexp_replace(regexp_extract(line, '^[ \t]*>[ \t>]*'), '[^>]', '', 'g')) AS level,
+           trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*>[ \t>]*', '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm
+    FROM (SELECT mid, conv_id, position, unnest(string_split(text, chr(10))) AS line FROM rows)
+), original AS (
+    SELECT conv_id, norm, min(position) AS origin FROM lines WHERE level = 0 AND norm <> '' GROUP BY conv_id, norm
+), quotes AS (
+    SELECT q.mid, max(q.level) AS depth, count(*) AS n_quoted, count(o.origin) AS n_linked, max(CASE WHEN q.level = 1 THEN o.origin END) AS origin
+    FROM lines q LEFT JOIN original o ON o.conv_id IS NOT DISTINCT FROM q.conv_id AND o.norm = q.norm AND o.origin < q.position
+    WHERE q.level > 0 AND q.norm <> '' GROUP BY q.mid
+)
+SELECT r.conv_id, r.turn, r.role, r.position,
+       coalesce(q.origin, CASE WHEN r.position > 1 THEN r.position - 1 END) AS answers,
+       coalesce(q.depth, 0)::BIGINT AS depth, coalesce(q.n_quoted, 0)::BIGINT AS n_quoted, coalesce(q.n_linked, 0)::BIGINT AS n_linked,
+       regexp_replace(array_to_string(list_filter(string_split(coalesce(r.text, ''), chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)),
+                      '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS text
+FROM rows r LEFT JOIN quotes q USING (mid)
+"""
+
+_OP10 = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents
+), lengths AS (
+    SELECT d.doc_id, len(regexp_extract_all(lower(coalesce(d.text, '')), '[\p{L}\p{N}]+')) AS length FROM documents d
+), totals AS (
+    SELECT count(*) AS n, avg(length) AS mean FROM lengths
+), f AS (
+    SELECT doc_id, term, count(*)::DOUBLE AS f FROM words GROUP BY ALL
+), df AS (
+    SELECT term, count(*) AS df FROM f GROUP BY term
+), q AS (
+    SELECT query_id, term, count(*) AS times
+    FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) GROUP BY ALL
+), gains AS (
+    SELECT f.term, f.doc_id,
+           round(1000000 * (ln(1 + (t.n - d.df + 0.5) / (d.df + 0.5)) * f.f * 2.2 / (f.f + 1.2 * (0.25 + 0.75 * l.length / t.mean))))::BIGINT AS gain
+    FROM f JOIN df d USING (term) JOIN lengths l USING (doc_id) CROSS JOIN totals t
+), scored AS (
+    SELECT query_id, doc_id, sum(times * gain)::BIGINT AS units FROM q JOIN gains USING (term) GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id) AS rank FROM scored WHERE units > 0
+)
+SELECT query_id, rank, doc_id, units / 1000000 AS score FROM ranked WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_chat": _OP5, "op10_bm25": _OP10}

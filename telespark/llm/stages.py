@@ -1,24 +1,64 @@
-"""The stages of the corpus pipeline.  Each takes (spark, docs, sf_dir); filters return the rows that they keep, unchanged."""
+"""The stages of the corpus pipeline.
+
+Each takes (spark, docs, sf_dir).  All but the last return the columns of docs: filters return the rows that they keep,
+unchanged; mixing repeats rows.  Columns beyond those of documents pass through.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telespark.llm import langid
+from telespark.llm import langid, minhash, mixing, packing, tokens
 from telespark.llm import toxicity as tox
-from telespark.llm.common import held_out
-from telespark.llm.queries import labelled
+from telespark.llm.common import held_out, saved
+from telespark.llm.queries import labelled, mixable
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: null texts, texts without a letter, and posteriors under a half."""
     model = langid.fit(docs.where(~held_out("doc_id")))
-    told = langid.predict(docs, model)
-    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= 0.5)).select(*docs.columns)
+    told = langid.predict(docs, model, lang="_lang", score="_score")
+    return told.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= 0.5)).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity is a half or more."""
     features, weights = tox.fit(labelled(spark, sf_dir, docs, "toxic"), "label")
     return tox.score(docs, features, weights, out="_toxicity").where(F.col("_toxicity") < 0.5).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group: that of the smallest doc_id, and of rows of one id the first by its text's hash.
+
+    Documents without words are in no group and stay.
+    """
+    found = saved(minhash.near_duplicates(docs.select("doc_id", "text")), "found")
+    grouped = found.where(F.col("n_shingles") > 0)
+    # rows of one id that are all kept: at most one text of them stays, and one row of that text
+    kept = grouped.where("kept").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("text_hash"))
+    again = kept.where(F.col("n") > 1).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    gone = grouped.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    slim = gone.limit(minhash.BROADCAST_ROWS + 1).count() <= minhash.BROADCAST_ROWS
+    left = hashed.join(F.broadcast(gone) if slim else gone, same & (F.col("_text_hash") == F.col("_hash")), "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    first = Window.partitionBy("doc_id", "_hash").orderBy("_text_hash")
+    repeated = left.join(again, same, "left")
+    once = repeated.where(F.col("_hash").isNotNull() & (F.col("_text_hash") == F.col("_hash"))).withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1)
+    return repeated.where(F.col("_hash").isNull()).select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix of its source takes it, none included; parts of texts round to whole ones."""
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text")
+    slim = mixable(spark, sf_dir, own).drop("text")
+    mixed = mixing.mix(slim).where(F.col("copies") > 0)
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.digest(packing.pack(docs, tokenizer=tokens.default_tokenizer()))
