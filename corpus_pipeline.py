@@ -14,6 +14,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", stages.language_id),
     ("toxicity", stages.toxicity),
+    ("near_duplicates", stages.near_duplicates),
+    ("mixing", stages.mixing_sources),
+    ("packing", stages.packed),
 ]
 
 #: The stages learn models, so SQL can't express them; tests hold them against plain versions.
