@@ -119,30 +119,41 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.where(F.pandas_udf(close, "boolean")("x", "y")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def _sets(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and members (its full set, as sorted little-endian 64-bit hashes) of the distinct nodes ``used``."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, found in _batches(b):
                 raw = [s.astype("<u8").tobytes() for s in found]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["sig", "members"])
 
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            m = (len(p) + len(q)) // 8
-            n = m - len(np.unique(np.frombuffer(p + q, dtype="<u8")))
-            out.append(100 * n >= percent * (m - n))
-        return pd.Series(out, dtype=bool)
-
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     named = saved(restrict(nodes.select("node", "doc_id", "sig"), used, "node"), "named")
     texts = restrict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), named.select("doc_id").distinct(), "doc_id")
-    full = saved(texts.mapInArrow(sets, "sig binary, members binary").join(named.select("sig", "node"), "sig").select("node", "members"), "sets")
+    return saved(texts.mapInArrow(made, "sig binary, members binary").join(named.select("sig", "node"), "sig").select("node", "members"), "sets")
+
+
+def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each other set: is 100 * intersection >= percent * union?  All are sorted and without repeats."""
+    size = np.array([len(x) for x in others], dtype=np.int64)
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    both = np.add.reduceat((one[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]))
+    return 100 * both >= percent * (size + len(one) - both)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links on their full sets."""
+
+    def judged(x: pd.Series, y: pd.Series) -> pd.Series:
+        read = lambda raw: np.frombuffer(raw, dtype="<u8")
+        return pd.Series([bool(linked(read(p), [read(q)], percent)[0]) for p, q in zip(x, y)], dtype=bool)
+
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    full = _sets(used, nodes, docs)
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     both = both.join(full.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return both.where(F.pandas_udf(linked, "boolean")("x", "y")).select("a", "b")
+    return both.where(F.pandas_udf(judged, "boolean")("x", "y")).select("a", "b")
 
 
 def _against_pivots(buckets: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
@@ -160,40 +171,64 @@ def _against_pivots(buckets: DataFrame, roots: DataFrame | None, turn: int) -> D
     return pairs
 
 
-def _all_others(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """All plausible pairs (a, b) of one bucket and different components.
+def _all_others(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, percent: int) -> DataFrame:
+    """The links (a, b) between members of one bucket that are in different components so far.
 
     Members of a bucket's largest component stand on one side, all others on both.  Sides are cut into blocks by hash, and
-    a task compares the sketches of two blocks.
+    a task holds two blocks against each other, so that no pair is ever a row: it compares sketches first, to tell which
+    members need their full sets, and then those.  Nodes that share several buckets are compared in the first band.
     """
-    rooted = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = buckets.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     # the bucket's size, its number of components and the size and root of the largest
     whole = parts.groupBy("key").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("k"), F.max("n").alias("most"))
     largest = parts.join(whole, "key").where((F.col("k") > 1) & (F.col("n") == F.col("most"))).groupBy("key", "m", "most").agg(F.min("root").alias("main"))
     # a pair is all of a bucket of two, and every pair of such a bucket met its pivot
-    mixed = saved(rooted.join(largest.where(F.col("m") > 2), "key").select("key", "node", "root", "m", "main", (F.col("m") - F.col("most")).alias("few")), "mixed")
+    mixed = saved(rooted.join(largest.where(F.col("m") > 2), "key").select("key", "band", "node", "root", "m", "main", (F.col("m") - F.col("most")).alias("few")), "mixed")
     wide = F.ceil(F.col("m") / BLOCK).cast("int")
     slim = F.ceil(F.col("few") / BLOCK).cast("int")
     right = mixed.withColumn("j", F.pmod(F.xxhash64("node"), wide).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), slim - 1)))
     left = mixed.where(F.col("root") != F.col("main")).withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), slim).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), wide - 1)))
-    sides = right.select("key", "i", "j", "node", "root", F.lit(True).alias("right")).unionByName(left.select("key", "i", "j", "node", "root", F.lit(False).alias("right")))
+    cols = ["key", "band", "i", "j", "node", "root"]
+    sides = right.select(*cols, F.lit(True).alias("right")).unionByName(left.select(*cols, F.lit(False).alias("right")))
     drawn = restrict(nodes.select("node", "sketch"), mixed.select("node").distinct(), "node")
 
-    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+    def near(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """A row of the left side, and the rows of the right side whose sketches come near it."""
         drawn = np.frombuffer(b"".join(pdf["sketch"]), dtype="<u4").reshape(-1, SIZE)
-        right, node, root = pdf["right"].to_numpy(), pdf["node"].to_numpy(), pdf["root"].to_numpy()
-        a, b = [], []
+        right, root, band = pdf["right"].to_numpy(), pdf["root"].to_numpy(), int(pdf["band"].iloc[0])
         across = np.flatnonzero(right)
-        for k in np.flatnonzero(~right):
-            near = (drawn[across] == drawn[k]).mean(axis=1) >= least
-            found = across[near & (root[across] != root[k])]
-            a.append(np.minimum(node[found], node[k]))
-            b.append(np.maximum(node[found], node[k]))
+        for k in np.flatnonzero(~right).tolist():
+            same = drawn[across] == drawn[k]
+            earlier = same[:, : band * ROWS].reshape(len(across), band, ROWS).all(axis=2).any(axis=1)
+            yield k, across[(same.mean(axis=1) >= least) & ~earlier & (root[across] != root[k])]
+
+    def needed(pdf: pd.DataFrame) -> pd.DataFrame:
+        use = np.zeros(len(pdf), dtype=bool)
+        for k, found in near(pdf):
+            use[found] = True
+            use[k] |= len(found) > 0
+        return pdf.loc[use, [*cols, "right", "sketch"]]
+
+    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets, node = [np.frombuffer(x, dtype="<u8") for x in pdf["members"]], pdf["node"].to_numpy()
+        a, b = [], []
+        for k, found in near(pdf):
+            if len(found):
+                hit = node[found[linked(sets[k], [sets[x] for x in found], percent)]]
+                a.append(np.maximum(hit, node[k]))
+                b.append(np.minimum(hit, node[k]))
         empty = np.empty(0, dtype=np.int64)
         return pd.DataFrame({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
-    return sides.join(drawn, "node").groupBy("key", "i", "j").applyInPandas(compared, "a long, b long").distinct()
+    block = ["key", "i", "j"]
+    use = saved(sides.join(drawn, "node").groupBy(*block).applyInPandas(needed, "key long, band int, i int, j int, node long, root long, right boolean, sketch binary"), "needed")
+    full = _sets(use.select("node").distinct(), nodes, docs)
+    return use.join(full, "node").groupBy(*block).applyInPandas(judged, "a long, b long").distinct()
+
+
+def _as_links(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
@@ -213,17 +248,15 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
     buckets = saved(keys.join(shared, "key"), "buckets")
 
-    links = None
-    roots = None
+    links = roots = None
     for turn in range(2):
         pairs = saved(_plausible(_against_pivots(buckets, roots, turn), nodes, least), "pairs")
-        found = saved(_verified(pairs, nodes, docs, percent), "verified")
-        links = found if links is None else links.unionByName(found)
-        roots = saved(components(links), "roots")
-    pairs = saved(_all_others(buckets, roots, nodes, least), "pairs")
-    if not pairs.isEmpty():
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(pairs, nodes, docs, percent))
+        found = _verified(pairs, nodes, docs, percent)
+        links = found if roots is None else _as_links(roots).unionByName(found)
         roots = saved(components(links), "roots")
+    found = saved(_all_others(buckets, roots, nodes, docs, least, percent), "found")
+    if not found.isEmpty():
+        roots = saved(components(_as_links(roots).unionByName(found)), "roots")
 
     rooted = nodes.join(roots, "node", "left").select("sig", "doc_id", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
