@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telespark.llm import ann, bm25, chat, langid, minhash, mixing, packing, quality, tokens, toxicity
-from telespark.llm.common import held_out, table
+from telespark.llm.common import held_out, saved, table
 
 
 def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.new_path(spark, "tokens")
     tokens.write_orc(table(spark, sf_dir, "documents"), path, tokenizer=tokens.default_tokenizer())
-    parts = tokens.digest(tokens.read_orc(spark, path))
+    parts = saved(tokens.digest(tokens.read_orc(spark, path)), "digest")
     return tokens.with_starts(parts).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -17,10 +18,12 @@ from telespark.llm.common import shared_dir
 #: Places at which this tokenizer's own pre-tokenizer always splits: before a single space or line feed between other
 #: characters, and between a letter or digit and a sign other than the apostrophe.
 _PIECES = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[^\W_])(?=[^\w\s'])").split
-#: Pieces whose ids a worker keeps; past this number the memory is emptied.
-_KEPT = 700_000
-_tokenizers: dict[str, object] = {}
-_kept: dict[str, dict[str, bytes]] = {}
+_RUN = re.compile(r"\s\s").search
+#: Words and pieces whose ids a worker keeps; past these numbers the memory is emptied.
+_KEPT_WORDS, _KEPT_PIECES = 600_000, 800_000
+#: Longer ones seldom come again and aren't kept.
+_LONG = 12
+_tokenizers: dict[str, "_Words"] = {}
 
 
 def default_tokenizer() -> str:
@@ -30,32 +33,75 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _load(path: str):
-    from tokenizers import Tokenizer
+def _visible() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the rest in turn
+    from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    if path not in _tokenizers:
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _tokenizers[path], _kept[path] = t, {}
-    return _tokenizers[path], _kept[path]
+
+class _Pieces(dict):
+    """Ids of the pieces that lie between sure splits."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _visible()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= _KEPT_PIECES:
+            self.clear()
+        letters = piece[1:] if piece[0] in " \n" else piece
+        if not letters.isalpha():
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        elif piece[0] == "\n":
+            found = self[piece] = self["\n"] + self[letters]
+            return found
+        else:  # letters with or without a space are one word to the pre-tokenizer, so merging can start at once
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            if len(piece) > _LONG:
+                return struct.pack(f"<{len(ids)}I", *ids)
+        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+
+class _Words(dict):
+    """Ids of what stands between single spaces, with the space before it."""
+
+    def __init__(self, path: str):
+        self.pieces = _Pieces(path)
+
+    def ids(self, text: str) -> bytes:
+        return b"".join([self.pieces[p] for p in _PIECES(text)])
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= _KEPT_WORDS:
+            self.clear()
+        found = self.ids(f" {word}")
+        if len(word) <= _LONG:
+            self[word] = found
+        return found
 
 
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers; none for null and empty texts.
 
-    A text is cut where the tokenizer cuts it anyway, and the ids of pieces already met are reused.
+    A text is cut where the tokenizer cuts it anyway, and the ids of what was met before are reused.
     """
-    tokenizer, kept = _load(path)
-    pieces = [_PIECES(t) if t else [] for t in texts]
-    new = list({p for x in pieces for p in x if p not in kept})
-    if len(kept) + len(new) > _KEPT:
-        kept.clear()
-        new = list({p for x in pieces for p in x})
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        found = tokenizer.encode_batch_fast(part, add_special_tokens=False)
-        kept.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(part, found))
-    return [b"".join(map(kept.__getitem__, x)) for x in pieces]
+    words = _tokenizers.get(path) or _tokenizers.setdefault(path, _Words(path))
+    out = []
+    for text in texts:
+        if not text:
+            out.append(b"")
+        elif _RUN(text):
+            out.append(words.ids(text))
+        else:
+            head, *rest = text.split(" ")
+            out.append((words.ids(head) if head else b"") + b"".join(map(words.__getitem__, rest)))
+    return out
 
 
 def blocks(column: pa.Array | pa.ChunkedArray, most_chars: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
