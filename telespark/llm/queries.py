@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telespark.llm import ann, bm25, chat, langid, minhash, mixing, packing, quality, tokens, toxicity
-from telespark.llm.common import held_out, saved, table
+from telespark.llm.common import bounded_sample, held_out, saved, table
 
 
-def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
-    """doc_id, text and label of the documents that models may learn from; one label for each id, the greater of several."""
-    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(label).alias("label"))
-    return docs.where(~held_out("doc_id")).select("doc_id", "text").join(marks.where(F.col("label").isNotNull()), "doc_id")
+def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str, most_rows: int = 8000) -> DataFrame:
+    """doc_id, text and label of documents that models may learn from: at most about ``most_rows`` ids of each label, chosen
+    by a hash; of several labels of an id the greatest counts.
+
+    The ids are sampled before texts are read, so the side that is broadcast is bounded and no text is shuffled.
+    """
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(label).alias("label")).where(F.col("label").isNotNull() & ~held_out("doc_id"))
+    few = bounded_sample(marks, F.col("label"), most_rows, "doc_id")
+    return docs.where(~held_out("doc_id")).select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
 
 def mixable(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
