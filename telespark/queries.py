@@ -591,12 +591,29 @@ def otlp_proto_decode(spark, d):
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """A table written in a few files and read back as a stream, one file a micro-batch."""
+    """A table written in two turns, earlier rows first, and read back as a stream of two micro-batches."""
     path = _shared(spark, name)
-    rows.repartitionByRange(4, "ord").sortWithinPartitions("ord").write.parquet(path)
+    half = rows.agg(F.expr("(min(ord) + max(ord)) div 2").alias("h"))
+    marked = rows.join(F.broadcast(half))
+    for part in (F.col("ord") <= F.col("h"), F.col("ord") > F.col("h")):
+        marked.where(part).drop("h").coalesce(2).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
+def _stateful(spark: SparkSession, run: Callable[[], None]) -> None:
+    """Runs a stateful query on the state store that it needs, and puts the session's setting back."""
+    from telespark.streaming.jobs import STATE_STORE
+
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    try:
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
+        run()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @query(_BUCKETS, "spans")
 def stream_red(spark, d):
     """The histogram kept up to date over a stream, as it stands at its end."""
@@ -606,3 +623,28 @@ def stream_red(spark, d):
     out = _shared(spark, "red")
     counters(_streamed(spark, spans, "spans"), red.buckets, out, _shared(spark, "red-state"), trigger={"availableNow": True}).awaitTermination()
     return spark.read.parquet(out)
+
+
+@query(ORACLE_SQL["flood_anchored"])
+def stream_flood(spark, d):
+    """Flood events found over a stream by keyed state."""
+    from telespark.streaming import jobs, processors
+
+    logs = _templated(spark, d).select("hash", "service", F.unix_micros("ts").alias("arrival_us"), "ord")
+    out = _shared(spark, "floods")
+    events = processors.floods(_streamed(spark, logs, "logs"), HOUR_US // 1000, 5)
+    _stateful(spark, lambda: jobs.appended(events, out, _shared(spark, "floods-state"), trigger={"availableNow": True}).awaitTermination())
+    return spark.read.schema(processors.FLOOD_COLUMNS).parquet(out).groupBy("service").agg(F.count(F.lit(1)).alias("flood_events"))
+
+
+@query()
+def stream_tail(spark, d):
+    """Traces closed over a stream by event-time timers; those still open at its end are not among them."""
+    from telespark.streaming import jobs, processors
+
+    facts = _facts(spark, d).withColumn("arrival_us", F.unix_micros("arrival_ts"))
+    out = _shared(spark, "traces")
+    closed = processors.traces(_streamed(spark, facts, "facts").withWatermark("arrival_ts", "1 minute"), HOUR_US // 6000)
+    _stateful(spark, lambda: jobs.appended(closed, out, _shared(spark, "traces-state"), trigger={"availableNow": True}).awaitTermination())
+    found = spark.read.schema(processors.TRACE_COLUMNS).parquet(out)
+    return tail.decide(found).select("trace_id", F.unix_micros("window_start").alias("window_us"), "spans", "reason", "kept")
