@@ -18,7 +18,10 @@ def _resources(envelopes: DataFrame, signal: str) -> DataFrame:
 
 def points_of(metric: Column) -> Column:
     """The data points of all five kinds of a metric, each with its kind."""
-    kinds = [F.transform(F.coalesce(metric[k]["dataPoints"], F.array()), lambda p, k=k: F.struct(F.lit(k).alias("kind"), p.alias("p"))) for k in METRIC_KINDS]
+    def of_kind(kind: str) -> Column:
+        return F.transform(F.coalesce(metric[kind]["dataPoints"], F.array()), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("p")))
+
+    kinds = [of_kind(k) for k in METRIC_KINDS]
     return F.concat(*kinds)
 
 

@@ -28,7 +28,10 @@ def read_exposition(spark: SparkSession, path: str, *, streaming: bool = False)
 
 
 def escaped(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r"\\\\\""), "\n", r"\\\\n")
+    """A label value with its backslashes, quotes and line ends escaped."""
+    for sign, mark in ((r"\\", r"\\\\"), ('"', r'\\"'), ("\n", r"\\n")):
+        c = F.regexp_replace(c, sign, mark)
+    return c
 
 
 def to_exposition(samples: DataFrame) -> DataFrame:
