@@ -232,10 +232,10 @@ def _as_links(roots: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and kept of each row of ``docs`` (columns doc_id and text).
+    """doc_id, text_hash, group, n_shingles, component_id and kept of each row of ``docs`` (columns doc_id and text).
 
     Links join documents with 100 * intersection >= percent * union of their sets; component_id is the smallest doc_id
-    that links reach.  A document without words links with nothing.  Rows of one doc_id are documents of their own.  A
+    that links reach, and group tells components apart that share one (as ids may repeat).  A document without words links with nothing.  Rows of one doc_id are documents of their own.  A
     null doc_id counts only where its component has no other; kept is true where doc_id equals component_id, both null
     included.
     """
@@ -258,9 +258,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     if not found.isEmpty():
         roots = saved(components(_as_links(roots).unionByName(found)), "roots")
 
-    rooted = nodes.join(roots, "node", "left").select("sig", "doc_id", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("sig", "component_id")
+    rooted = nodes.join(roots, "node", "left").select("sig", "doc_id", F.coalesce("root", "node").alias("group"))
+    ids = rooted.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = rooted.join(ids, "group").select("sig", "group", "component_id")
     out = rows.select("doc_id", "text_hash", "n_shingles", "sig").join(named, "sig", "left")
     own = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return out.select("doc_id", "text_hash", "group", "n_shingles", own.alias("component_id")).withColumn("kept", kept)

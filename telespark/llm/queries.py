@@ -65,7 +65,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash", "group")
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

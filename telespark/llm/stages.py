@@ -35,19 +35,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = saved(minhash.near_duplicates(docs.select("doc_id", "text")), "found")
     grouped = found.where(F.col("n_shingles") > 0)
-    # rows of one id that are all kept: at most one text of them stays, and one row of that text
-    kept = grouped.where("kept").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("text_hash"))
-    again = kept.where(F.col("n") > 1).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    gone = grouped.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    kept = grouped.where("kept").groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = kept.groupBy("group").agg(F.min("text_hash").alias("first"))
+    kept = saved(kept.join(first, "group"), "kept")
+    pair = F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
+    again = kept.where((F.col("n") > 1) & (F.col("text_hash") == F.col("first"))).select(*pair)
+    gone = grouped.where(~F.col("kept")).select(*pair).unionByName(kept.where(F.col("text_hash") != F.col("first")).select(*pair)).distinct()
     hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
     slim = gone.limit(minhash.BROADCAST_ROWS + 1).count() <= minhash.BROADCAST_ROWS
     left = hashed.join(F.broadcast(gone) if slim else gone, same & (F.col("_text_hash") == F.col("_hash")), "left_anti")
     if again.isEmpty():
         return left.select(*docs.columns)
-    first = Window.partitionBy("doc_id", "_hash").orderBy("_text_hash")
-    repeated = left.join(again, same, "left")
-    once = repeated.where(F.col("_hash").isNotNull() & (F.col("_text_hash") == F.col("_hash"))).withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1)
+    repeated = left.join(again, same & (F.col("_text_hash") == F.col("_hash")), "left")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("_text_hash"))
+    once = repeated.where(F.col("_hash").isNotNull()).withColumn("_nth", nth).where(F.col("_nth") == 1)
     return repeated.where(F.col("_hash").isNull()).select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
