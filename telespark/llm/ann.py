@@ -24,9 +24,11 @@ from telespark.llm.common import hash_fraction
 
 @dataclass
 class MultiIndex:
-    """Centroids of both halves, rows of each cell, and the blocks of each first centroid (first, number)."""
+    """Centroids of both halves, the sampled rows, rows of each cell, and the blocks of each first centroid (first, number)."""
 
     halves: tuple[np.ndarray, np.ndarray]
+    sample_ids: np.ndarray
+    sample: np.ndarray
     counts: np.ndarray
     first: np.ndarray
     number: np.ndarray
@@ -45,6 +47,14 @@ class MultiIndex:
         i, j = (((c**2).sum(axis=1) - 2 * (p @ c.T)).argmin(axis=1) for p, c in zip(parts, self.halves))
         return i, j
 
+    def floor(self, x: np.ndarray, own: np.ndarray, top: int) -> np.ndarray:
+        """For each query, the ``top``-th best score among sampled rows of other ids: no lower score can be in the result."""
+        if len(self.sample) <= top:
+            return np.full(len(x), -np.inf)
+        score = x @ self.sample.T
+        score[own[:, None] == self.sample_ids[None, :]] = -np.inf
+        return np.partition(score, -top, axis=1)[:, -top]
+
     def walk(self, near: np.ndarray, far: np.ndarray, rows: int) -> np.ndarray:
         """For each first centroid, how many second centroids in rising distance the walk reaches before ``rows`` rows are met."""
         left, right = np.argsort(near, kind="stable"), np.argsort(far, kind="stable")
@@ -94,10 +104,13 @@ def build(rows: DataFrame, *, k: int = 64, most_rows: int = 20_000, most_block:
     """Learns from rows (id, vector): the centroids from about ``most_rows`` rows chosen by a hash of their id, the counts
     from all."""
     n = rows.count()
-    sample = matrix(rows.where(hash_fraction("id", seed=3) <= most_rows / max(n, 1)).orderBy("id").toPandas()["vector"])
+    drawn = rows.where(hash_fraction("id", seed=3) <= most_rows / max(n, 1)).orderBy("id").toPandas()
+    if not len(drawn):
+        drawn = rows.orderBy("id").limit(1).toPandas()
+    sample = matrix(drawn["vector"])
     cut = sample.shape[1] // 2
     halves = _means(sample[:, :cut], k), _means(sample[:, cut:], k)
-    index = MultiIndex(halves, np.zeros((len(halves[0]), len(halves[1])), dtype=np.int64), np.zeros(1), np.zeros(1))
+    index = MultiIndex(halves, drawn["id"].to_numpy(dtype=np.int64), sample, np.zeros((len(halves[0]), len(halves[1])), dtype=np.int64), np.zeros(1), np.zeros(1))
     for r in placed(rows, index).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).collect():
         index.counts[r["i"], r["j"]] = r["n"]
     size = min(most_block, max(512, n // 64))
@@ -151,12 +164,14 @@ def search(rows: DataFrame, queries: DataFrame, *, top: int = 20, share: float =
         for pdf in batches:
             out = []
             if len(pdf):
-                near, far = m.distances(matrix(pdf["vector"]))
-                for q, v, x, y in zip(pdf["id"], pdf["vector"], near, far):
+                given = matrix(pdf["vector"])
+                near, far = m.distances(given)
+                floors = np.concatenate([m.floor(given[k : k + 64], pdf["id"].to_numpy()[k : k + 64], top) for k in range(0, len(given), 64)])
+                for q, v, x, y, floor in zip(pdf["id"], pdf["vector"], near, far, floors):
                     reached = m.walk(x, y, wanted)
                     to = {b for i in np.flatnonzero(reached) for b in range(m.first[i], m.first[i] + m.number[i])}
-                    out += [(b, q, v, reached) for b in sorted(to)]
-            yield pd.DataFrame(out, columns=["block", "id", "vector", "reached"])
+                    out += [(b, q, v, reached, floor) for b in sorted(to)]
+            yield pd.DataFrame(out, columns=["block", "id", "vector", "reached", "floor"])
 
     def ranked(qs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
         m = shared.value
@@ -178,14 +193,14 @@ def search(rows: DataFrame, queries: DataFrame, *, top: int = 20, share: float =
                     q = np.flatnonzero(order[:, j] < reached[:, i])
                     score[np.ix_(q, e)] = x[q] @ vectors[e].T
                 score[own[:, None] == ids[None, :]] = -np.inf
-                last = np.partition(score, -min(top, len(es)), axis=1)[:, -min(top, len(es))]
+                last = np.maximum(np.partition(score, -min(top, len(es)), axis=1)[:, -min(top, len(es))], part["floor"].to_numpy())
                 q, e = np.nonzero((score >= (last - 1e-9 * np.abs(last) - 1e-12)[:, None]) & (score > -np.inf))
                 out.append((own[q], ids[e], (x[q] * vectors[e]).sum(axis=1)))
         empty = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
         cols = [np.concatenate(c) for c in zip(empty, *out)] if out else empty
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols)))
 
-    asked = queries.select("id", "vector").mapInPandas(sent, "block long, id long, vector array<float>, reached array<int>")
+    asked = queries.select("id", "vector").mapInPandas(sent, "block long, id long, vector array<float>, reached array<int>, floor double")
     pairs = asked.groupBy("block").cogroup(placed(rows.select("id", "vector"), index).groupBy("block")).applyInPandas(ranked, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
