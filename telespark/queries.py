@@ -88,6 +88,12 @@ def insights_grouping_sets(spark, d):
     return insights.insights(views.resources(spark, d))
 
 
+@query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY breakdown, signal ORDER BY records DESC, label1, label2) AS rank FROM ({_BREAKDOWNS})) WHERE rank <= 10", "resources")
+def insights_top10(spark, d):
+    rows = insights.insights(views.resources(spark, d))
+    return topn.top_k(rows, "records", 10, ("breakdown", "signal"), ("label1", "label2"))
+
+
 @query("SELECT service, count(*) AS errors FROM spans WHERE status = 2 GROUP BY service", "spans")
 def span_errors(spark, d):
     return insights.span_errors(views.spans(spark, d))
@@ -131,6 +137,11 @@ def cost_top_teams(spark, d):
     return cost.top_teams(views.resources(spark, d))
 
 
+@query("SELECT *, row_number() OVER (PARTITION BY signal ORDER BY bytes DESC, service) AS rank FROM (SELECT signal, service_name AS service, sum(resource_bytes)::BIGINT AS bytes FROM resources GROUP BY ALL) QUALIFY rank <= 10", "resources")
+def cost_top_services(spark, d):
+    return topn.top_k(cost.cost_by_service(views.resources(spark, d)), "bytes", 10, ("signal",), ("service",))
+
+
 @query("SELECT sum(resource_bytes)::BIGINT AS bytes, sum(n_records)::BIGINT AS records, count(DISTINCT (signal, team, vertical)) AS team_series, count(DISTINCT (signal, service_name)) AS service_series FROM resources", "resources")
 def cost_snapshot(spark, d):
     return cost.snapshot(views.resources(spark, d))
@@ -141,6 +152,11 @@ def debug_waste(spark, d):
     return cost.debug_waste(views.logs(spark, d))
 
 
+@query("SELECT service, count(*) AS debug_records FROM raw_logs WHERE severity_number BETWEEN 1 AND 8 GROUP BY service ORDER BY debug_records DESC, service LIMIT 10", "logs")
+def debug_top10(spark, d):
+    return cost.debug_waste(views.logs(spark, d)).orderBy(F.desc("debug_records"), "service").limit(10)
+
+
 # Log templates
 
 _ADMITTED = f"first AS (SELECT hash, min(ord) AS o FROM logs GROUP BY hash ORDER BY o, hash LIMIT {TEMPLATES}), kept AS (SELECT l.* FROM logs l JOIN first USING (hash))"
@@ -457,6 +473,32 @@ def last_n(spark, d):
     return topn.last_n(views.events(spark, d).select("event_type", "event_id"), 200, ("event_type",), "event_id")
 
 
+_LAG = "lag AS (SELECT 'g' || (user_id % 3) AS grp, event_type AS topic, user_id % 4 AS part, arg_max((event_id % 1000)::DOUBLE, ts) AS value FROM events GROUP BY ALL)"
+
+
+def _lag(spark, d):
+    """Consumer lag by group, topic and partition, as samples."""
+    pairs = {"grp": F.concat(F.lit("g"), (F.col("user_id") % 3).cast("string")), "topic": F.col("event_type"), "part": (F.col("user_id") % 4).cast("string")}
+    made = F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v)))
+    rows = views.events(spark, d).select(F.lit("lag").alias("metric"), made.alias("labels"), "ts", (F.col("event_id") % 1000).cast("double").alias("value"))
+    return metric.instant(metric.labelled(rows, *pairs), tuple(pairs))
+
+
+@query("SELECT grp, topic, sum(value) AS sum, avg(value) AS avg, count(*) AS count FROM lag GROUP BY ALL", _LAG)
+def consumer_lag(spark, d):
+    return metric.aggregate(_lag(spark, d), ("grp", "topic"))
+
+
+@query("SELECT grp, topic, part::VARCHAR AS part, value FROM lag WHERE value >= 900", _LAG)
+def lag_threshold(spark, d):
+    return metric.above(_lag(spark, d), 900).drop("ts")
+
+
+@query("SELECT topic, count(DISTINCT part) AS partitions FROM lag GROUP BY topic", _LAG)
+def topic_partitions(spark, d):
+    return _lag(spark, d).groupBy("topic").agg(F.count_distinct("part").alias("partitions"))
+
+
 @query("SELECT transport, sum(n_records)::BIGINT AS value, sum(n_records) / (SELECT sum(n_records) FROM resources) AS share FROM resources GROUP BY transport", "resources")
 def transport_share(spark, d):
     rows = views.resources(spark, d).select(labels.attr(F.col("attrs"), "otlp.transport").alias("transport"), F.col("n_records").alias("value"))
