@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +54,13 @@ def bounded_sample(df: DataFrame, by: Column, most: int, *key: str) -> DataFrame
     for r in part:
         share = F.when(by.eqNullSafe(F.lit(r["_g"])), F.lit(r["_p"])).otherwise(share)
     return df.where(hash_fraction(*key, seed=11) <= share)
+
+
+_memory: dict = {}
+
+
+def take_over(owner: str, clear: Callable[[], None]) -> None:
+    """Lets a worker process keep what one operator remembers at a time: the one before is told to forget."""
+    if _memory.get("owner") != owner:
+        _memory.get("clear", lambda: None)()
+        _memory.update(owner=owner, clear=clear)

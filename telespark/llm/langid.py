@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telespark.llm.common import bounded_sample
+from telespark.llm.common import bounded_sample, take_over
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 UNDETERMINED = "und"
@@ -43,8 +43,8 @@ class LanguageModel:
     words: dict[str, int]
     grams: dict[int, dict[str, int]]
     unseen: dict[str, int] = field(default_factory=dict)
-    #: Vectors of unseen words that a worker keeps; past this number they are found anew.
-    kept: int = 200_000
+    #: Vectors of unseen words that a worker keeps; past this number they are found anew from the next text on.
+    kept: int = 60_000
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "unseen": {}}
@@ -58,6 +58,8 @@ class LanguageModel:
         return None
 
     def posterior(self, text: str) -> np.ndarray:
+        if len(self.unseen) >= self.kept:
+            self.unseen.clear()  # their rows of the matrix are used again
         counts = Counter(words_of(text))
         total, rows, times = self.prior.copy(), [], []
         for w, n in counts.items():
@@ -68,9 +70,6 @@ class LanguageModel:
                     v = self.vector(w)
                     if v is None:
                         continue
-                    if len(self.unseen) >= self.kept:
-                        total += n * v
-                        continue
                     i = self._keep(w, v)
             rows.append(i)
             times.append(n)
@@ -106,10 +105,10 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["lang", "kind", "gram", "n"])
 
 
-MAX_GRAM = 5
+MAX_GRAM = 4
 
 
-def fit(train: DataFrame, *, most_rows: int = 1500, most_words: int = 20_000, most_grams: int = 10_000) -> LanguageModel:
+def fit(train: DataFrame, *, most_rows: int = 1500, most_words: int = 12_000, most_grams: int = 6_000) -> LanguageModel:
     """Learns from columns doc_id, text and lang.
 
     Reads at most about ``most_rows`` rows of each language, chosen by a hash of their id and text, and keeps the
@@ -159,6 +158,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, lang: str = "lang_pred", s
 
     def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        take_over("langid", m.unseen.clear)
         for texts in batches:
             out = []
             for text in texts:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telespark.llm.common import saved
+from telespark.llm.common import saved, take_over
 from telespark.llm.components import components
 
 SIZE, ROWS = 128, 4
@@ -79,6 +79,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _batches(b: pa.RecordBatch) -> Iterator[tuple[int, int, list]]:
+    take_over("minhash", lambda: None)
     for at in range(0, len(b), 500):
         part = b.column("text").slice(at, 500).to_pylist()
         yield at, len(part), [shingles(t) for t in part]

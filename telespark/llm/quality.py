@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telespark.llm import linear
-from telespark.llm.common import bounded_sample
+from telespark.llm.common import bounded_sample, take_over
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens whose hashes a worker keeps; past this number the memory is emptied.
-_KEPT = 400_000
+_KEPT = 200_000
 _hashes: dict[str, tuple[int, int]] = {}
 
 
@@ -46,6 +46,7 @@ def _mixed(*hashes: np.ndarray, salt: int) -> np.ndarray:
 def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed features and their values: log counts of word 1- and 2-grams, of 1- to 3-grams of word shapes and
     of immediate repeats, scaled to length 1; the bias has value 1 and is all that an empty text has."""
+    take_over("quality", _hashes.clear)
     known = _hashes.get
     pairs = [known(t) or _hash(t) for t in _TOKENS(text)] if text else []
     if not pairs:

@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telespark.llm.common import shared_dir
+from telespark.llm.common import shared_dir, take_over
 
 #: Places at which this tokenizer's own pre-tokenizer always splits: before a single space or line feed between other
 #: characters, and between a letter or digit and a sign other than the apostrophe.
 _PIECES = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[^\W_])(?=[^\w\s'])").split
 _RUN = re.compile(r"\s\s").search
 #: Words and pieces whose ids a worker keeps; past these numbers the memory is emptied.
-_KEPT_WORDS, _KEPT_PIECES = 600_000, 800_000
+_KEPT_WORDS, _KEPT_PIECES = 500_000, 500_000
 #: Longer ones seldom come again and aren't kept.
 _LONG = 12
 _tokenizers: dict[str, "_Words"] = {}
@@ -91,7 +91,8 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
 
     A text is cut where the tokenizer cuts it anyway, and the ids of what was met before are reused.
     """
-    words = _tokenizers.get(path) or _tokenizers.setdefault(path, _Words(path))
+    take_over("tokens", _tokenizers.clear)
+    words = _tokenizers[path] if path in _tokenizers else _tokenizers.setdefault(path, _Words(path))
     out = []
     for text in texts:
         if not text:
