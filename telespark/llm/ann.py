@@ -33,6 +33,9 @@ class MultiIndex:
     first: np.ndarray
     number: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.sample_cells = self.cells(self.sample)
+
     @property
     def cut(self) -> int:
         return self.halves[0].shape[1]
@@ -47,13 +50,15 @@ class MultiIndex:
         i, j = (((c**2).sum(axis=1) - 2 * (p @ c.T)).argmin(axis=1) for p, c in zip(parts, self.halves))
         return i, j
 
-    def floor(self, x: np.ndarray, own: np.ndarray, top: int) -> np.ndarray:
-        """For each query, the ``top``-th best score among sampled rows of other ids: no lower score can be in the result."""
-        if len(self.sample) <= top:
-            return np.full(len(x), -np.inf)
-        score = x @ self.sample.T
-        score[own[:, None] == self.sample_ids[None, :]] = -np.inf
-        return np.partition(score, -top, axis=1)[:, -top]
+    def floor(self, score: np.ndarray, own: int, far: np.ndarray, reached: np.ndarray, top: int) -> float:
+        """The ``top``-th best score among the sampled rows that the walk meets; nothing below it can be in the result.
+
+        score: the query's inner products with the sampled rows.
+        """
+        i, j = self.sample_cells
+        order = far.argsort(kind="stable").argsort(kind="stable")
+        met = score[(order[j] < reached[i]) & (self.sample_ids != own)]
+        return float(np.partition(met, -top)[-top]) if len(met) >= top else -np.inf
 
     def walk(self, near: np.ndarray, far: np.ndarray, rows: int) -> np.ndarray:
         """For each first centroid, how many second centroids in rising distance the walk reaches before ``rows`` rows are met."""
@@ -166,9 +171,9 @@ def search(rows: DataFrame, queries: DataFrame, *, top: int = 20, share: float =
             if len(pdf):
                 given = matrix(pdf["vector"])
                 near, far = m.distances(given)
-                floors = np.concatenate([m.floor(given[k : k + 64], pdf["id"].to_numpy()[k : k + 64], top) for k in range(0, len(given), 64)])
-                for q, v, x, y, floor in zip(pdf["id"], pdf["vector"], near, far, floors):
+                for q, v, x, y, z in zip(pdf["id"], pdf["vector"], near, far, given):
                     reached = m.walk(x, y, wanted)
+                    floor = m.floor(m.sample @ z, q, y, reached, top)
                     to = {b for i in np.flatnonzero(reached) for b in range(m.first[i], m.first[i] + m.number[i])}
                     out += [(b, q, v, reached, floor) for b in sorted(to)]
             yield pd.DataFrame(out, columns=["block", "id", "vector", "reached", "floor"])
@@ -200,7 +205,8 @@ def search(rows: DataFrame, queries: DataFrame, *, top: int = 20, share: float =
         cols = [np.concatenate(c) for c in zip(empty, *out)] if out else empty
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols)))
 
-    asked = queries.select("id", "vector").mapInPandas(sent, "block long, id long, vector array<float>, reached array<int>, floor double")
+    spread = queries.select("id", "vector").repartition(max(spark.sparkContext.defaultParallelism, 8), "id")
+    asked = spread.mapInPandas(sent, "block long, id long, vector array<float>, reached array<int>, floor double")
     pairs = asked.groupBy("block").cogroup(placed(rows.select("id", "vector"), index).groupBy("block")).applyInPandas(ranked, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

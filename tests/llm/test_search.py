@@ -56,6 +56,7 @@ def test_recall(spark):
     ids, x = zip(*[(r["id"], r["vector"]) for r in rows.collect()])
     x, at = np.array(x, dtype=np.float64), {i: k for k, i in enumerate(ids)}
     hits = 0
+    assert len(got) == rows.where("id % 20 = 0").count() and all(len(r["s"]) == 20 for r in got)
     for r in got:
         score = x @ x[at[r["query_id"]]]
         score[at[r["query_id"]]] = -np.inf
