@@ -102,7 +102,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def restrict(df: DataFrame, keys: DataFrame, by: str) -> DataFrame:
     """The rows of ``df`` whose ``by`` is among ``keys`` (one column of that name, distinct longs)."""
-    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = keys.count() <= BROADCAST_ROWS
     return df.join(F.broadcast(keys) if small else keys, by, "left_semi")
 
 

@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = grouped.where(~F.col("kept")).select(*pair).unionByName(kept.where(F.col("text_hash") != F.col("first")).select(*pair)).distinct()
     hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    slim = gone.limit(minhash.BROADCAST_ROWS + 1).count() <= minhash.BROADCAST_ROWS
+    slim = gone.count() <= minhash.BROADCAST_ROWS
     left = hashed.join(F.broadcast(gone) if slim else gone, same & (F.col("_text_hash") == F.col("_hash")), "left_anti")
     if again.isEmpty():
         return left.select(*docs.columns)
