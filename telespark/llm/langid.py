@@ -44,7 +44,7 @@ class LanguageModel:
     grams: dict[int, dict[str, int]]
     unseen: dict[str, int] = field(default_factory=dict)
     #: Vectors of unseen words that a worker keeps; past this number they are found anew from the next text on.
-    kept: int = 60_000
+    kept: int = 200_000
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "unseen": {}}
@@ -54,7 +54,7 @@ class LanguageModel:
         for n in sorted(self.grams, reverse=True):
             known = [i for g in grams_of(word, n) if (i := self.grams[n].get(g)) is not None]
             if known:
-                return self.matrix[known].mean(axis=0)
+                return np.add.reduce(self.matrix.take(known, axis=0), axis=0) / len(known)
         return None
 
     def posterior(self, text: str) -> np.ndarray:
@@ -108,7 +108,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 MAX_GRAM = 4
 
 
-def fit(train: DataFrame, *, most_rows: int = 1500, most_words: int = 12_000, most_grams: int = 6_000) -> LanguageModel:
+def fit(train: DataFrame, *, most_rows: int = 1500, most_words: int = 20_000, most_grams: int = 6_000) -> LanguageModel:
     """Learns from columns doc_id, text and lang.
 
     Reads at most about ``most_rows`` rows of each language, chosen by a hash of their id and text, and keeps the
