@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -60,7 +63,12 @@ _memory: dict = {}
 
 
 def take_over(owner: str, clear: Callable[[], None]) -> None:
-    """Lets a worker process keep what one operator remembers at a time: the one before is told to forget."""
+    """Lets a worker process keep what one operator remembers at a time: the one before is told to forget, and freed
+    memory goes back to the system where the C library can give it back."""
     if _memory.get("owner") != owner:
-        _memory.get("clear", lambda: None)()
+        if _memory:
+            _memory["clear"]()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
         _memory.update(owner=owner, clear=clear)
