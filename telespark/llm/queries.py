@@ -75,7 +75,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    features, weights = toxicity.fit(labelled(spark, sf_dir, docs, "toxic"), "label")
+    features, weights = toxicity.fit(labelled(spark, sf_dir, docs, "toxic"), "label", corpus=docs)
     scored = toxicity.score(docs, features, weights)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

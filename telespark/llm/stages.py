@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity is a half or more."""
-    features, weights = tox.fit(labelled(spark, sf_dir, docs, "toxic"), "label")
+    features, weights = tox.fit(labelled(spark, sf_dir, docs, "toxic"), "label", corpus=docs)
     return tox.score(docs, features, weights, out="_toxicity").where(F.col("_toxicity") < 0.5).select(*docs.columns)
 
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ _EDGE_SIGN = re.compile(r"[0-9@$!|+(€]?[^\W\d_]{2,}[0-9@$|+(€]?[.,]?").fullm
 _RUNS = re.compile(r"(.)\1*")
 #: Words whose features a worker keeps; past this number the memory is emptied.
 _KEPT = 100_000
+#: Words or trigrams that a task sums up before it passes their counts on.
+_FOLD = 200_000
 #: Longest word that is decoded; a longer one is scored as written.  It bounds a search, not the text.
 LONGEST = 40
 
@@ -40,17 +43,37 @@ class CharModel:
     """Character trigrams with add-k smoothing over lower-case words."""
 
     def __init__(self, counts: dict[str, int], k: float = 0.05):
-        self.tri: Counter = Counter()
-        self.bi: Counter = Counter()
-        for w, n in counts.items():
-            s = f"^^{w}$"
-            for i in range(2, len(s)):
-                self.tri[s[i - 2 : i + 1]] += n
-                self.bi[s[i - 2 : i]] += n
-        self.k, self.size = k, 1 + len({c for t in self.tri for c in t})
+        self._learn(trigrams(counts), k)
+
+    @classmethod
+    def of_trigrams(cls, counts: dict[str, int], k: float = 0.05) -> CharModel:
+        out = cls.__new__(cls)
+        out._learn(counts, k)
+        return out
+
+    def _learn(self, tri: dict[str, int], k: float) -> None:
+        """Costs of the trigrams met and, by the two characters before, of those never met."""
+        bi: Counter = Counter()
+        for t, n in tri.items():
+            bi[t[:2]] += n
+        size = 1 + len({c for t in tri for c in t})
+        self.met = {t: -math.log((n + k) / (bi[t[:2]] + k * size)) for t, n in tri.items()}
+        self.new = {b: -math.log(k / (n + k * size)) for b, n in bi.items()}
+        self.none = math.log(size)
 
     def cost(self, before: str, c: str) -> float:
-        return -math.log((self.tri.get(before + c, 0) + self.k) / (self.bi.get(before, 0) + self.k * self.size))
+        found = self.met.get(before + c)
+        return self.new.get(before, self.none) if found is None else found
+
+
+def trigrams(words: dict[str, int]) -> Counter:
+    """Counts of the character trigrams of words, with two marks before each and one after it."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        s = f"^^{w}$"
+        for i in range(len(s) - 2):
+            out[s[i : i + 3]] += n
+    return out
 
 
 def readings(word: str) -> list[list[tuple[str, float]]]:
@@ -150,20 +173,54 @@ class Features:
         return np.fromiter(out, dtype=np.int64, count=len(out))
 
 
-def fit_chars(train: DataFrame, *, most_words: int = 20_000) -> CharModel:
-    """The character model of the most frequent purely alphabetic words of the texts of ``train``."""
-    words = train.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![^\s])(\p{L}{2,20})(?=[\s.,]|$)"), 1))).alias("w"))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most_words).toPandas()
-    return CharModel(dict(zip(top["w"], top["count"].astype(int))))
-
-
-def fit(train: DataFrame, label: str, *, most_rows: int = 8000, params: linear.Ftrl | None = None) -> tuple[Features, np.ndarray]:
-    """Learns the character model and the weights from columns doc_id, text and ``label`` (0 or 1; other rows teach
-    nothing), reading at most about ``most_rows`` rows of each label, chosen by a hash of id and text."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigram counts of a partition's words; words, and then trigrams, are summed up before they are passed on."""
+    words: Counter = Counter()
+    found: Counter = Counter()
+
+    def fold() -> None:
+        spelt: Counter = Counter()
+        for piece, n in words.items():
+            w = piece[:-1] if piece[-1] in ".," else piece
+            if len(w) > 1 and w.isalpha():
+                spelt[w] += n
+        words.clear()
+        found.update(trigrams(spelt))
+
+    def rows() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "n"])
+        found.clear()
+        return out
+
+    for b in batches:
+        for text in b.column(0):
+            words.update((text.as_py() or "").lower().split())
+            if len(words) >= _FOLD:
+                fold()
+            if len(found) >= _FOLD:
+                yield rows()
+    fold()
+    yield rows()
+
+
+def fit_chars(docs: DataFrame) -> CharModel:
+    """The character model of all purely alphabetic words of two letters or more in the texts of ``docs``.
+
+    Every text counts whole and no trigram is left out, so the model grows with the corpus.  Letters that stand alone are
+    what the decoder has to join; they teach nothing.
+    """
+    top = docs.select("text").mapInArrow(_counted, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    return CharModel.of_trigrams(dict(zip(top["gram"], top["n"].tolist())))
+
+
+def fit(train: DataFrame, label: str, *, corpus: DataFrame | None = None, most_rows: int = 8000, params: linear.Ftrl | None = None) -> tuple[Features, np.ndarray]:
+    """Learns the character model from all texts of ``corpus`` (``train`` where there is none), and the weights from the
+    columns doc_id, text and ``label`` of ``train`` (0 or 1; other rows teach nothing), reading at most about ``most_rows``
+    rows of each label, chosen by a hash of id and text."""
     p = params or linear.Ftrl(bits=20, alpha=1.0, l1=4.0, epochs=6, shards=1)
     y = F.col(label).cast("int")
     rows = bounded_sample(train.where(y.isin(0, 1)), y, most_rows, "doc_id", "text")
-    features = Features(fit_chars(rows), p.bits)
+    features = Features(fit_chars(train if corpus is None else corpus), p.bits)
     shared = train.sparkSession.sparkContext.broadcast(features)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

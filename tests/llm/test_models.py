@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -92,6 +93,18 @@ def test_restored_words():
     assert toxicity.restored("", CHARS) == set() and toxicity.restored("plain words", CHARS) == {"plain", "words"}
 
 
+def test_character_model_counts_every_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "_FOLD", 3)
+    docs = frame(spark).selectExpr("doc_id", "text", "cast(null as int) as y")
+    rare = frame(spark).selectExpr("doc_id + 100 as doc_id", "'zyzzyva, " + "quux" * 9 + " x' as text", "cast(null as int) as y").limit(2)
+    both = docs.unionByName(rare)
+    model = toxicity.fit(docs, "y", corpus=both)[0].model
+    words = [w.rstrip(".,") for r in both.collect() for w in (r["text"] or "").lower().split()]
+    want = toxicity.CharModel(Counter(w for w in words if len(w) > 1 and w.isalpha()))
+    assert model.met == want.met and model.new == want.new and model.none == want.none
+    assert "zyz" in model.met and "uxq" in model.met and toxicity.fit(docs, "y")[0].model.met.keys() < model.met.keys()
+
+
 def test_stages_keep_columns_and_clean_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit("mine"))
     kept = stages.language_id(spark, docs, SF)
