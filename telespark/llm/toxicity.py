@@ -7,10 +7,12 @@ words as written and as restored.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,17 +28,16 @@ from telespark.llm.common import bounded_sample, take_over
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 _SPLIT = re.compile(r"[^\x20\x09-\x0D]+").findall
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”’…¿¡"
-#: Inside a word: signs between letters, or a character three times in a row.
-_ODD = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|(.)\1\1").search
-#: One sign at the edge of a word that is otherwise letters.
-_EDGE_SIGN = re.compile(r"[0-9@$!|+(€]?[^\W\d_]{2,}[0-9@$|+(€]?[.,]?").fullmatch
+#: What a reading may differ for: signs between letters, a sign that may stand for a letter, or a repeated character.
+_ODD = re.compile(rf"[^\W\d_][\W\d_]+[^\W\d_]|[{re.escape(''.join(SIGNS))}]|(.)\1").search
 _RUNS = re.compile(r"(.)\1*")
+_REPEATED = re.compile(r"(.)\1+").finditer
+#: Edge signs that stand for no letter: every reading leaves them out.
+_NOISE = "".join(c for c in _EDGE if c not in SIGNS)
 #: Words whose features a worker keeps; past this number the memory is emptied.
 _KEPT = 100_000
 #: Words or trigrams that a task sums up before it passes their counts on.
 _FOLD = 200_000
-#: Longest word that is decoded; a longer one is scored as written.  It bounds a search, not the text.
-LONGEST = 40
 
 
 class CharModel:
@@ -68,62 +69,128 @@ class CharModel:
 
 def trigrams(words: dict[str, int]) -> Counter:
     """Counts of the character trigrams of words, with two marks before each and one after it."""
-    out: Counter = Counter()
-    for w, n in words.items():
-        s = f"^^{w}$"
-        for i in range(len(s) - 2):
-            out[s[i : i + 3]] += n
-    return out
+    if not words:
+        return Counter()
+    codes = np.frombuffer("".join([f"^^{w}$" for w in words]).encode("utf-32-le"), dtype="<u4")
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes + 3)
+    starts = np.ones(len(codes), dtype=bool)
+    starts[ends - 1] = starts[ends - 2] = False  # those would reach into the next word
+    at = np.flatnonzero(starts)
+    met = np.zeros(sys.maxunicode + 1, dtype=bool)
+    met[codes] = True
+    letters = np.flatnonzero(met)
+    place = np.cumsum(met)[codes] - 1
+    n = len(letters)
+    where = (place[at] * n + place[at + 1]) * n + place[at + 2]
+    keys = None
+    if n > 200:  # too many for a table of all
+        keys, where = np.unique(where, return_inverse=True)
+    sums = np.bincount(where, weights=np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), sizes + 1)).astype(np.int64)
+    if keys is None:
+        keys = np.flatnonzero(sums)
+        sums = sums[keys]
+    chars = [chr(c) for c in letters]
+    return Counter({chars[k // (n * n)] + chars[k // n % n] + chars[k % n]: c for k, c in zip(keys.tolist(), sums.tolist())})
+
+
+@functools.cache
+def _read(c: str, n: int) -> list[tuple[str, float]]:
+    letters = c if c.isalpha() else SIGNS.get(c, "")
+    swap = 0.0 if c.isalpha() else 1.0
+    found = [(x, swap + (0.0 if n == 1 else 0.7)) for x in letters]
+    if n > 1:
+        found += [(x * 2, swap + (0.2 if n == 2 else 0.9)) for x in letters]
+    if not c.isalpha():
+        found.append(("", 5.0 if c in SIGNS else 0.3))  # a separator, or noise
+    return found
 
 
 def readings(word: str) -> list[list[tuple[str, float]]]:
     """The lattice: for each run of equal characters, what it may stand for and the channel's cost of that."""
-    out = []
-    for run in (m[0] for m in _RUNS.finditer(word)):
-        c, n = run[0], len(run)
-        letters = c if c.isalpha() else SIGNS.get(c, "")
-        swap = 0.0 if c.isalpha() else 1.0
-        found = [(x, swap + (0.0 if n == 1 else 0.7)) for x in letters]
-        if n > 1:
-            found += [(x * 2, swap + (0.2 if n == 2 else 0.9)) for x in letters]
-        if not c.isalpha():
-            found.append(("", 5.0 if c in SIGNS else 0.3))  # a separator, or noise
-        out.append(found)
-    return out
+    return [_read(m[1], min(3, m.end() - m.start())) for m in _RUNS.finditer(word)]
 
 
 def decode(word: str, model: CharModel) -> str:
-    """The reading of least total cost; of equal ones the first in code point order."""
-    paths: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    for choices in readings(word):
-        best: dict[str, tuple[float, str]] = {}
-        for state, (cost, text) in paths.items():
+    """The reading of least total cost; of equal ones that whose parts come first in the lattice."""
+    return _unstretched(word, model.cost) if word.isalpha() else "".join(_search(readings(word), model))
+
+
+def _unstretched(word: str, cost: Callable[[str, str], float]) -> str:
+    """The search for a word of letters alone: how often a letter is kept bears on no cost past the letter after its run,
+    so each run is settled by itself."""
+    out, at = "", 0
+    for m in _REPEATED(word):
+        i, j = m.span()
+        c, before, after = word[i], word[i - 1] if i else "^", word[j : j + 1] or "$"
+        once = 0.7 + cost(before + c, after)
+        twice = (0.2 if j - i == 2 else 0.9) + cost(before + c, c) + cost(c + c, after)
+        out += word[at:i] + (c if once <= twice else c + c)
+        at = j
+    return out + word[at:]
+
+
+def decode_words(letters: str, model: CharModel) -> list[str]:
+    """The reading of least total cost of letters in which a word may end after any of them, as words."""
+    lattice = []
+    for run, choices in zip((m[0] for m in _RUNS.finditer(letters)), readings(letters)):
+        n, found = len(run), list(choices)
+        if n > 1:  # words may also end inside a run
+            swap, signs = (0.0, run[0]) if run[0].isalpha() else (1.0, SIGNS.get(run[0], ""))
+            for x in signs:
+                for left, right in ((1, 1), (1, 2), (2, 1), (2, 2)):
+                    if left + right <= n:
+                        found.append((f"{x * left} {x * right}", swap + (0.2 if left + right == n else 0.9)))
+        if lattice:
+            found += [(f" {piece}", extra) for piece, extra in found if piece]
+        lattice.append(found)
+    return "".join(_search(lattice, model)).split()
+
+
+def _search(lattice: list[list[tuple[str, float]]], model: CharModel) -> list[str]:
+    """The parts of the cheapest path; a space ends a word and begins the next.
+
+    Paths are chains that share their beginnings, so time and memory are linear in the length of the lattice.
+    """
+    cost = model.cost
+    paths: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
+    for choices in lattice:
+        best: dict[str, tuple[float, tuple | None]] = {}
+        for state, (total, chain) in paths.items():
             for piece, extra in choices:
-                s, total = state, cost + extra
+                s, now = state, total + extra
                 for c in piece:
-                    total += model.cost(s, c)
-                    s = s[1] + c
-                now = (total, text + piece)
-                if s not in best or now < best[s]:
-                    best[s] = now
+                    if c == " ":
+                        now += cost(s, "$")
+                        s = "^^"
+                    else:
+                        now += cost(s, c)
+                        s = s[1] + c
+                if s not in best or now < best[s][0]:
+                    best[s] = (now, (chain, piece))
         paths = best
-    return min((cost + model.cost(s, "$"), text) for s, (cost, text) in paths.items())[1]
+    _, chain = min(((total + cost(s, "$"), chain) for s, (total, chain) in paths.items()), key=lambda x: x[0])
+    parts = []
+    while chain:
+        chain, piece = chain
+        parts.append(piece)
+    return parts[::-1]
 
 
 def forms(piece: str, model: CharModel) -> set[str]:
-    """The word of a lower-case piece of text without signs at its edges and, where the piece is odd, what it restores to."""
-    w = piece.strip(_EDGE)
+    """The word of a lower-case piece of text without signs at its edges and, where it is odd, what it restores to with
+    those signs and without them."""
+    w, whole = piece.strip(_EDGE), piece.strip(_NOISE)
     out = {w}
-    if len(piece) <= LONGEST:
-        if _ODD(w):
+    if _ODD(whole):
+        out.add(decode(whole, model))
+        if w != whole and _ODD(w):
             out.add(decode(w, model))
-        elif (piece[0] in SIGNS or piece.rstrip(".,")[-1:] in SIGNS) and _EDGE_SIGN(piece):
-            out.add(decode(piece.rstrip(".,"), model))
     return out - {""}
 
 
 def set_apart(pieces: list[str], model: CharModel) -> set[str]:
-    """What runs of three or more single letters or letter signs restore to."""
+    """What runs of three or more single letters or letter signs restore to, as one word and as several."""
     out: set[str] = set()
     apart: list[str] = []
     for p in [*pieces, ""]:
@@ -132,7 +199,7 @@ def set_apart(pieces: list[str], model: CharModel) -> set[str]:
             continue
         if len(apart) >= 3 and len(set(apart)) > 1:
             joined = "".join(apart)
-            out.update(decode(joined[i : i + LONGEST], model) for i in range(0, len(joined), LONGEST))
+            out.update((decode(joined, model), *decode_words(joined, model)))
         apart = []
     return out - {""}
 

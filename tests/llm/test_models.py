@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -93,6 +95,52 @@ def test_restored_words():
     assert toxicity.restored("", CHARS) == set() and toxicity.restored("plain words", CHARS) == {"plain", "words"}
 
 
+OBFUSCATED = toxicity.CharModel({"idiot": 5, "stupid": 5, "shit": 5, "ass": 5, "asshole": 5, "the": 40, "you": 20, "people": 9, "are": 20, "see": 9, "evil": 5})
+
+
+def test_every_obfuscated_piece_is_decoded():
+    for written, word in [
+        ("$tup1d", "stupid"), ("$h1t", "shit"), ("!d!ot", "idiot"), ("!d!ot.", "idiot"), ("stuupid", "stupid"), ("a55", "ass"),
+        ("5h17", "shit"), ("idi0+", "idiot"), ("@$$hole", "asshole"), ("s" + "t" * 60 + "upid", "stupid"), ("i" + "-" * 50 + "d.i.o.t", "idiot"),
+    ]:
+        assert word in toxicity.forms(written, OBFUSCATED), written
+    assert toxicity.forms("plain.", OBFUSCATED) == {"plain"}
+
+
+def test_letters_set_apart_are_cut_at_words():
+    told = ["you", "are", "stupid"] * 9 + ["idiot", "see", "evil"]
+    letters = [c for w in told for c in w]
+    assert toxicity.decode_words("".join(letters), OBFUSCATED) == told
+    assert set(told) <= toxicity.set_apart(letters, OBFUSCATED)
+    assert toxicity.decode_words("5tup1dpeople", OBFUSCATED) == ["stupid", "people"]
+
+
+def test_runs_of_letters_are_settled_one_by_one():
+    rng = random.Random(5)
+    model = toxicity.CharModel({"".join(rng.choices("abc", k=rng.randint(2, 7))): rng.randint(1, 9) for _ in range(60)})
+    for _ in range(2000):
+        w = "".join(c * rng.choice([1, 1, 2, 2, 3, 5]) for c in rng.choices("abcd", k=rng.randint(1, 7)))
+        assert toxicity.decode(w, model) == "".join(toxicity._search(toxicity.readings(w), model)), w
+
+
+def test_search_is_linear():
+    took = []
+    for n in (2_000, 40_000):
+        start = time.perf_counter()
+        assert len(toxicity.decode("1d10t." * n, CHARS)) >= 3 * n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 80 * took[0]
+
+
+def test_trigrams_of_words():
+    for words in ({"ab": 2, "abab": 3, "é": 1, "😀b": 4}, {chr(0x4E00 + k) + "x" + chr(0x4E00 + k % 7): k for k in range(1, 400)}, {}):
+        want = Counter()
+        for w, n in words.items():
+            for k in range(len(w) + 1):
+                want[f"^^{w}$"[k : k + 3]] += n
+        assert toxicity.trigrams(words) == want
+
+
 def test_character_model_counts_every_text(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "_FOLD", 3)
     docs = frame(spark).selectExpr("doc_id", "text", "cast(null as int) as y")
