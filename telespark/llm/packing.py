@@ -57,7 +57,7 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
     return out
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_rows: int = 2048, linear: float = 1.0, quadratic: float = 1 / 2048) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_rows: int = 2048, linear: float = 1.0, quadratic: float = 1 / 2048, added_tokens: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 16 bits).
 
     Needs columns doc_id and text.  A document's ids are its text's and ``end_id``, which is all that a null or empty text
@@ -71,7 +71,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 20
             names = b.column("doc_id")
             for at, texts in tokens.blocks(b.column("text")):
                 rows: list[tuple[int, int, int, bytes]] = []
-                for k, ids in enumerate(tokens.encode(texts, tokenizer)):
+                for k, ids in enumerate(tokens.encode(texts, tokenizer, added_tokens=added_tokens)):
                     short = np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes() + end
                     n = len(short) // 2
                     rows += [(at + k, s, n, short[2 * s : 2 * (s + capacity)]) for s in range(0, n, capacity)]

@@ -55,7 +55,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.new_path(spark, "tokens")
-    tokens.write_orc(table(spark, sf_dir, "documents"), path, tokenizer=tokens.default_tokenizer())
+    tokens.write_orc(table(spark, sf_dir, "documents"), path, tokenizer=tokens.default_tokenizer(), added_tokens=True)
     parts = saved(tokens.digest(tokens.read_orc(spark, path)), "digest")
     return tokens.with_starts(parts).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -70,7 +70,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.digest(packing.pack(docs, tokenizer=tokens.default_tokenizer()))
+    return packing.digest(packing.pack(docs, tokenizer=tokens.default_tokenizer(), added_tokens=True))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,4 +63,4 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.digest(packing.pack(docs, tokenizer=tokens.default_tokenizer()))
+    return packing.digest(packing.pack(docs, tokenizer=tokens.default_tokenizer(), added_tokens=True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import uuid
@@ -73,6 +74,18 @@ class _Words(dict):
 
     def __init__(self, path: str):
         self.pieces = _Pieces(path)
+        added = self.pieces.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: struct.pack("<I", k) for k, t in added.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        #: Such a token takes from the text around it, so texts that hold it are left to the tokenizer.
+        self.reaching = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.path = path
+
+    @functools.cached_property
+    def plain(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> bytes:
         return b"".join([self.pieces[p] for p in _PIECES(text)])
@@ -85,24 +98,34 @@ class _Words(dict):
             self[word] = found
         return found
 
-
-def encode(texts: list[str | None], path: str) -> list[bytes]:
+    def of_text(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if _RUN(text):
+            return self.ids(text)
+        head, *rest = text.split(" ")
+        return (self.ids(head) if head else b"") + b"".join(map(self.__getitem__, rest))
+
+    def with_added(self, text: str | None) -> bytes:
+        """As ``of_text``, but added tokens in the text become their own ids."""
+        if not text or not self.at_added or not self.at_added.search(text):
+            return self.of_text(text)
+        if self.reaching:
+            ids = self.plain.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.added[p] if k % 2 else self.of_text(p) for k, p in enumerate(self.at_added.split(text))])
+
+
+def encode(texts: list[str | None], path: str, *, added_tokens: bool = False) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers; none for null and empty texts.
 
-    A text is cut where the tokenizer cuts it anyway, and the ids of what was met before are reused.
+    A text is cut where the tokenizer cuts it anyway, and the ids of what was met before are reused.  With
+    ``added_tokens`` the vocabulary's added tokens in a text become their own ids, as the tokenizer's default has it;
+    without, they are text like any other (``encode_special_tokens``).
     """
     take_over("tokens", _tokenizers.clear)
     words = _tokenizers[path] if path in _tokenizers else _tokenizers.setdefault(path, _Words(path))
-    out = []
-    for text in texts:
-        if not text:
-            out.append(b"")
-        elif _RUN(text):
-            out.append(words.ids(text))
-        else:
-            head, *rest = text.split(" ")
-            out.append((words.ids(head) if head else b"") + b"".join(map(words.__getitem__, rest)))
-    return out
+    return list(map(words.with_added if added_tokens else words.of_text, texts))
 
 
 def blocks(column: pa.Array | pa.ChunkedArray, most_chars: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
@@ -123,7 +146,7 @@ def crc(ids: memoryview | bytes) -> int:
     return zlib.crc32(ids)
 
 
-def write_orc(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, partitions: int | None = None, row_index: int = 1000) -> None:
+def write_orc(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, partitions: int | None = None, row_index: int = 1000, added_tokens: bool = False) -> None:
     """Writes doc_id and ids (array<int>) of rows with columns doc_id and text, in ascending doc_id order.
 
     Null ids come first; rows of one id are in the order of their text's hash.  Each document ends with ``end_id``, which
@@ -139,7 +162,7 @@ def write_orc(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, pa
         for b in batches:
             ids = b.column("doc_id")
             for at, texts in blocks(b.column("text")):
-                found = [x + end for x in encode(texts, tokenizer)]
+                found = [x + end for x in encode(texts, tokenizer, added_tokens=added_tokens)]
                 flat = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
                 bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(bounds), flat)], ["doc_id", "ids"])

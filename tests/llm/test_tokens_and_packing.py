@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from telespark.llm import packing, tokens
+from telespark.llm import packing, queries, tokens
 from tests.llm.data import corpus, frame
 
 PATH = tokens.default_tokenizer()
@@ -40,6 +40,26 @@ def test_encoding_equals_the_tokenizer(text):
     assert unpacked(tokens.encode([text], PATH)[0]) == t.encode(text, add_special_tokens=False).ids
 
 
+DEFAULT = Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*PARTS, "<|endoftext|>", "<|endoftext", "|>"]), max_size=14).map("".join))
+def test_added_tokens_equal_the_default_tokenizer(text):
+    assert unpacked(tokens.encode([text], PATH, added_tokens=True)[0]) == DEFAULT.encode(text, add_special_tokens=False).ids
+
+
+def test_queries_take_added_tokens(spark, tmp_path):
+    text = "one <|endoftext|>two  <|endoftext|><|endoftext|>\nthree"
+    want = DEFAULT.encode(text, add_special_tokens=False).ids
+    assert want.count(50256) == 3
+    frame(spark).limit(1).selectExpr("doc_id", f"'{text}' as text", "source").write.parquet(str(tmp_path / "documents.parquet"))
+    row = queries.op4_tokens(spark, str(tmp_path)).first()
+    assert (row["n_tokens"], row["ids_crc32"]) == (len(want) + 1, crc([*want, 0]))
+    piece = queries.op7_pack(spark, str(tmp_path)).first()
+    assert (piece["length"], piece["ids_crc32"]) == (len(want) + 1, crc([*want, 1]))
+
+
 def crc(ids: list[int]) -> int:
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
