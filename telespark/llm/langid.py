@@ -35,7 +35,7 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Log frequencies of words and of character n-grams in each language, in rows of one matrix."""
+    """Log frequencies of words and of character n-grams in each language, in rows of one matrix (single precision)."""
 
     langs: list[str]
     prior: np.ndarray
@@ -82,7 +82,7 @@ class LanguageModel:
         base = len(self.words) + sum(map(len, self.grams.values()))
         i = base + len(self.unseen)
         if i >= len(self.matrix):
-            self.matrix = np.vstack([self.matrix, np.zeros((max(4096, len(self.matrix) // 2), len(self.langs)))])
+            self.matrix = np.vstack([self.matrix, np.zeros((max(4096, len(self.matrix) // 2), len(self.langs)), dtype=self.matrix.dtype)])
         self.matrix[i] = v
         self.unseen[word] = i
         return i
@@ -105,10 +105,10 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["lang", "kind", "gram", "n"])
 
 
-MAX_GRAM = 4
+MAX_GRAM = 5
 
 
-def fit(train: DataFrame, *, most_rows: int = 1500, most_words: int = 20_000, most_grams: int = 6_000) -> LanguageModel:
+def fit(train: DataFrame, *, most_rows: int = 1500, most_words: int = 20_000, most_grams: int = 10_000) -> LanguageModel:
     """Learns from columns doc_id, text and lang.
 
     Reads at most about ``most_rows`` rows of each language, chosen by a hash of their id and text, and keeps the
@@ -143,7 +143,7 @@ def fit(train: DataFrame, *, most_rows: int = 1500, most_words: int = 20_000, mo
         k = max(k, i + 1)
         freq[i, at[lang]] = n
         kinds[i] = kind
-    matrix = np.log((freq + 0.5) / (total[kinds] + 1.0)) if size else freq
+    matrix = np.log((freq + 0.5) / (total[kinds] + 1.0)).astype(np.float32) if size else freq
     words = grams.pop(0)
     return LanguageModel(langs, np.log(total[0] / total[0].sum()), matrix, words, grams)
 
