@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,33 @@ def bounded_sample(df: DataFrame, by: Column, most: int, *key: str) -> DataFrame
     return df.where(hash_fraction(*key, seed=11) <= share)
 
 
+V = TypeVar("V")
+
+
+class Recent(dict[str, V]):
+    """Values worked out lately by ``make``, looked up with ``[]``.  Past ``most`` keys the younger generation takes the
+    place of the older one, so twice as many are kept at most; keys longer than ``longest`` aren't kept."""
+
+    def __init__(self, make: Callable[[str], V], most: int, longest: int = 40):
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key: str) -> V:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > self.longest:
+                return found
+        if len(self) >= self.most:
+            self.old = dict(self)
+            super().clear()
+        self[key] = found
+        return found
+
+    def clear(self) -> None:
+        self.old = {}
+        super().clear()
+
+
 _memory: dict = {}
 
 

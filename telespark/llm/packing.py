@@ -62,11 +62,12 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 20
 
     Needs columns doc_id and text.  A document's ids are its text's and ``end_id``, which is all that a null or empty text
     has; equal doc_ids stay apart, as each row is a document.  Every id lies in exactly one piece, and the pieces of a
-    sequence leave no gap.  The vocabulary must fit in 16 bits.
+    sequence leave no gap.  A vocabulary whose ids don't fit in 16 bits is an error.
     """
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.check_ids(tokenizer, 16)
         for b in batches:
             names = b.column("doc_id")
             for at, texts in tokens.blocks(b.column("text")):

@@ -3,28 +3,36 @@
 from __future__ import annotations
 
 import functools
+import json
+import operator
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telespark.llm.common import shared_dir, take_over
+from telespark.llm.common import Recent, shared_dir, take_over
 
-#: Places at which this tokenizer's own pre-tokenizer always splits: before a single space or line feed between other
-#: characters, and between a letter or digit and a sign other than the apostrophe.
-_PIECES = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[^\W_])(?=[^\w\s'])").split
-_RUN = re.compile(r"\s\s").search
-#: Words and pieces whose ids a worker keeps; past these numbers the memory is emptied.
-_KEPT_WORDS, _KEPT_PIECES = 500_000, 500_000
-#: Longer ones seldom come again and aren't kept.
-_LONG = 12
-_tokenizers: dict[str, "_Words"] = {}
+#: White space as Unicode has it, which is also what the pre-tokenizer takes for it.
+_SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A byte-level pre-tokenizer always splits before white space and, in a run of it, before the last character if a word
+#: follows.
+_UNITS = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])|(?<=[{_SPACE}])(?=[{_SPACE}][^{_SPACE}])").split
+_RUN = re.compile(f"[{_SPACE}][{_SPACE}]").search
+#: Signs that may follow letters: the pre-tokenizer always splits between these and a letter, but for the apostrophe.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters from here on are left to the tokenizer: its tables and Python's may differ on when a sign became a letter.
+_SETTLED = "\u0530"
+#: Units of whose ids a worker keeps as many to twice as many.
+_KEPT = 400_000
+_ID = operator.attrgetter("id")
+_encoders: dict[tuple[str, bool], "_Encoder"] = {}
 
 
 def default_tokenizer() -> str:
@@ -42,90 +50,114 @@ def _visible() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Ids of the pieces that lie between sure splits."""
+@functools.cache
+def _packer(n: int) -> Callable[..., bytes]:
+    return struct.Struct(f"<{n}I").pack
 
-    def __init__(self, path: str):
+
+def _packed(ids: list[int]) -> bytes:
+    return _packer(len(ids))(*ids) if len(ids) < 64 else np.array(ids, dtype="<u4").tobytes()
+
+
+class _Encoder:
+    """Ids of texts by one vocabulary.  Texts are cut into units where the pre-tokenizer splits in any case, and the ids
+    of units met lately are kept.  A unit's key is the unit, without the space that it begins with if it is one space.
+    """
+
+    def __init__(self, path: str, added_tokens: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         self.model, self.letters = self.tokenizer.model, _visible()
+        told = json.loads(Path(path).read_text())
+        split, added = told.get("pre_tokenizer") or {}, self.tokenizer.get_added_tokens_decoder().values()
+        known = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and told["model"]["type"] == "BPE"
+        #: Whether texts may be cut: so far as its file tells, the vocabulary splits as a byte-level one does.  Where not,
+        #: texts are left to the tokenizer whole.
+        self.cut = known and not any(told.get(x) for x in ("normalizer", "truncation", "padding")) and all(t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added)
+        names = sorted((re.escape(t.content) for t in added), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(names)})") if names and added_tokens else None
+        self.kept = Recent(self.of_key, _KEPT)
+        self.largest = max(self.tokenizer.get_vocab().values(), default=0)
+        self.signs = functools.lru_cache(4096)(self.merged)
+
+    def plain(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def merged(self, piece: str) -> bytes:
+        """Ids of what is one piece to the pre-tokenizer."""
+        shown = piece.encode().decode("latin-1").translate(self.letters)
+        return _packed(list(map(_ID, self.model.tokenize(shown))))
+
+    def of_key(self, key: str) -> bytes:
+        start = "\n" if key[:1] == "\n" else ""
+        signs = key[len(word := key.rstrip(_SIGNS)) :]
+        word = word[len(start) :]
+        if not word.isalpha() or not (word.isascii() or max(word) < _SETTLED):
+            return self.plain(key if key and key[0] in _SPACE else f" {key}")
+        if start:
+            out = self.signs("\n") + self.merged(word)
+        elif signs:
+            out = self.kept[word]
+        else:  # letters take the space before them along
+            out = self.merged(f" {word}")
+        return out + self.signs(signs) if signs else out
+
+    def keys(self, text: str) -> list[str]:
+        """Keys of a text's units.  The first is that of the text's beginning with a line feed before it; such a key is
+        left out where the text begins with white space, after which units stand as they are."""
+        if _RUN(text):
+            units = _UNITS(text)
+            keys = [u[1:] if u[0] == " " and len(u) > 1 and u[1] not in _SPACE else u for u in units]
+            return keys if text[0] in _SPACE else [f"\n{units[0]}", *keys[1:]]
+        first, *keys = text.replace("\n", " \n").split(" ")
+        return [first if first[0] in _SPACE else f"\n{first}", *keys] if first else keys
+
+    def parts(self, text: str | None) -> list[str | bytes]:
+        """What a text is put together from: texts to be cut, and ids."""
+        if not text:
+            return []
+        if not self.cut:
+            return [self.plain(text)]
+        if self.added and self.added.search(text):
+            return [self.plain(p) if k % 2 else p for k, p in enumerate(self.added.split(text)) if p]
+        return [text]
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _KEPT_PIECES:
-            self.clear()
-        letters = piece[1:] if piece[0] in " \n" else piece
-        if not letters.isalpha():
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        elif piece[0] == "\n":
-            found = self[piece] = self["\n"] + self[letters]
-            return found
-        else:  # letters with or without a space are one word to the pre-tokenizer, so merging can start at once
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            if len(piece) > _LONG:
-                return struct.pack(f"<{len(ids)}I", *ids)
-        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
-
-
-class _Words(dict):
-    """Ids of what stands between single spaces, with the space before it."""
-
-    def __init__(self, path: str):
-        self.pieces = _Pieces(path)
-        added = self.pieces.tokenizer.get_added_tokens_decoder()
-        self.added = {t.content: struct.pack("<I", k) for k, t in added.items()}
-        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
-        #: Such a token takes from the text around it, so texts that hold it are left to the tokenizer.
-        self.reaching = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
-        self.path = path
-
-    @functools.cached_property
-    def plain(self):
-        from tokenizers import Tokenizer
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        get = self.kept.__getitem__
 
-        return Tokenizer.from_file(self.path)
+        def of_part(part: str | bytes) -> bytes:
+            if isinstance(part, bytes):
+                return part
+            ids = b"".join(map(get, self.keys(part)))
+            return ids if part[0] in _SPACE else ids[4:]
 
-    def ids(self, text: str) -> bytes:
-        return b"".join([self.pieces[p] for p in _PIECES(text)])
+        return [b"".join(map(of_part, self.parts(t))) for t in texts]
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _KEPT_WORDS:
-            self.clear()
-        found = self.ids(f" {word}")
-        if len(word) <= _LONG:
-            self[word] = found
-        return found
 
-    def of_text(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _RUN(text):
-            return self.ids(text)
-        head, *rest = text.split(" ")
-        return (self.ids(head) if head else b"") + b"".join(map(self.__getitem__, rest))
+def _encoder(path: str, added_tokens: bool) -> _Encoder:
+    take_over("tokens", _encoders.clear)
+    key = path, added_tokens
+    return _encoders[key] if key in _encoders else _encoders.setdefault(key, _Encoder(*key))
+
 
-    def with_added(self, text: str | None) -> bytes:
-        """As ``of_text``, but added tokens in the text become their own ids."""
-        if not text or not self.at_added or not self.at_added.search(text):
-            return self.of_text(text)
-        if self.reaching:
-            ids = self.plain.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join([self.added[p] if k % 2 else self.of_text(p) for k, p in enumerate(self.at_added.split(text))])
+def check_ids(path: str, bits: int) -> None:
+    """Raises an error if an id of the vocabulary doesn't fit in so many bits."""
+    most = _encoder(path, True).largest
+    if most >> bits:
+        raise ValueError(f"id {most} of {path} needs more than {bits} bits")
 
 
 def encode(texts: list[str | None], path: str, *, added_tokens: bool = False) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers; none for null and empty texts.
 
-    A text is cut where the tokenizer cuts it anyway, and the ids of what was met before are reused.  With
-    ``added_tokens`` the vocabulary's added tokens in a text become their own ids, as the tokenizer's default has it;
-    without, they are text like any other (``encode_special_tokens``).
+    A text is cut where the tokenizer cuts it anyway, and the ids of what was met lately are reused; texts of a vocabulary
+    that may cut otherwise are left to the tokenizer whole.  With ``added_tokens`` the vocabulary's added tokens in a text
+    become their own ids, as the tokenizer's default has it; without, they are text like any other
+    (``encode_special_tokens``).
     """
-    take_over("tokens", _tokenizers.clear)
-    words = _tokenizers[path] if path in _tokenizers else _tokenizers.setdefault(path, _Words(path))
-    return list(map(words.with_added if added_tokens else words.of_text, texts))
+    return _encoder(path, added_tokens).encode(texts)
 
 
 def blocks(column: pa.Array | pa.ChunkedArray, most_chars: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:

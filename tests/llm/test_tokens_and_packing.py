@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -27,10 +28,10 @@ def unpacked(ids: bytes) -> list[int]:
     return np.frombuffer(ids, dtype="<u4").tolist()
 
 
-PARTS = ["a", "Word", "é", "1", "²", "'s", "'", "*", " ", "  ", "\n", "\t", ".", ",", "the", "😀", "<|endoftext|>", "́", "_", "中", "\r\n", "don't", " ", "　"]
+PARTS = ["\r", "\x1c", "\x85", "(w)", "w.,;", "w'", "_w", "Ԁ", "Ա", "\u0378", "𞤀", "a", "Word", "é", "1", "²", "'s", "'", "*", " ", "  ", "\n", "\t", ".", ",", "the", "😀", "<|endoftext|>", "́", "_", "中", "\r\n", "don't", " ", "　"]
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(PARTS), max_size=14).map("".join)))
 def test_encoding_equals_the_tokenizer(text):
     text = text.encode("utf-8", "ignore").decode()
@@ -43,12 +44,46 @@ def test_encoding_equals_the_tokenizer(text):
 DEFAULT = Tokenizer.from_file(PATH)
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=1000, deadline=None)
 @given(st.lists(st.sampled_from([*PARTS, "<|endoftext|>", "<|endoftext", "|>"]), max_size=14).map("".join))
 def test_added_tokens_equal_the_default_tokenizer(text):
     assert unpacked(tokens.encode([text], PATH, added_tokens=True)[0]) == DEFAULT.encode(text, add_special_tokens=False).ids
 
 
+def changed(tmp_path, **parts):
+    """The vocabulary with some parts of its file changed."""
+    told = json.loads(open(PATH).read()) | parts
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    return str(tmp_path / "t.json")
+
+
+@pytest.mark.parametrize("parts", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}])
+def test_other_vocabularies_are_left_whole(tmp_path, parts):
+    path = changed(tmp_path, **parts)
+    t = Tokenizer.from_file(path)
+    texts = ["One Two  three,\nfour's <|endoftext|> five", " a", "", None, "the the"]
+    assert [unpacked(x) for x in tokens.encode(texts, path, added_tokens=True)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_what_is_kept_is_bounded_and_right(monkeypatch):
+    monkeypatch.setattr(tokens, "_KEPT", 5)
+    e = tokens._Encoder(PATH, True)
+    texts = [f"w{chr(97 + k % 26)}x{k} wood{chr(97 + k % 7)}, " + "long" * (k % 14) for k in range(200)]
+    assert [unpacked(x) for x in e.encode(texts)] == [DEFAULT.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(e.kept) <= 5 and len(e.kept.old) <= 5 and all(len(k) <= 40 for k in e.kept)
+
+
+def test_ids_beyond_16_bits_are_an_error(tmp_path):
+    extra = [{"id": 70_000, "content": "<far>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]
+    path = changed(tmp_path, added_tokens=json.loads(open(PATH).read())["added_tokens"] + extra)
+    if Tokenizer.from_file(path).token_to_id("<far>") > 0xFFFF:
+        with pytest.raises(ValueError, match="more than 16 bits"):
+            tokens.check_ids(path, 16)
+    with pytest.raises(ValueError, match="more than 15 bits"):
+        tokens.check_ids(PATH, 15)
+    tokens.check_ids(PATH, 16)
+
+
 def test_queries_take_added_tokens(spark, tmp_path):
     text = "one <|endoftext|>two  <|endoftext|><|endoftext|>\nthree"
     want = DEFAULT.encode(text, add_special_tokens=False).ids
@@ -81,13 +116,33 @@ def test_token_table_round_trip(spark, tmp_path, plain):
     assert table.where("doc_id = 7").select("ids").first()[0] == [*plain("one"), 0]
 
 
-def test_orc_holds_bloom_filters(spark, tmp_path):
-    import pyarrow.orc
-
+def test_orc_holds_indexes_that_prune(spark, tmp_path):
+    """A file of several row groups has row indexes and Bloom filters, by which a lookup of an id reads fewer rows."""
+    docs = spark.range(40_000).selectExpr("id * 2 as doc_id", "concat('word ', id) as text")
     path = tmp_path / "t"
-    tokens.write_orc(frame(spark), str(path), tokenizer=PATH, partitions=1)
-    files = [f for f in path.glob("*.orc") if pyarrow.orc.ORCFile(str(f)).nrows]
-    assert files and spark.read.orc(str(path)).count() == len(corpus())
+    tokens.write_orc(docs, str(path), tokenizer=PATH, partitions=1)
+    (file,) = (f for f in path.glob("*.orc") if f.stat().st_size > 1000)
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    stripes = reader.getStripes()
+    kinds = [str(s.getKind()) for s in reader.rows().readStripeFooter(stripes.get(0)).getStreamsList() if s.getColumn() == 1]
+    assert "ROW_INDEX" in kinds and any("BLOOM_FILTER" in k for k in kinds)
+    assert reader.getRowIndexStride() == 1000
+
+    def rows_read(doc_id: int) -> int:
+        sarg = jvm.org.apache.hadoop.hive.ql.io.sarg
+        leaf = sarg.SearchArgumentFactory.newBuilder().equals("doc_id", getattr(jvm, "org.apache.hadoop.hive.ql.io.sarg.PredicateLeaf$Type").LONG, jvm.java.lang.Long(doc_id)).build()
+        columns = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 1)
+        columns[0] = "doc_id"
+        rows = reader.rows(reader.options().searchArgument(leaf, columns).allowSARGToFilter(False))
+        batch, n = reader.getSchema().createRowBatch(), 0
+        while rows.nextBatch(batch):
+            n += batch.size
+        return n
+
+    assert rows_read(30_000) == 1000, "the row group that holds the id"
+    assert sum(rows_read(k) == 0 for k in range(30_001, 30_041, 2)) >= 17, "ids within its range that aren't there: the Bloom filter"
 
 
 def test_empty_tables(spark, tmp_path):
