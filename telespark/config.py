@@ -16,6 +16,7 @@ class JobConfig:
     malformed: str = "count"
     trigger: str = "10 seconds"
     usd_per_gb: float = 0.50
+    #: Upper bounds of the latency buckets, in seconds.
     latency_bounds: tuple[float, ...] = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
     max_series: int = 2_000
     max_templates: int = 20_000

@@ -6,14 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _MASK = 0xFFFFFFFF
+#: Characters that are cut out of a text at a time: a text is walked through from its start for each cut.
+_CHUNK = 128
+
+
+def _added(h: Column, c: Column) -> Column:
+    return (h * 31 + c).bitwiseAND(F.lit(_MASK))
 
 
 def string_hash(text: Column) -> Column:
-    """The sum of code * 31 ** (n - 1 - i), modulo 2 ** 32, as an unsigned long.
+    """The sum of code * 31 ** (n - 1 - i) over the UTF-16 codes, modulo 2 ** 32, as an unsigned long."""
 
-    Characters beyond the basic plane count as one code.
-    """
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: (a * 31 + F.ascii(c)).bitwiseAND(F.lit(_MASK)))
+    def of_chunk(h: Column, k: Column) -> Column:
+        part = F.substring(text, k * _CHUNK + 1, F.lit(_CHUNK))
+
+        def of_char(a: Column, i: Column) -> Column:
+            c = F.ascii(F.substring(part, i, F.lit(1)))
+            high, low = F.shiftright(c - 0x10000, 10) + 0xD800, (c - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+            return F.when(c > 0xFFFF, _added(_added(a, high), low)).otherwise(_added(a, c))
+
+        n = F.length(part)
+        return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), h, of_char)
+
+    chunks = F.sequence(F.lit(0), F.floor(F.length(text) / _CHUNK).cast("int"))
+    return F.aggregate(chunks, F.lit(0).cast("long"), of_chunk)
 
 
 def hash_hex(text: Column) -> Column:

@@ -27,7 +27,8 @@ def attr_map(attributes: Column, text=scalar_text) -> Column:
     """A list of attributes as a map; of several with one key the last counts, and those without text are left out."""
     pairs = F.filter(F.transform(attributes, lambda a: F.named_struct(F.lit("key"), a["key"], F.lit("value"), text(a["value"]))), lambda p: p["key"].isNotNull() & p["value"].isNotNull())
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == p["key"]))
-    return F.coalesce(F.map_from_entries(last), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    once = F.size(F.array_distinct(F.transform(pairs, lambda p: p["key"]))) == F.size(pairs)  # as good as always
+    return F.coalesce(F.map_from_entries(F.when(once, pairs).otherwise(last)), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
 
 
 def attr(attrs: Column, key: str) -> Column:

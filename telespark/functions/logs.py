@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from telespark.functions.labels import UNKNOWN
 
 _HEX = "[0-9a-fA-F]"
-#: What is masked, in this order: quoted text, addresses with or without port, UUIDs, hexadecimal tokens of eight digits or
+#: What is masked, in this order: quoted text, addresses with or without port, UUIDs, hexadecimal tokens of eight digits or
 #: more with a letter among them, runs of digits, white space.
 MASKS = (
     (r"\"[^\"]*\"|'[^']*'", "<STR>"),

@@ -1,4 +1,8 @@
-"""Envelopes to flat rows, one row for each resource, span, log record, data point or point attribute."""
+"""Envelopes to flat rows, one row for each batch, resource, span, log record, data point or point attribute.
+
+Rows of records have ``ord``, their place in a total order: by batch_id, which a broker's offsets make the order of arrival,
+and then by their places inside the batch.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +15,6 @@ from telespark.schema import LEVELS, METRIC_KINDS
 _KEPT = ("batch_id", "arrival_ts", "n_bytes")
 
 
-def _resources(envelopes: DataFrame, signal: str) -> DataFrame:
-    top = LEVELS[signal][0]
-    return envelopes.select(*_KEPT, F.posexplode(F.col("envelope")[top]).alias("resource_idx", "r"))
-
-
 def points_of(metric: Column) -> Column:
     """The data points of all five kinds of a metric, each with its kind."""
     def of_kind(kind: str) -> Column:
@@ -41,28 +40,54 @@ def _count(resource: Column, signal: str) -> Column:
     return F.aggregate(F.coalesce(resource[middle], F.array()), F.lit(0).cast("long"), lambda a, s: a + of_scope(s))
 
 
+def _batch_count(signal: str) -> Column:
+    """How many records an envelope holds."""
+    resources = F.coalesce(F.col("envelope")[LEVELS[signal][0]], F.array())
+    return F.aggregate(resources, F.lit(0).cast("long"), lambda a, r: a + _count(r, signal))
+
+
+def flatten_batches(envelopes: DataFrame, signal: str) -> DataFrame:
+    """signal, batch_id, arrival_ts, n_bytes, malformed, n_records and ord of each envelope; a malformed one has no
+    records."""
+    n = F.when(F.col("malformed"), F.lit(0).cast("long")).otherwise(_batch_count(signal))
+    return envelopes.select("signal", "batch_id", "arrival_ts", "n_bytes", "malformed", n.alias("n_records"), F.col("batch_id").alias("ord"))
+
+
 def flatten_resources(envelopes: DataFrame, signal: str) -> DataFrame:
-    """signal, batch_id, resource_idx, attrs, resource_bytes and n_records.
+    """signal, batch_id, resource_idx, attrs, resource_bytes, n_records and bytes_basis.
 
-    Records are counted in the arrays.  The bytes are those of the resource's JSON text, another basis than protobuf.
+    Records are counted in the arrays.  resource_bytes is a resource's size on the wire where the decoder has measured it
+    (bytes_basis ``wire``), else that of its JSON text (``json``), which is another basis.
     """
-    r = _resources(envelopes, signal)
+    measured = "resource_bytes" in envelopes.columns
+    top = F.posexplode(F.col("envelope")[LEVELS[signal][0]]).alias("resource_idx", "r")
+    r = envelopes.select(*_KEPT, *(["resource_bytes"] if measured else []), top)
+    size = F.get("resource_bytes", F.col("resource_idx")) if measured else F.octet_length(F.to_json("r")).cast("long")
     return r.select(
         F.lit(signal).alias("signal"),
         "batch_id",
         "resource_idx",
         labels.attr_map(F.col("r.resource.attributes")).alias("attrs"),
-        F.octet_length(F.to_json("r")).cast("long").alias("resource_bytes"),
+        size.alias("resource_bytes"),
         _count(F.col("r"), signal).alias("n_records"),
-        F.lit("json").alias("bytes_basis"),
+        F.lit("wire" if measured else "json").alias("bytes_basis"),
     )
 
 
 def _records(envelopes: DataFrame, signal: str) -> DataFrame:
-    """Each innermost record x, with its resource's attributes and its place."""
-    _, middle, inner = LEVELS[signal]
-    scopes = _resources(envelopes, signal).select(*_KEPT, "resource_idx", labels.attr_map(F.col("r.resource.attributes")).alias("res"), F.posexplode(F.col("r")[middle]).alias("scope_idx", "s"))
-    return scopes.select(*_KEPT, "resource_idx", "res", "scope_idx", F.posexplode(F.col("s")[inner]).alias("idx", "x"))
+    """Each innermost record x, with its resource's attributes, its place and how many records its batch has."""
+    top, middle, inner = LEVELS[signal]
+    kept = [*_KEPT, "n_batch"]
+    resources = envelopes.withColumn("n_batch", _batch_count(signal)).select(*kept, F.posexplode(F.col("envelope")[top]).alias("resource_idx", "r"))
+    scopes = resources.select(*kept, "resource_idx", labels.attr_map(F.col("r.resource.attributes")).alias("res"), F.posexplode(F.col("r")[middle]).alias("scope_idx", "s"))
+    records = scopes.select(*kept, "resource_idx", "res", "scope_idx", F.posexplode(F.col("s")[inner]).alias("idx", "x"))
+    return records.withColumn("ord", F.struct("batch_id", "resource_idx", "scope_idx", "idx"))
+
+
+def _time(*fields: str) -> Column:
+    """The first of some fields in nanoseconds that is set, as a timestamp; the time of arrival where none is."""
+    found = [F.timestamp_micros(F.expr(f"nullif(try_cast(x.{f} AS BIGINT), 0) div 1000")) for f in fields]
+    return F.coalesce(*found, F.col("arrival_ts"))
 
 
 def flatten_spans(envelopes: DataFrame) -> DataFrame:
@@ -82,6 +107,9 @@ def flatten_spans(envelopes: DataFrame) -> DataFrame:
         start.alias("start_ns"),
         end.alias("end_ns"),
         spans.duration_ns(start, end).alias("duration_ns"),
+        spans.span_bytes_estimate(F.col("n_bytes"), F.col("n_batch")).alias("bytes_est"),
+        spans.is_error(x["status"]["code"], events).alias("error"),
+        "ord",
         events.alias("events"),
         labels.attr_map(x["attributes"]).alias("attrs"),
         "res",
@@ -98,7 +126,10 @@ def flatten_logs(envelopes: DataFrame) -> DataFrame:
         labels.attr(F.col("res"), "service.name").alias("service"),
         number.alias("severity_number"),
         logs.severity_label(x["severityText"], number).alias("severity"),
+        _time("timeUnixNano", "observedTimeUnixNano").alias("ts"),
         labels.body_text(x["body"]).alias("body"),
+        F.octet_length(labels.body_text(x["body"])).cast("long").alias("body_bytes"),
+        "ord",
         labels.attr_map(x["attributes"]).alias("attrs"),
         "res",
     )

@@ -1,8 +1,11 @@
 """Log templates: duplicates, savings, noisy templates and floods.
 
-Inputs have service, severity, body, body_bytes and a total order ``ord``.  ``templated`` adds the template and its hash;
-two templates of one 32-bit hash are one, because the hash is the key.  Past ``cap`` templates, in the order in which they
-are first seen, a record only counts as overflow.
+Inputs have service, severity, body, body_bytes, ts and a total order ``ord``.  The key of a template is its 32-bit hash, so
+two templates of one hash are one.  Past ``cap`` templates, in the order in which they are first seen, a record only counts
+as overflow.
+
+Records are summed up by template before anything else, so that hashes are worked out for templates and not for records,
+and only the rows of the at most ``cap`` admitted hashes are joined with records where those are needed again.
 """
 
 from __future__ import annotations
@@ -12,18 +15,54 @@ from pyspark.sql import functions as F
 
 from telespark.functions.hashing import hash_hex
 from telespark.functions.logs import fingerprint
-from telespark.operators.guard import with_admission
+from telespark.operators.anchored import anchored
 
 CAP = 20_000
 
 
+def fingerprinted(logs: DataFrame) -> DataFrame:
+    """Adds template; a null body is an empty one."""
+    return logs.withColumn("template", fingerprint(F.coalesce("body", F.lit(""))))
+
+
 def templated(logs: DataFrame) -> DataFrame:
-    """Adds template and hash.  Equal bodies are worked on once a task where the plan allows it; no row leaves the JVM."""
-    return logs.withColumn("template", fingerprint(F.col("body"))).withColumn("hash", hash_hex(F.col("template")))
+    """Adds template and its hash to every record."""
+    return fingerprinted(logs).withColumn("hash", hash_hex(F.col("template")))
+
+
+def per_template(logs: DataFrame) -> DataFrame:
+    """One row for each hash: records, their bytes, the first ord, first body bytes, first 200 characters of the first
+    template, and last service and severity.
+
+    One shuffle of partial sums by template, and one of those sums by hash.
+    """
+    first = F.min(F.struct("ord", F.col("body_bytes").alias("bytes"))).alias("first")
+    last = F.max(F.struct("ord", "service", "severity")).alias("last")
+    by_text = fingerprinted(logs).groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.sum("body_bytes").alias("b"), first, last)
+    hashed = by_text.withColumn("hash", hash_hex(F.col("template")))
+    sample = F.min(F.struct("first", F.substring("template", 1, 200).alias("text"))).alias("s")
+    out = hashed.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), sample, F.max("last").alias("last"))
+    return out.select(
+        "hash", "n", "b", F.col("s.first.ord").alias("first_ord"), F.col("s.first.bytes").alias("first_bytes"), F.col("s.text").alias("sample"), F.col("last.service").alias("last_service"), F.col("last.severity").alias("last_severity")
+    )
 
 
-def _admitted(logs: DataFrame, cap: int) -> DataFrame:
-    return with_admission(logs, ["hash"], "ord", cap)
+def _first(templates: DataFrame, cap: int) -> DataFrame:
+    """The ``cap`` hashes seen first, ties by hash: a sort that keeps ``cap`` rows a task."""
+    return templates.orderBy("first_ord", "hash").limit(cap)
+
+
+def admitted(logs: DataFrame, cap: int = CAP) -> DataFrame:
+    """template and hash of the templates whose hash is one of the ``cap`` that are seen first."""
+    by_text = fingerprinted(logs).groupBy("template").agg(F.min("ord").alias("first_ord")).withColumn("hash", hash_hex(F.col("template")))
+    hashes = _first(by_text.groupBy("hash").agg(F.min("first_ord").alias("first_ord")), cap).select("hash")
+    return by_text.join(F.broadcast(hashes), "hash", "left_semi").select("template", "hash")
+
+
+def kept(logs: DataFrame, cap: int = CAP) -> DataFrame:
+    """The records of admitted templates, with template and hash.  Templates are as many as ``cap``, but for those that
+    share a hash with another."""
+    return fingerprinted(logs).join(F.broadcast(admitted(logs, cap)), "template")
 
 
 def summary(logs: DataFrame, cap: int = CAP) -> DataFrame:
@@ -32,15 +71,15 @@ def summary(logs: DataFrame, cap: int = CAP) -> DataFrame:
     bytes_saved: all but the first body of each admitted template.  bytes_saved_avg: the documented form, occurrences
     less one times the average body size in whole bytes.
     """
-    per = _admitted(logs, cap).groupBy("hash", "admitted").agg(F.count(F.lit(1)).alias("n"), F.sum("body_bytes").alias("b"), F.min_by("body_bytes", "ord").alias("first"))
-    keep = F.col("admitted")
-    one = per.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("records"),
-        F.count_if(keep).alias("unique_templates"),
-        F.coalesce(F.sum(F.when(keep, F.col("b") - F.col("first"))), F.lit(0)).alias("bytes_saved"),
-        F.coalesce(F.sum(F.when(keep, (F.col("n") - 1) * F.floor(F.col("b") / F.col("n")))), F.lit(0)).alias("bytes_saved_avg"),
-        F.coalesce(F.sum(F.when(~keep, F.col("n"))), F.lit(0)).alias("overflow"),
+    per = per_template(logs)
+    every = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"))
+    first = _first(per, cap).agg(
+        F.count(F.lit(1)).alias("unique_templates"),
+        F.coalesce(F.sum(F.col("b") - F.col("first_bytes")), F.lit(0)).alias("bytes_saved"),
+        F.coalesce(F.sum((F.col("n") - 1) * F.floor(F.col("b") / F.col("n"))), F.lit(0)).alias("bytes_saved_avg"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("_kept"),
     )
+    one = every.join(F.broadcast(first)).withColumn("overflow", F.col("records") - F.col("_kept")).drop("_kept")
     ratio = F.greatest(F.lit(0.0), 1 - F.col("unique_templates") / F.nullif("records", F.lit(0)))
     return one.withColumn("dedup_ratio", F.coalesce(ratio, F.lit(0.0)))
 
@@ -50,26 +89,21 @@ def occurrences(logs: DataFrame, least: int = 100, cap: int = CAP) -> DataFrame:
 
     That record counts for all before it; each counts under its own labels.
     """
-    kept = _admitted(logs, cap).where("admitted")
+    rows = kept(logs, cap)
     labels = ["service", "severity", "hash"]
     # the first records of a hash are cut before the shuffle; all others need only be counted
     nth = Window.partitionBy("hash").orderBy("ord")
-    head = kept.select(*labels, "ord").withColumn("rn", F.row_number().over(nth)).where(F.col("rn") <= least)
+    head = rows.select(*labels, "ord").withColumn("rn", F.row_number().over(nth)).where(F.col("rn") <= least)
     early = head.groupBy(*labels).agg(F.count(F.lit(1)).alias("early"), F.count_if(F.col("rn") == least).alias("hits"))
-    total = kept.groupBy(*labels).agg(F.count(F.lit(1)).alias("n"))
+    total = rows.groupBy(*labels).agg(F.count(F.lit(1)).alias("n"))
     joined = total.join(early, labels, "left").na.fill(0, ["early", "hits"])
     return joined.select(*labels, (F.col("n") - F.col("early") + F.col("hits") * least).alias("occurrences")).where(F.col("occurrences") > 0)
 
 
 def template_stats(logs: DataFrame, cap: int = CAP) -> DataFrame:
     """Of each admitted template: sample (200 characters of the first), occurrences, avg_body_bytes, last service and severity."""
-    return _admitted(logs, cap).where("admitted").groupBy("hash").agg(
-        F.min_by(F.substring("template", 1, 200), "ord").alias("sample"),
-        F.count(F.lit(1)).alias("occurrences"),
-        F.floor(F.sum("body_bytes") / F.count(F.lit(1))).alias("avg_body_bytes"),
-        F.max_by("service", "ord").alias("last_service"),
-        F.max_by("severity", "ord").alias("last_severity"),
-    )
+    average = F.floor(F.col("b") / F.col("n")).alias("avg_body_bytes")
+    return _first(per_template(logs), cap).select("hash", "sample", F.col("n").alias("occurrences"), average, "last_service", "last_severity")
 
 
 def noisiest(logs: DataFrame, k: int = 10, cap: int = CAP) -> DataFrame:
@@ -78,11 +112,23 @@ def noisiest(logs: DataFrame, k: int = 10, cap: int = CAP) -> DataFrame:
 
 def floods_tumbling(logs: DataFrame, window: str = "60 seconds", threshold: int = 1000) -> DataFrame:
     """Templates with ``threshold`` records or more in a fixed window."""
-    w = F.window("ts", window)
-    return logs.groupBy(w.alias("w"), "hash").agg(F.count(F.lit(1)).alias("records")).where(F.col("records") >= threshold).select(F.col("w.start").alias("window_start"), "hash", "records")
+    by_text = fingerprinted(logs).groupBy(F.window("ts", window).alias("w"), "template").agg(F.count(F.lit(1)).alias("n"))
+    by_hash = by_text.groupBy("w", hash_hex(F.col("template")).alias("hash")).agg(F.sum("n").alias("records"))
+    return by_hash.where(F.col("records") >= threshold).select(F.col("w.start").alias("window_start"), "hash", "records")
+
 
+def floods(logs: DataFrame, length_us: int = 60_000_000, threshold: int = 1000, cap: int = CAP) -> DataFrame:
+    """flood_events by service: an event for each anchored window of an admitted template that has ``threshold`` records,
+    under the service of the record that fills it.
 
-def floods(anchored_logs: DataFrame, threshold: int = 1000) -> DataFrame:
-    """flood_events by service, from rows with hash and their anchored window: an event on the ``threshold``-th record."""
-    nth = Window.partitionBy("hash", "window_start").orderBy("ord")
-    return anchored_logs.withColumn("rn", F.row_number().over(nth)).where(F.col("rn") == threshold).groupBy("service").agg(F.count(F.lit(1)).alias("flood_events"))
+    The windows are found on one row for each template and time, so that a flood's records, which share times, meet as
+    counts; only those of the time at which a window fills up are looked at one by one.
+    """
+    rows = kept(logs, cap).select("hash", "ts", "ord", "service")
+    counts = rows.groupBy("hash", "ts").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("hash", "window_start").orderBy("ts"))
+    filled = anchored(counts, "hash", "ts", length_us).withColumn("upto", upto).where((F.col("upto") >= threshold) & (F.col("upto") - F.col("n") < threshold))
+    filled = filled.select("hash", "ts", (threshold - F.col("upto") + F.col("n")).alias("at"))
+    nth = F.row_number().over(Window.partitionBy("hash", "ts").orderBy("ord"))
+    hit = rows.join(filled, ["hash", "ts"]).withColumn("nth", nth).where(F.col("nth") == F.col("at"))
+    return hit.groupBy("service").agg(F.count(F.lit(1)).alias("flood_events"))

@@ -5,6 +5,7 @@ Caps, thresholds and windows are scaled to the given tables, whose events are mi
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,8 +24,8 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 HOUR_US = 3_600_000_000
-#: Caps that the given tables exceed.
-PAIRS, TEMPLATES, VALUES = 50, 12, 100
+#: Small caps that the given tables exceed, for the queries that show what happens past a cap; the others have the defaults.
+PAIRS, TEMPLATES, VALUES = 50, 4, 100
 
 
 def query(sql: str | None = None, *parts: str) -> Callable[[Query], Query]:
@@ -159,38 +160,38 @@ def debug_top10(spark, d):
 
 # Log templates
 
-_ADMITTED = f"first AS (SELECT hash, min(ord) AS o FROM logs GROUP BY hash ORDER BY o, hash LIMIT {TEMPLATES}), kept AS (SELECT l.* FROM logs l JOIN first USING (hash))"
+def _admitted(cap: int) -> str:
+    return f"first AS (SELECT hash, min(ord) AS o FROM logs GROUP BY hash ORDER BY o, hash LIMIT {cap}), kept AS (SELECT l.* FROM logs l JOIN first USING (hash))"
 
 
-def _templated(spark, d):
-    return logdedup.templated(views.logs(spark, d))
+_ADMITTED, _FEW = _admitted(logdedup.CAP), _admitted(TEMPLATES)
 
 
 @query("SELECT ord, template, hash FROM logs", "logs")
 def log_fingerprint(spark, d):
-    return _templated(spark, d).select("ord", "template", "hash")
+    return logdedup.templated(views.logs(spark, d)).select("ord", "template", "hash")
 
 
-@query(
-    """SELECT sum(n)::BIGINT AS records, count(*) FILTER (k) AS unique_templates, coalesce(sum(b - f) FILTER (k), 0)::BIGINT AS bytes_saved,
+_SUMMARY = """SELECT sum(n)::BIGINT AS records, count(*) FILTER (k) AS unique_templates, coalesce(sum(b - f) FILTER (k), 0)::BIGINT AS bytes_saved,
     coalesce(sum((n - 1) * (b // n)) FILTER (k), 0)::BIGINT AS bytes_saved_avg, coalesce(sum(n) FILTER (NOT k), 0)::BIGINT AS overflow,
     greatest(0.0::DOUBLE, 1 - count(*) FILTER (k) / sum(n)) AS dedup_ratio
-    FROM (SELECT hash, hash IN (SELECT hash FROM first) AS k, count(*) AS n, sum(body_bytes)::BIGINT AS b, arg_min(body_bytes, ord) AS f FROM logs GROUP BY hash)""",
-    "logs",
-    _ADMITTED,
-)
+    FROM (SELECT hash, hash IN (SELECT hash FROM first) AS k, count(*) AS n, sum(body_bytes)::BIGINT AS b, arg_min(body_bytes, ord) AS f FROM logs GROUP BY hash)"""
+
+
+@query(_SUMMARY, "logs", _ADMITTED)
 def dedup_summary(spark, d):
-    return logdedup.summary(_templated(spark, d), TEMPLATES)
+    return logdedup.summary(views.logs(spark, d))
 
 
-@query("SELECT count(*) AS overflow FROM logs WHERE hash NOT IN (SELECT hash FROM first)", "logs", _ADMITTED)
+@query(_SUMMARY, "logs", _FEW)
 def template_overflow(spark, d):
-    return logdedup.summary(_templated(spark, d), TEMPLATES).select("overflow")
+    """The summary with a cap that the tables exceed."""
+    return logdedup.summary(views.logs(spark, d), TEMPLATES)
 
 
 @query("SELECT service, severity, hash, sum(CASE WHEN rn = 100 THEN 100 ELSE 1 END)::BIGINT AS occurrences FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY ord) AS rn FROM kept) WHERE rn >= 100 GROUP BY ALL", "logs", _ADMITTED)
 def template_occurrences(spark, d):
-    return logdedup.occurrences(_templated(spark, d), 100, TEMPLATES)
+    return logdedup.occurrences(views.logs(spark, d), 100)
 
 
 _STATS = "SELECT hash, arg_min(left(template, 200), ord) AS sample, count(*) AS occurrences, (sum(body_bytes)::BIGINT // count(*)) AS avg_body_bytes, arg_max(service, ord) AS last_service, arg_max(severity, ord) AS last_severity FROM kept GROUP BY hash"
@@ -198,17 +199,17 @@ _STATS = "SELECT hash, arg_min(left(template, 200), ord) AS sample, count(*) AS
 
 @query(_STATS, "logs", _ADMITTED)
 def template_stats(spark, d):
-    return logdedup.template_stats(_templated(spark, d), TEMPLATES)
+    return logdedup.template_stats(views.logs(spark, d))
 
 
 @query(f"{_STATS} ORDER BY occurrences DESC, hash LIMIT 10", "logs", _ADMITTED)
 def template_top10(spark, d):
-    return logdedup.noisiest(_templated(spark, d), 10, TEMPLATES)
+    return logdedup.noisiest(views.logs(spark, d), 10)
 
 
 @query("SELECT epoch_us(ts) // 3600000000 * 3600000000 AS window_us, hash, count(*) AS records FROM logs GROUP BY ALL HAVING count(*) >= 5", "logs")
 def flood_tumbling(spark, d):
-    found = logdedup.floods_tumbling(_templated(spark, d), "1 hour", 5)
+    found = logdedup.floods_tumbling(views.logs(spark, d), "1 hour", 5)
     return found.select(F.unix_micros("window_start").alias("window_us"), "hash", "records")
 
 
@@ -224,9 +225,9 @@ def _recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("SELECT service, count(*) AS flood_events FROM (SELECT *, row_number() OVER (PARTITION BY k, w ORDER BY i) AS rn FROM placed) WHERE rn = 5 GROUP BY service", "logs", _anchored_sql("SELECT *, epoch_us(ts) AS t FROM logs", "hash"))
+@query("SELECT service, count(*) AS flood_events FROM (SELECT *, row_number() OVER (PARTITION BY k, w ORDER BY i) AS rn FROM placed) WHERE rn = 5 GROUP BY service", "logs", _FEW, _anchored_sql("SELECT *, epoch_us(ts) AS t FROM kept", "hash"))
 def flood_anchored(spark, d):
-    return logdedup.floods(anchored(_templated(spark, d).select("hash", "ts", "ord", "service"), "hash", "ts", HOUR_US, "ord"), 5)
+    return logdedup.floods(views.logs(spark, d), HOUR_US, 5, TEMPLATES)
 
 
 # Rate, errors, duration
@@ -255,12 +256,18 @@ def red_count_sum(spark, d):
     return red.count_sum(views.spans(spark, d))
 
 
-@query(
-    "SELECT s.service, CASE WHEN f.o IS NULL THEN '__overflow__' ELSE s.name END AS name, count(*) AS requests, count(*) FILTER (s.status = 2) AS errors, count(*) FILTER (s.status = 2) * 100.0::DOUBLE / count(*) AS error_pct FROM spans s LEFT JOIN first f ON f.service = s.service AND f.name = s.name GROUP BY ALL",
-    "spans",
-    f"first AS (SELECT service, name, min(ord) AS o FROM spans GROUP BY ALL ORDER BY o, service, name LIMIT {PAIRS})",
-)
+_GUARDED = "SELECT s.service, CASE WHEN f.o IS NULL THEN '__overflow__' ELSE s.name END AS name, count(*) AS requests, count(*) FILTER (s.status = 2) AS errors, count(*) FILTER (s.status = 2) * 100.0::DOUBLE / count(*) AS error_pct FROM spans s LEFT JOIN first f ON f.service = s.service AND f.name = s.name GROUP BY ALL"
+_FIRST_PAIRS = "first AS (SELECT service, name, min(ord) AS o FROM spans GROUP BY ALL ORDER BY o, service, name LIMIT {cap})"
+
+
+@query(_GUARDED, "spans", _FIRST_PAIRS.format(cap=2000))
 def red_guarded(spark, d):
+    return red.endpoints(red.guarded(views.spans(spark, d)))
+
+
+@query(_GUARDED, "spans", _FIRST_PAIRS.format(cap=PAIRS))
+def red_overflow(spark, d):
+    """Endpoints with a cap on pairs that the tables exceed."""
     return red.endpoints(red.guarded(views.spans(spark, d), PAIRS))
 
 
@@ -594,7 +601,11 @@ def string_hashes(spark, d):
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -632,6 +643,108 @@ def otlp_proto_decode(spark, d):
     return flat.select("span_id", "trace_id", "service", "name", "kind", "status", "duration_ns", F.size("events").alias("n_exceptions"))
 
 
+@query(_SUMMARY, "logs", _ADMITTED)
+def dedup_from_envelopes(spark, d):
+    """Log records in JSON envelopes, one for each, flattened and summed up by template."""
+    from telespark.sources.otlp_json import decode_json
+
+    logs, text = views.logs(spark, d), lambda c: F.struct(c.alias("stringValue"))
+    record = F.struct((F.unix_micros("ts") * 1000).cast("string").alias("timeUnixNano"), F.col("severity_number").alias("severityNumber"), F.nullif("severity", F.lit("unknown")).alias("severityText"), text(F.col("body")).alias("body"))
+    resource = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), text(F.col("service")).alias("value"))).alias("attributes"))
+    envelope = F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))
+    payloads = logs.select(F.to_json(envelope).alias("value"), F.col("ord").alias("batch_id"), F.col("ts").alias("arrival_ts"))
+    return logdedup.summary(flatten.flatten_logs(decode_json(payloads, "logs")))
+
+
+@query("SELECT trace_id, reason, kept FROM decided", "spans", _decided(_FACTS))
+def tail_from_envelopes(spark, d):
+    """Decisions on the spans of JSON envelopes."""
+    from telespark.sources.otlp_json import decode_json
+
+    flat = flatten.flatten_spans(decode_json(_trace_envelopes(spark, d), "traces"))
+    return tail.decide(tail.trace_facts(flat)).select("trace_id", "reason", "kept")
+
+
+#: Of each signal: how its payload begins, a record around an id, and how it ends.
+_PAYLOADS = {
+    "traces": ('{"resourceSpans":[{"scopeSpans":[{"spans":[', '{"spanId":"', '"}', "]}]}]}"),
+    "logs": ('{"resourceLogs":[{"scopeLogs":[{"logRecords":[', '{"severityText":"', '"}', "]}]}]}"),
+    "metrics": ('{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"m","gauge":{"dataPoints":[', '{"asInt":"', '"}', "]}}]}]}]}"),
+}
+_PAYLOAD_SQL = "CASE signal " + " ".join(f"WHEN '{s}' THEN '{a}' || string_agg('{b}' || event_id || '{c}', ',') || '{z}'" for s, (a, b, c, z) in _PAYLOADS.items()) + " END"
+
+
+@query(
+    f"""SELECT signal, count(*) AS batches, sum(CASE WHEN malformed THEN 0 ELSE n END)::BIGINT AS records, sum(CASE WHEN malformed THEN bytes - 1 ELSE bytes END)::BIGINT AS bytes, count(*) FILTER (malformed) AS malformed
+    FROM (SELECT signal, b % 17 = 0 AS malformed, count(*) AS n, strlen({_PAYLOAD_SQL}) AS bytes
+        FROM (SELECT *, event_id // 50 AS b, ['traces', 'logs', 'metrics'][event_id // 50 % 3 + 1] AS signal FROM events) GROUP BY signal, b) GROUP BY signal""",
+)
+def volume_from_envelopes(spark, d):
+    """Volumes of JSON envelopes of 50 records each, some of them cut off."""
+    from telespark.sources.otlp_json import decode_json
+
+    b = F.expr("event_id div 50").alias("batch_id")
+    batches = views.events(spark, d).groupBy(b).agg(F.array_sort(F.collect_list("event_id")).alias("ids"), F.max("ts").alias("arrival_ts"))
+    out = []
+    for k, (signal, (start, before, after, end)) in enumerate(_PAYLOADS.items()):
+        records = F.array_join(F.transform("ids", lambda i: F.concat(F.lit(before), i.cast("string"), F.lit(after))), ",")
+        whole = F.concat(F.lit(start), records, F.lit(end))
+        text = F.when(F.col("batch_id") % 17 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+        payloads = batches.where(F.col("batch_id") % 3 == k).select(text.alias("value"), "batch_id", "arrival_ts")
+        out.append(volume.volume(flatten.flatten_batches(decode_json(payloads, signal), signal)))
+    return metric.union_all(*out)
+
+
+_SENT = """sent AS (
+    SELECT 'v' || (user_id % 4) AS vertical, CASE WHEN user_id % 11 <> 0 THEN 'team-' || (user_id % 7) END AS team, count(*) AS n FROM events GROUP BY user_id, event_type)"""
+
+
+def _sent(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON envelope for each user and type of event: a resource with its team and vertical, and an empty log record
+    for each event."""
+    u = F.col("user_id")
+    rows = views.events(spark, d).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    given = {"team": F.when(u % 11 != 0, F.concat(F.lit("team-"), (u % 7).cast("string"))), "vertical": F.concat(F.lit("v"), (u % 4).cast("string"))}
+    pairs = [F.when(v.isNotNull(), F.concat(F.lit(f'{{"key":"{k}","value":{{"stringValue":"'), v, F.lit('"}}'))) for k, v in given.items()]
+    records = F.array_join(F.array_repeat(F.lit("{}"), F.col("n").cast("int")), ",")
+    text = F.concat(F.lit('{"resourceLogs":[{"resource":{"attributes":['), F.concat_ws(",", *pairs), F.lit(']},"scopeLogs":[{"logRecords":['), records, F.lit("]}]}]}"))
+    return rows.select(text.alias("value"), F.xxhash64("user_id", "event_type").alias("batch_id"), F.current_timestamp().alias("arrival_ts"))
+
+
+def _costs(envelopes: DataFrame) -> DataFrame:
+    rows = flatten.flatten_resources(envelopes, "logs")
+    return cost.cost(rows).join(F.broadcast(rows.select("bytes_basis").distinct()))
+
+
+@query(
+    """SELECT 'logs' AS signal, coalesce(team, 'unknown') AS team, vertical, 'json' AS bytes_basis, sum(n)::BIGINT AS records,
+    sum(strlen('{"resource":{"attributes":[' || CASE WHEN team IS NULL THEN '' ELSE '{"key":"team","value":{"stringValue":"' || team || '"}},' END
+        || '{"key":"vertical","value":{"stringValue":"' || vertical || '"}}]},"scopeLogs":[{"logRecords":[]}]}') + 3 * n - 1)::BIGINT AS bytes FROM sent GROUP BY ALL""",
+    _SENT,
+)
+def cost_from_json(spark, d):
+    """Costs by the sizes of the resources' JSON texts."""
+    from telespark.sources.otlp_json import decode_json
+
+    return _costs(decode_json(_sent(spark, d), "logs"))
+
+
+@query(
+    """SELECT 'logs' AS signal, coalesce(team, 'unknown') AS team, vertical, 'wire' AS bytes_basis, sum(n)::BIGINT AS records,
+    sum(2 + attrs + 1 + CASE WHEN 2 * n < 128 THEN 1 WHEN 2 * n < 16384 THEN 2 ELSE 3 END + 2 * n)::BIGINT AS bytes
+    FROM (SELECT *, CASE WHEN team IS NULL THEN 0 ELSE 2 + 6 + 4 + length(team) END + 2 + 10 + 4 + length(vertical) AS attrs FROM sent) GROUP BY ALL""",
+    _SENT,
+)
+def cost_from_wire(spark, d):
+    """Costs by the resources' sizes in protobuf.
+
+    A string of n bytes takes n + 2, a message its size and 2, or more from 128 bytes on; a record without fields takes 2.
+    """
+    from telespark.sources.otlp_proto import decode_otlp_proto, encode_otlp_proto
+
+    return _costs(decode_otlp_proto(encode_otlp_proto(_sent(spark, d), "logs"), "logs"))
+
+
 def _streamed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     """A table written in two turns, earlier rows first, and read back as a stream of two micro-batches."""
     path = _shared(spark, name)
@@ -672,7 +785,7 @@ def stream_flood(spark, d):
     """Flood events found over a stream by keyed state."""
     from telespark.streaming import jobs, processors
 
-    logs = _templated(spark, d).select("hash", "service", F.unix_micros("ts").alias("arrival_us"), "ord")
+    logs = logdedup.kept(views.logs(spark, d), TEMPLATES).select("hash", "service", F.unix_micros("ts").alias("arrival_us"), "ord")
     out = _shared(spark, "floods")
     events = processors.floods(_streamed(spark, logs, "logs"), HOUR_US // 1000, 5)
     _stateful(spark, lambda: jobs.appended(events, out, _shared(spark, "floods-state"), trigger={"availableNow": True}).awaitTermination())

@@ -11,13 +11,16 @@ from telespark.schema import ENVELOPES
 def decode_json(payloads: DataFrame, signal: str, malformed: str = "count") -> DataFrame:
     """envelope, n_bytes, malformed and signal from rows with value (text or bytes), batch_id and arrival_ts.
 
-    Null payloads are left out.  A payload that is no JSON object is kept with a null envelope (``count``), left out
-    (``skip``) or fails the job (``fail``).
+    Null payloads are left out.  A payload that is no JSON object, or whose fields have other types than the protocol's, is
+    kept with a null envelope (``count``), left out (``skip``) or fails the job (``fail``).
     """
-    text = F.col("value").cast("string")
-    rows = payloads.where(F.col("value").isNotNull()).withColumn("envelope", F.from_json(text, ENVELOPES[signal], {"mode": "FAILFAST" if malformed == "fail" else "PERMISSIVE"}))
-    bad = F.coalesce(F.schema_of_variant(F.try_parse_json(text)), F.lit("")).startswith("OBJECT") == F.lit(False)
-    out = rows.select(F.lit(signal).alias("signal"), "batch_id", "arrival_ts", F.octet_length("value").cast("long").alias("n_bytes"), bad.alias("malformed"), "envelope")
+    strict = malformed == "fail"
+    schema = ENVELOPES[signal] if strict else f"{ENVELOPES[signal]}, _corrupt STRING"
+    options = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    rows = payloads.where(F.col("value").isNotNull()).withColumn("_parsed", F.from_json(F.col("value").cast("string"), schema, options))
+    bad = F.col("_parsed").isNull() if strict else F.col("_parsed").isNull() | F.col("_parsed._corrupt").isNotNull()
+    envelope = F.when(~bad, F.col("_parsed") if strict else F.col("_parsed").dropFields("_corrupt"))
+    out = rows.select(F.lit(signal).alias("signal"), "batch_id", "arrival_ts", F.octet_length("value").cast("long").alias("n_bytes"), bad.alias("malformed"), envelope.alias("envelope"))
     return out.where(~F.col("malformed")) if malformed == "skip" else out
 
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from telespark.operators import access, cardinality, insights, red, tail, topn, volume
+from telespark.operators import access, cardinality, insights, logdedup, red, tail, topn, volume
 from telespark.operators.anchored import anchored, starts
 from telespark.plans import samples as metric
 
@@ -72,6 +72,25 @@ def test_anchored_windows(spark):
     assert got == {("k", 0): 0, ("k", 9): 0, ("k", 10): 10, ("k", 19): 10, ("k", 25): 25, (None, 3): 3}
 
 
+def test_floods_leave_out_what_is_not_admitted(spark):
+    rows = [("slow query", 0), ("slow query", 0), ("disk full", 1), ("slow query", 3), ("slow query", 12), ("disk full", 13), ("disk full", 14), ("disk full", 15)]
+    df = spark.createDataFrame([(k, at(t), f"s{k}", "1", b, len(b)) for k, (b, t) in enumerate(rows)], "ord long, ts timestamp, service string, severity string, body string, body_bytes long")
+    assert logdedup.floods(df, 10_000_000, 3).orderBy("service").collect() == [("s3", 1), ("s7", 1)]
+    assert logdedup.floods(df, 10_000_000, 3, cap=1).collect() == [("s3", 1)]
+    assert logdedup.floods(df, 10_000_000, 2, cap=1).collect() == [("s1", 1)]
+    one = logdedup.summary(df, cap=1).first()
+    assert (one["records"], one["unique_templates"], one["overflow"], one["bytes_saved"]) == (8, 1, 4, 30)
+    assert logdedup.summary(df.limit(0)).first()["dedup_ratio"] == 0.0
+
+
+def test_templates_of_one_hash_are_one(spark):
+    """``Aa`` and ``BB`` have the same hash."""
+    df = spark.createDataFrame([(0, at(0), "s", "1", "Aa", 2), (1, at(1), "t", "2", "BB", 2), (2, at(2), "u", "3", None, 0)], "ord long, ts timestamp, service string, severity string, body string, body_bytes long")
+    got = {r["sample"]: (r["occurrences"], r["last_service"]) for r in logdedup.template_stats(df).collect()}
+    assert got == {"Aa": (2, "t"), "": (1, "u")}
+    assert logdedup.floods(df, 10_000_000, 2).collect() == [("t", 1)]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 500), min_size=1, max_size=60), st.integers(1, 60), st.integers(1, 59))
 def test_starts_equals_a_plain_fold(times, length, cut):

@@ -78,12 +78,44 @@ def test_json_logs_and_metrics(spark):
 def test_protobuf_round_trip(spark, signal, body):
     rows = payloads(spark, body)
     flat = {"traces": flatten.flatten_spans, "logs": flatten.flatten_logs, "metrics": flatten.flatten_points}[signal]
-    cols = lambda df: df.drop("n_bytes", "arrival_ts")
+    cols = lambda df: df.drop("n_bytes", "arrival_ts", "bytes_est")
     wire = encode_otlp_proto(rows, signal)
     decoded = decode_otlp_proto(wire, signal)
     assert cols(flat(decoded)).collect() == cols(flat(decode_json(rows, signal))).collect()
     r = decoded.join(wire.select("batch_id", F.octet_length("value").alias("w")), "batch_id").first()
     assert 0 < sum(r["resource_bytes"]) < r["w"]
+    sized = flatten.flatten_resources(decoded, signal).first()
+    assert (sized["resource_bytes"], sized["bytes_basis"]) == (r["resource_bytes"][0], "wire")
+    assert flatten.flatten_resources(decode_json(rows, signal), signal).first()["bytes_basis"] == "json"
+
+
+def test_nested_values_in_protobuf(spark):
+    nested = {"kvlistValue": {"values": [{"key": "a", "value": {"arrayValue": {"values": [{"intValue": "1"}, {"bytesValue": "AQI="}]}}}]}}
+    body = {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"timeUnixNano": "1704067200000000000", "body": nested}, {"body": {"stringValue": ""}}]}]}]}
+    rows = payloads(spark, body)
+    logs = flatten.flatten_logs(decode_otlp_proto(encode_otlp_proto(rows, "logs"), "logs")).orderBy("idx").collect()
+    assert json.loads(logs[0]["body"]) == nested["kvlistValue"] and logs[0]["body_bytes"] == len(logs[0]["body"])
+    assert logs[0]["ts"] == NOW and logs[1]["ts"] == NOW and logs[0]["ord"] < logs[1]["ord"]
+
+
+def test_batches(spark):
+    got = {r["batch_id"]: r for r in flatten.flatten_batches(decode_json(payloads(spark, METRICS, "no json", None, {}), "metrics"), "metrics").collect()}
+    assert [(k, r["n_records"], r["malformed"]) for k, r in sorted(got.items())] == [(0, 3, False), (1, 0, True), (3, 0, False)]
+    assert got[1]["n_bytes"] == 7 and got[0]["ord"] == 0
+
+
+def test_repeated_keys_in_an_object_are_no_fault(spark):
+    text = json.dumps(BODY)[:-1] + ', "x": 1, "x": 2}'
+    assert not decode_json(payloads(spark, text), "traces").first()["malformed"]
+
+
+def test_spans_share_the_bytes_of_their_batch(spark):
+    two = json.loads(json.dumps(BODY))
+    two["resourceSpans"][0]["scopeSpans"][0]["spans"] *= 3
+    envelopes = decode_json(payloads(spark, two), "traces")
+    size = envelopes.first()["n_bytes"]
+    assert {r["bytes_est"] for r in flatten.flatten_spans(envelopes).collect()} == {size // 3}
+    assert flatten.flatten_spans(envelopes).select("error").distinct().collect() == [(True,)]
 
 
 def test_protobuf_malformed(spark):
