@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 @dataclass(frozen=True)
 class JobConfig:
     bootstrap: str = "localhost:9092"
-    sink: str = "samples"
     topics: dict[str, str] = field(default_factory=lambda: {"traces": "otlp-traces", "logs": "otlp-logs", "metrics": "otlp-metrics"})
     #: ``earliest`` or ``latest``
     starting_offsets: str = "earliest"
@@ -21,4 +20,3 @@ class JobConfig:
     max_series: int = 2_000
     max_templates: int = 20_000
     max_services: int = 50_000
-    max_values: int = 10_000

@@ -37,8 +37,17 @@ def insights(resources: DataFrame) -> DataFrame:
 
     Resources without records are left out.  Rows are summed on all labels first, so that the grouping sets expand few.
     """
+    return breakdowns(by_labels(resources))
+
+
+def by_labels(resources: DataFrame) -> DataFrame:
+    """n, the records of each combination of labels: what a stream keeps as its state."""
     labelled = resources.where(F.col("n_records") > 0).select("signal", "n_records", *(safe_label(attr(F.col("attrs"), k)).alias(c) for c, k in LABELS.items()))
-    summed = labelled.groupBy("signal", *LABELS).agg(F.sum("n_records").alias("n"))
+    return labelled.groupBy("signal", *LABELS).agg(F.sum("n_records").alias("n"))
+
+
+def breakdowns(summed: DataFrame) -> DataFrame:
+    """Every breakdown of the sums ``by_labels``."""
     sets = [[F.col("signal"), *map(F.col, cols)] for cols in BREAKDOWNS.values()]
     grouped = summed.groupingSets(sets, F.col("signal"), *map(F.col, LABELS)).agg(F.sum("n").alias("records"), F.grouping_id().alias("gid"))
     # the bits of gid are the absent labels, the last label lowest

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from telespark.config import JobConfig
 from telespark.functions.labels import UNKNOWN, safe_label
 from telespark.functions.spans import ERROR, duration_us, span_kind, status_code
-from telespark.operators.guard import fold
+from telespark.operators.guard import OVERFLOW, fold
 
 BOUNDS = JobConfig.latency_bounds
 

@@ -32,13 +32,15 @@ def trace_facts(facts: DataFrame, *window: str) -> DataFrame:
     )
 
 
-def decide(traces: DataFrame, *, slow_ns: int = SLOW_NS, percent: int = 5, max_services: int = 50_000) -> DataFrame:
+def decide(traces: DataFrame, *, slow_ns: int = SLOW_NS, percent: int = 5, max_services: int = 50_000, seen: DataFrame | None = None) -> DataFrame:
     """Adds kept and reason.  Traces are decided in order of first_ts and trace_id; a service is new once, and only the
-    first ``max_services`` are."""
+    first ``max_services`` are.  Services in ``seen`` (service), as many as are bounded elsewhere, aren't new."""
     plain = ~F.col("error") & (F.col("max_duration_ns") <= slow_ns) & (F.col("service") != UNKNOWN)
     rows = traces.withColumn("_plain", plain)
     first = Window.partitionBy("service").orderBy("first_ts", "trace_id")
     fresh = rows.where("_plain").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1)
+    if seen is not None:
+        fresh = fresh.join(F.broadcast(seen), "service", "left_anti")
     fresh = fresh.join(F.broadcast(admitted(fresh, ["service"], "first_ts", max_services)), "service", "left_semi")
     fresh = fresh.select(F.col("trace_id").alias("_t"), F.col("first_ts").alias("_f"), F.lit(True).alias("_rare"))
     marked = rows.join(fresh, (F.col("trace_id") == F.col("_t")) & (F.col("first_ts") == F.col("_f")), "left")

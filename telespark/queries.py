@@ -772,12 +772,12 @@ def _stateful(spark: SparkSession, run: Callable[[], None]) -> None:
 @query(_BUCKETS, "spans")
 def stream_red(spark, d):
     """The histogram kept up to date over a stream, as it stands at its end."""
-    from telespark.streaming.jobs import counters
+    from telespark.streaming.jobs import counters, latest
 
     spans = views.spans(spark, d).select("service", "name", "duration_ns", "ord")
     out = _shared(spark, "red")
     counters(_streamed(spark, spans, "spans"), red.buckets, out, _shared(spark, "red-state"), trigger={"availableNow": True}).awaitTermination()
-    return spark.read.parquet(out)
+    return latest(spark, out)
 
 
 @query(ORACLE_SQL["flood_anchored"])
@@ -785,21 +785,42 @@ def stream_flood(spark, d):
     """Flood events found over a stream by keyed state."""
     from telespark.streaming import jobs, processors
 
-    logs = logdedup.kept(views.logs(spark, d), TEMPLATES).select("hash", "service", F.unix_micros("ts").alias("arrival_us"), "ord")
+    logs = logdedup.kept(views.logs(spark, d), TEMPLATES).select("hash", "service", F.unix_micros("ts").alias("arrival_us"), "ord", F.col("ts").alias("arrival_ts"))
     out = _shared(spark, "floods")
-    events = processors.floods(_streamed(spark, logs, "logs"), HOUR_US // 1000, 5)
+    events = processors.floods(_streamed(spark, logs, "logs").withWatermark("arrival_ts", "1 minute"), HOUR_US // 1000, 5)
     _stateful(spark, lambda: jobs.appended(events, out, _shared(spark, "floods-state"), trigger={"availableNow": True}).awaitTermination())
     return spark.read.schema(processors.FLOOD_COLUMNS).parquet(out).groupBy("service").agg(F.count(F.lit(1)).alias("flood_events"))
 
 
-@query()
-def stream_tail(spark, d):
-    """Traces closed over a stream by event-time timers; those still open at its end are not among them."""
+_WINDOWS = _anchored_sql("SELECT *, arrival_us AS t FROM spans", "trace_id").replace(str(HOUR_US), str(HOUR_US // 6))
+_WINDOW_FACTS = """SELECT trace_id, w AS first_us, count(*) AS spans, max(duration_ns) AS max_duration_ns, bool_or(status = 2 OR n_exceptions > 0) AS error,
+    coalesce(arg_max(s.service, ord) FILTER (s.service <> 'unknown'), 'unknown') AS service FROM spans s JOIN (SELECT ord, w FROM placed) USING (ord) GROUP BY ALL"""
+
+
+def streamed_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Traces closed over a stream by event-time timers and decided batch by batch.
+
+    A last span long after all others lets the stream close every trace; it isn't in the result.
+    """
     from telespark.streaming import jobs, processors
 
     facts = _facts(spark, d).withColumn("arrival_us", F.unix_micros("arrival_ts"))
+    last = facts.agg(F.max("arrival_ts").alias("t"), F.max("ord").alias("o"))
+    late = F.timestamp_micros(F.unix_micros("t") + 24 * HOUR_US)
+    end = last.select(F.lit("end").alias("trace_id"), F.lit("unknown").alias("service"), F.lit(0).cast("long").alias("duration_ns"), F.lit(False).alias("error"), F.lit(1).cast("long").alias("bytes_est"), late.alias("arrival_ts"), (F.col("o") + 1).alias("ord"), F.unix_micros(late).alias("arrival_us"))
     out = _shared(spark, "traces")
-    closed = processors.traces(_streamed(spark, facts, "facts").withWatermark("arrival_ts", "1 minute"), HOUR_US // 6000)
-    _stateful(spark, lambda: jobs.appended(closed, out, _shared(spark, "traces-state"), trigger={"availableNow": True}).awaitTermination())
-    found = spark.read.schema(processors.TRACE_COLUMNS).parquet(out)
-    return tail.decide(found).select("trace_id", F.unix_micros("window_start").alias("window_us"), "spans", "reason", "kept")
+    closed = processors.traces(_streamed(spark, facts.unionByName(end), "facts").withWatermark("arrival_ts", "1 minute"), HOUR_US // 6000)
+    _stateful(spark, lambda: jobs.decided(closed, out, _shared(spark, "traces-state"), trigger={"availableNow": True}).awaitTermination())
+    found = spark.read.parquet(f"{out}/decisions").where("trace_id <> 'end'")
+    return found.withColumn("window_us", F.unix_micros("window_start"))
+
+
+@query("SELECT trace_id, first_us AS window_us, spans, CASE WHEN reason IN ('error', 'slow') THEN reason ELSE 'plain' END AS reason FROM decided", "spans", _WINDOWS, _decided(_WINDOW_FACTS))
+def stream_tail(spark, d):
+    """The traces of a stream, and which are errors or slow.  Which of a service's other traces is its first depends on the
+    order in which they close, so SQL can't tell it; a test does."""
+    reason = F.when(F.col("reason").isin("error", "slow"), F.col("reason")).otherwise("plain")
+    return streamed_decisions(spark, d).select("trace_id", "window_us", "spans", reason.alias("reason"))
+
+
+ORACLE_SQL["stream_tail"] = _recursive(ORACLE_SQL["stream_tail"])

@@ -1,31 +1,62 @@
-"""Jobs: a batch operator as a streaming query, with its own checkpoint, and snapshots in intervals."""
+"""Jobs: batch operators as streaming queries with checkpoints of their own.
+
+What a micro-batch writes goes to a folder named after it and is written whole, so a batch that is run again after a failure
+replaces what it left.  State that has to be shared by all keys (known services, admitted keys) is a small table of this
+kind: a batch reads what those before it wrote.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from telespark.config import JobConfig
+from telespark.operators import cost, flatten, insights, logdedup, red, tail, topn, volume
+from telespark.operators.guard import admitted
+from telespark.sources.otlp_json import decode_json
+from telespark.sources.otlp_proto import decode_otlp_proto
+
 #: What stateful processors need of the session.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+Put = Callable[[DataFrame, int], None]
+
 
+def _each(stream: DataFrame, put: Put, checkpoint: str, trigger: dict | None, mode: str = "append") -> StreamingQuery:
+    return stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": JobConfig.trigger})).start()
 
-def counters(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
-    """Keeps an operator's counters over all that has come and writes them whole after each micro-batch to ``target``.
 
-    The operator is a plain aggregation, the same as in batch; its state outlives restarts.
+def counters(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, *, report: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Keeps an operator's counters over all that has come and writes them whole after each micro-batch.
+
+    The operator is a plain aggregation, the same as in batch; its state outlives restarts.  ``report`` is applied to the
+    counters before they are written: with a trigger of 60 seconds, a snapshot of the greatest few, for instance.  Readers
+    take ``latest``, which names no batch that isn't whole.
     """
 
-    def put(df: DataFrame, _: int) -> None:
-        df.write.mode("overwrite").parquet(target)
+    def put(df: DataFrame, batch: int) -> None:
+        (report(df) if report else df).write.mode("overwrite").parquet(f"{target}/batch={batch}")
+        df.sparkSession.range(1).select(F.lit(batch).cast("long").alias("batch")).coalesce(1).write.mode("append").parquet(f"{target}-done")
 
-    return operator(stream).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    return _each(operator(stream), put, checkpoint, trigger, "complete")
+
+
+def latest(spark: SparkSession, target: str) -> DataFrame:
+    """The counters as the last micro-batch left them."""
+    batch = spark.read.schema("batch long").parquet(f"{target}-done").agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{target}/batch={batch}")
 
 
 def appended(stream: DataFrame, target: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
     """Appends a stream's rows to ``target``, each exactly once."""
-    return stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    return stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": JobConfig.trigger})).start()
+
+
+def sampled(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], to_samples: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
+    """Writes the counters as samples (metric, labels, ts, value) after each micro-batch: the series of a dashboard."""
+    return _each(operator(stream), lambda df, batch: to_samples(df).write.mode("overwrite").parquet(f"{target}/batch={batch}"), checkpoint, trigger, "complete")
 
 
 def forked(stream: DataFrame, branches: dict[str, Callable[[DataFrame], DataFrame]], target: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
@@ -39,9 +70,102 @@ def forked(stream: DataFrame, branches: dict[str, Callable[[DataFrame], DataFram
         finally:
             df.unpersist()
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    return _each(stream, put, checkpoint, trigger)
+
+
+class Known:
+    """Rows that micro-batches have added, in a table of their own."""
+
+    def __init__(self, path: str, schema: str):
+        self.path, self.schema = path, schema
+
+    def before(self, spark: SparkSession, batch: int) -> DataFrame:
+        """What the batches before this one have added."""
+        first = spark.createDataFrame([], self.schema)
+        first.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch=-1")
+        return spark.read.schema(f"{self.schema}, batch long").parquet(self.path).where(F.col("batch") < batch).drop("batch")
+
+    def add(self, rows: DataFrame, batch: int) -> None:
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+
+def guarded(stream: DataFrame, keys: list[str], order: str, cap: int, branch: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
+    """Writes ``branch`` of each micro-batch with a column admitted: whether the row's key is among the ``cap`` that came
+    first, by batch and then by ``order``.
+
+    The admitted keys are at most ``cap`` rows, which are broadcast; nothing else is remembered of keys.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema if f.name in keys)
+    known = Known(f"{target}/keys", schema)
+
+    def put(df: DataFrame, batch: int) -> None:
+        before = known.before(df.sparkSession, batch).select(*keys)
+        same = lambda x: [df[k].eqNullSafe(x[k]) for k in keys]
+        new = admitted(df.join(F.broadcast(before), same(before), "left_anti"), keys, order, max(0, cap - before.count()))
+        known.add(new, batch)
+        every = known.before(df.sparkSession, batch + 1).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.lit(True).alias("_in"))
+        flagged = df.join(F.broadcast(every), [df[k].eqNullSafe(every[f"_k_{k}"]) for k in keys], "left")
+        flagged = flagged.withColumn("admitted", F.coalesce("_in", F.lit(False))).drop("_in", *(f"_k_{k}" for k in keys))
+        branch(flagged).write.mode("overwrite").parquet(f"{target}/out/batch={batch}")
+
+    return _each(stream, put, checkpoint, trigger)
+
+
+def decided(traces: DataFrame, target: str, checkpoint: str, *, slow_ns: int = tail.SLOW_NS, percent: int = 5, max_services: int = JobConfig.max_services, trigger: dict | None = None) -> StreamingQuery:
+    """Decides closed traces batch by batch and writes them to ``target``/decisions.
+
+    A service is new once over the whole stream: those that were new before are a table of at most ``max_services`` names.
+    """
+    known = Known(f"{target}/services", "service string")
+
+    def put(df: DataFrame, batch: int) -> None:
+        seen = known.before(df.sparkSession, batch)
+        decisions = f"{target}/decisions/batch={batch}"
+        tail.decide(df, slow_ns=slow_ns, percent=percent, max_services=max(0, max_services - seen.count()), seen=seen).write.mode("overwrite").parquet(decisions)
+        found = df.sparkSession.read.parquet(decisions)
+        known.add(found.where("reason = 'rare'").select("service").distinct(), batch)
+
+    return _each(traces, put, checkpoint, trigger)
 
 
 def without_replays(requests: DataFrame, ttl: str = "600 seconds") -> DataFrame:
     """The first request of each nonce within the time to live."""
     return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["nonce"])
+
+
+#: Counters that a job keeps of a signal: how envelopes are flattened, and the operator and report on the flat rows.
+JOBS: dict[str, tuple[Callable, Callable, Callable | None]] = {
+    "volume": (flatten.flatten_batches, lambda rows, c: volume.volume(rows), None),
+    "insights": (flatten.flatten_resources, lambda rows, c: insights.by_labels(rows), insights.breakdowns),
+    "top_services": (flatten.flatten_resources, lambda rows, c: topn.records_by_service(rows), lambda df: topn.top_k(df, "records", 100, ("signal",), ("service",))),
+    "cost": (flatten.flatten_resources, lambda rows, c: cost.cost(rows), None),
+    "cost_usd": (flatten.flatten_resources, lambda rows, c: cost.cost_usd(rows, c.usd_per_gb), None),
+    "debug_waste": (lambda e, _: flatten.flatten_logs(e), lambda rows, c: cost.debug_waste(rows), None),
+    "red_buckets": (lambda e, _: flatten.flatten_spans(e), lambda rows, c: red.buckets(rows, c.latency_bounds), None),
+}
+
+
+def start(job: str, payloads: DataFrame, signal: str, target: str, checkpoint: str, *, config: JobConfig = JobConfig(), wire: bool = True, trigger: dict | None = None) -> StreamingQuery:
+    """Runs one of ``JOBS`` on a stream of payloads (value, batch_id, arrival_ts), in protobuf (``wire``) or JSON.
+
+    Every job has a checkpoint of its own and so sees the whole stream.
+    """
+    flat, operator, report = JOBS[job]
+    envelopes = (decode_otlp_proto if wire else decode_json)(payloads, signal, config.malformed)
+    return counters(flat(envelopes, signal), lambda rows: operator(rows, config), target, checkpoint, report=report, trigger=trigger or {"processingTime": config.trigger})
+
+
+def start_guarded(job: str, payloads: DataFrame, target: str, checkpoint: str, *, config: JobConfig = JobConfig(), wire: bool = True, trigger: dict | None = None) -> StreamingQuery:
+    """Runs ``red`` (endpoints of each batch, names past the cap folded) or ``templates`` (records of each batch by
+    template, those past the cap together) on a stream of payloads; a reader sums the batches up."""
+    decode = decode_otlp_proto if wire else decode_json
+    trigger = trigger or {"processingTime": config.trigger}
+    if job == "red":
+        spans = flatten.flatten_spans(decode(payloads, "traces", config.malformed)).select("service", "name", "status", "ord")
+        fold = lambda df: red.endpoints(df.withColumn("name", F.when(F.col("admitted"), F.col("name")).otherwise(red.OVERFLOW)))
+        return guarded(spans, ["service", "name"], "ord", config.max_series, fold, target, checkpoint, trigger=trigger)
+    if job == "templates":
+        logs = logdedup.templated(flatten.flatten_logs(decode(payloads, "logs", config.malformed))).select("hash", "service", "body_bytes", "ord")
+        tally = lambda df: df.groupBy(F.when(F.col("admitted"), F.col("hash")).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.sum("body_bytes").alias("bytes"))
+        return guarded(logs, ["hash"], "ord", config.max_templates, tally, target, checkpoint, trigger=trigger)
+    raise ValueError(f"no such job: {job}")

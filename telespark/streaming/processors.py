@@ -56,12 +56,17 @@ class TraceFold(StatefulProcessor):
 
 
 class FloodCount(StatefulProcessor):
-    """Gives a row when a template has its ``threshold``-th record in an anchored window of ``length_ms``."""
+    """Gives a row when a template has its ``threshold``-th record in an anchored window of ``length_ms``.
+
+    State is one pair of numbers for each open window; it goes when the watermark has passed the window's end, after which
+    any record opens another.
+    """
 
     def __init__(self, length_ms: int = 60_000, threshold: int = 1000):
         self.length_ms, self.threshold = length_ms, threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.count = handle.getValueState("count", "start_us long, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -70,12 +75,23 @@ class FloodCount(StatefulProcessor):
         for r in sorted(rows, key=lambda x: (x.arrival_us, x.ord)):
             held = self.count.get() if self.count.exists() else None
             if held is None or r.arrival_us - held[0] >= self.length_ms * 1000:
+                if held is not None:
+                    self.handle.deleteTimer(self._due(held[0]))
                 held = (r.arrival_us, 0)
+                self.handle.registerTimer(self._due(held[0]))
             self.count.update((held[0], held[1] + 1))
             if held[1] + 1 == self.threshold:
                 at = [datetime.datetime.fromtimestamp(t / 1e6, datetime.timezone.utc).replace(tzinfo=None) for t in (held[0], r.arrival_us)]
                 yield Row(hash=key[0], window_start=at[0], service=r.service, at=at[1])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.count.exists() and self._due(self.count.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.count.clear()
+        return iter(())
+
+    def _due(self, start_us: int) -> int:
+        return -(-start_us // 1000) + self.length_ms
+
     def close(self) -> None:
         pass
 
@@ -111,8 +127,8 @@ def traces(facts: DataFrame, length_ms: int = 10_000) -> DataFrame:
 
 
 def floods(logs: DataFrame, length_ms: int = 60_000, threshold: int = 1000) -> DataFrame:
-    """Flood events of a stream of (hash, service, arrival_us, ord)."""
-    return logs.groupBy("hash").transformWithState(FloodCount(length_ms, threshold), FLOOD_COLUMNS, "append", "none")
+    """Flood events of a stream of (hash, service, arrival_us, ord, arrival_ts) with a watermark on arrival_ts."""
+    return logs.groupBy("hash").transformWithState(FloodCount(length_ms, threshold), FLOOD_COLUMNS, "append", "eventTime")
 
 
 def distinct_values(attrs: DataFrame, cap: int = 10_000) -> DataFrame:

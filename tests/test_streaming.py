@@ -1,30 +1,119 @@
 from __future__ import annotations
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
-from telespark.queries import QUERIES
+from telespark.config import JobConfig
+from telespark.functions.hashing import sampled
+from telespark.queries import streamed_decisions
+from telespark.sources.sinks import as_samples
 from telespark.streaming import jobs, processors
 from tests.conftest import SF
+from tests.test_sources import BODY, LOGS, NOW
 
-
-def test_traces_closed_over_a_stream_equal_the_batch(spark):
-    stream = {(r["trace_id"], r["window_us"]): r["spans"] for r in QUERIES["stream_tail"](spark, SF).collect()}
-    batch = {(r["trace_id"], r["window_us"]): r["spans"] for r in QUERIES["tail_anchored"](spark, SF).collect()}
-    assert stream.items() <= batch.items()
-    assert len(batch) - len(stream) <= 3  # those that the end of the stream leaves open
+ONCE = {"availableNow": True}
 
 
-def test_capped_sets_and_forks(spark, tmp_path):
-    df = spark.createDataFrame([("m", "k", str(v % 7)) for v in range(30)], "metric_name string, attr_key string, attr_value string")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    read = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    got = []
+@pytest.fixture
+def states(spark):
     for k, v in jobs.STATE_STORE.items():
         spark.conf.set(k, v)
-    q = processors.distinct_values(read(), cap=5).writeStream.outputMode("update").foreachBatch(lambda b, _: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    yield
+    for k in jobs.STATE_STORE:
+        spark.conf.unset(k)
+
+
+def test_services_are_new_once_over_a_stream(spark):
+    rows = streamed_decisions(spark, SF).cache()
+    plain = rows.where("service <> 'unknown' and reason not in ('error', 'slow')")
+    per = plain.groupBy("service").agg(F.count_if(F.col("reason") == "rare").alias("n")).collect()
+    assert len(per) > 10 and all(r["n"] == 1 for r in per)
+    rest = rows.where("reason in ('probabilistic', 'boring')")
+    assert rest.where((F.col("reason") == "probabilistic") != sampled(F.col("trace_id"))).isEmpty()
+    assert rows.where("kept = (reason = 'boring')").isEmpty() and rows.select("batch").distinct().count() > 1
+
+
+def stream_of(spark, path, rows, schema):
+    """Appends rows to a folder and reads the whole as a stream, a file for each micro-batch."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def test_capped_sets_and_forks(spark, tmp_path, states):
+    schema = "metric_name string, attr_key string, attr_value string"
+    rows = [("m", "k", str(v % 7)) for v in range(30)]
+    got = []
+    sets = processors.distinct_values(stream_of(spark, tmp_path / "in", rows, schema), cap=5)
+    sets.writeStream.outputMode("update").foreachBatch(lambda b, _: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
     assert max(r["distinct_values"] for r in got) == 5
     branches = {"count": lambda b: b.agg(F.count(F.lit(1)).alias("n")), "keys": lambda b: b.select("attr_key").distinct()}
-    jobs.forked(read(), branches, str(tmp_path / "out"), str(tmp_path / "c2"), trigger={"availableNow": True}).awaitTermination()
+    read = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    jobs.forked(read, branches, str(tmp_path / "out"), str(tmp_path / "c2"), trigger=ONCE).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "count")).first()["n"] == 30
     assert spark.read.parquet(str(tmp_path / "out" / "keys")).count() == 1
+
+
+PAYLOADS = "value string, batch_id long, arrival_ts timestamp"
+
+
+def test_counters_go_on_after_a_restart(spark, tmp_path):
+    """Each call is a new start from the checkpoint; counters go on, and no payload counts twice."""
+    path, out, at = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    for turn in (1, 2):
+        stream = stream_of(spark, path, [(json.dumps(BODY), turn, NOW), ("no json", 10 + turn, NOW)], PAYLOADS)
+        jobs.start("volume", stream, "traces", out, at, wire=False, trigger=ONCE).awaitTermination()
+        r = jobs.latest(spark, out).first()
+        assert (r["batches"], r["records"], r["malformed"]) == (2 * turn, turn, turn)
+    jobs.start("volume", spark.readStream.schema(PAYLOADS).parquet(str(path)), "traces", out, at, wire=False, trigger=ONCE).awaitTermination()
+    assert jobs.latest(spark, out).first()["batches"] == 4
+    skipped = JobConfig(malformed="skip")
+    jobs.start("volume", spark.readStream.schema(PAYLOADS).parquet(str(path)), "traces", f"{out}2", f"{at}2", config=skipped, wire=False, trigger=ONCE).awaitTermination()
+    assert jobs.latest(spark, f"{out}2").first()["batches"] == 2, "another job sees the whole stream"
+
+
+@pytest.mark.parametrize(("job", "signal", "body", "column", "value"), [
+    ("insights", "traces", BODY, "records", 1), ("top_services", "traces", BODY, "rank", 1), ("cost", "logs", LOGS, "records", 7), ("cost_usd", "logs", LOGS, "team", "unknown"),
+    ("debug_waste", "logs", LOGS, "debug_records", 4), ("red_buckets", "traces", BODY, "service", "smoke"),
+])
+def test_jobs(spark, tmp_path, job, signal, body, column, value):
+    stream = stream_of(spark, tmp_path / "in", [(json.dumps(body), 1, NOW)], PAYLOADS)
+    jobs.start(job, stream, signal, str(tmp_path / "out"), str(tmp_path / "state"), wire=False, trigger=ONCE).awaitTermination()
+    assert {r[column] for r in jobs.latest(spark, str(tmp_path / "out")).collect()} == {value}
+
+
+def test_samples_of_a_stream(spark, tmp_path):
+    stream = stream_of(spark, tmp_path / "in", [("a", 1), ("a", 2), ("b", 3)], "service string, n long")
+    count = lambda df: df.groupBy("service").agg(F.sum("n").alias("n"))
+    jobs.sampled(stream, count, lambda df: as_samples(df, "requests", "n", F.lit(NOW), "service"), str(tmp_path / "out"), str(tmp_path / "state"), trigger=ONCE).awaitTermination()
+    got = {r["labels"]["service"]: r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a": 3.0, "b": 3.0}
+
+
+def spans_of(*names):
+    body = json.loads(json.dumps(BODY))
+    body["resourceSpans"][0]["scopeSpans"][0]["spans"] = [{"name": n, "kind": 1} for n in names]
+    return json.dumps(body)
+
+
+def test_caps_hold_over_batches_and_restarts(spark, tmp_path):
+    config, out, at = JobConfig(max_series=2, max_templates=1), str(tmp_path / "out"), str(tmp_path / "state")
+    for batch, names in enumerate([["a", "a", "b"], ["c", "a"], ["b", "d"]]):
+        stream = stream_of(spark, tmp_path / "in", [(spans_of(*names), batch, NOW)], PAYLOADS)
+        jobs.start_guarded("red", stream, out, at, config=config, wire=False, trigger=ONCE).awaitTermination()
+    total = spark.read.parquet(f"{out}/out").groupBy("name").agg(F.sum("requests").alias("n")).collect()
+    assert {r["name"]: r["n"] for r in total} == {"a": 3, "b": 2, "__overflow__": 2}
+    body = {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"body": {"stringValue": x}} for x in ("disk 1", "disk 2", "net up")]}]}]}
+    stream = stream_of(spark, tmp_path / "logs", [(json.dumps(body), 1, NOW)], PAYLOADS)
+    jobs.start_guarded("templates", stream, f"{out}2", f"{at}2", config=config, wire=False, trigger=ONCE).awaitTermination()
+    assert sorted((r["hash"] is None, r["n"]) for r in spark.read.parquet(f"{out}2/out").collect()) == [(False, 2), (True, 1)]
+
+
+def test_replays_are_dropped(spark, tmp_path):
+    import datetime
+
+    t = [NOW + datetime.timedelta(seconds=s) for s in (0, 5, 9)]
+    stream = stream_of(spark, tmp_path / "in", [("x", t[0]), ("x", t[1]), ("y", t[2])], "nonce string, ts timestamp")
+    jobs.appended(jobs.without_replays(stream), str(tmp_path / "out"), str(tmp_path / "state"), trigger=ONCE).awaitTermination()
+    assert sorted(r["nonce"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y"]
