@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Names of helper columns, which a caller's tables won't have.
+_TIME, _WINDOW = "_anchored_time_us", "_anchored_window_us"
+
+
 def starts(times: np.ndarray, length: int, open_at: int | None) -> np.ndarray:
     """Window start of each of one key's sorted times; ``open_at`` is the window open before them, if any."""
     out = np.empty_like(times)
@@ -30,9 +34,9 @@ def starts(times: np.ndarray, length: int, open_at: int | None) -> np.ndarray:
 
 def anchored(df: DataFrame, key: str, ts: str, length_us: int, *order: str) -> DataFrame:
     """Adds window_start, a timestamp, to the rows of ``df``.  Rows with a null time are left out; a null key is a key."""
-    slim = df.where(F.col(ts).isNotNull()).withColumn("_t", F.unix_micros(ts))
-    sorted_ = slim.repartition(F.col(key)).sortWithinPartitions(key, "_t", *order)
-    schema = sorted_.withColumn("window_us", F.lit(0).cast("long")).schema
+    slim = df.where(F.col(ts).isNotNull()).withColumn(_TIME, F.unix_micros(ts))
+    sorted_ = slim.repartition(F.col(key)).sortWithinPartitions(key, _TIME, *order)
+    schema = sorted_.withColumn(_WINDOW, F.lit(0).cast("long")).schema
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, open_at = object(), None
@@ -40,7 +44,7 @@ def anchored(df: DataFrame, key: str, ts: str, length_us: int, *order: str) -> D
             if not len(b):
                 continue
             keys = b.column(key).to_pylist()
-            times = b.column("_t").to_numpy()
+            times = b.column(_TIME).to_numpy()
             edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
             out = np.empty(len(keys), dtype=np.int64)
             for i, j in zip(edges, edges[1:]):
@@ -48,7 +52,7 @@ def anchored(df: DataFrame, key: str, ts: str, length_us: int, *order: str) -> D
                     last, open_at = keys[i], None
                 out[i:j] = starts(times[i:j], length_us, open_at)
                 open_at = int(out[j - 1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "window_us"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, _WINDOW])
 
     folded = sorted_.mapInArrow(fold, schema)
-    return folded.withColumn("window_start", F.timestamp_micros("window_us")).drop("_t", "window_us")
+    return folded.withColumn("window_start", F.timestamp_micros(_WINDOW)).drop(_TIME, _WINDOW)

@@ -16,6 +16,24 @@ def labelled(samples: DataFrame, *labels: str) -> DataFrame:
     return samples.select("metric", *(F.try_element_at("labels", F.lit(x)).alias(x) for x in labels), "ts", "value")
 
 
+def matching(samples: DataFrame, metric: str, **patterns: str) -> DataFrame:
+    """The samples of a metric whose labels match regular expressions as a whole; a missing label is an empty one."""
+    found = samples.where(F.col("metric") == metric)
+    for label, pattern in patterns.items():
+        found = found.where(F.coalesce(F.try_element_at("labels", F.lit(label)), F.lit("")).rlike(f"^(?:{pattern})$"))
+    return found
+
+
+def against_target(measured: DataFrame, config: DataFrame, on: tuple[str, ...], value: str = "per_second") -> DataFrame:
+    """target, measured and their ratio: what generators were set to send (``access.target_rate``) and what came of it.
+
+    A generator of which nothing came measures 0.  Where there is no target (disabled, or no throttle) the ratio is null.
+    """
+    came = measured.select(*on, F.col(value).alias("measured"))
+    out = config.select(*on, "target").join(came, list(on), "left").na.fill(0.0, ["measured"])
+    return out.withColumn("ratio", F.when(F.col("target") > 0, F.col("measured") / F.col("target")))
+
+
 def union_all(*streams: DataFrame) -> DataFrame:
     """Several streams of samples as one."""
     return reduce(lambda a, b: a.unionByName(b), streams)

@@ -501,6 +501,27 @@ def lag_threshold(spark, d):
     return metric.above(_lag(spark, d), 900).drop("ts")
 
 
+@query("SELECT grp, topic, part::VARCHAR AS part, value FROM lag WHERE regexp_full_match(topic, '(click|pur).*') AND part <> 3", _LAG)
+def lag_of_topics(spark, d):
+    """The lag of the topics and partitions that regular expressions select."""
+    rows = _lag(spark, d)
+    names = F.create_map(*(x for c in ("topic", "part") for x in (F.lit(c), F.col(c))))
+    found = metric.matching(rows.withColumns({"metric": F.lit("lag"), "labels": names}), "lag", topic="(click|pur).*", part="[^3]")
+    return found.select("grp", "topic", "part", "value")
+
+
+@query(
+    """SELECT u AS generator, CASE WHEN u % 4 = 0 THEN 0.0 WHEN u % 5 = 0 THEN -1.0 ELSE (u % 5) * greatest(u % 3, 1) END::DOUBLE AS target, coalesce(n, 0) / 3600 AS measured,
+    CASE WHEN target > 0 THEN measured / target END AS ratio FROM range(60) t(u) LEFT JOIN (SELECT user_id AS u, count(*) AS n FROM events WHERE user_id % 7 > 0 GROUP BY user_id) USING (u)""",
+)
+def rate_against_target(spark, d):
+    """What generators were set to send and what came of each, over an hour."""
+    g = F.col("generator")
+    config = spark.range(60).select(F.col("id").alias("generator")).select("generator", (g % 4 != 0).alias("enabled"), (g % 5).alias("rate"), (g % 3).alias("workers"))
+    sent = views.events(spark, d).where("user_id % 7 > 0").groupBy(F.col("user_id").alias("generator")).agg((F.count(F.lit(1)) / 3600).alias("per_second"))
+    return metric.against_target(sent, access.target_rate(config), ("generator",)).select("generator", "target", "measured", "ratio")
+
+
 @query("SELECT topic, count(DISTINCT part) AS partitions FROM lag GROUP BY topic", _LAG)
 def topic_partitions(spark, d):
     return _lag(spark, d).groupBy("topic").agg(F.count_distinct("part").alias("partitions"))
@@ -609,7 +630,7 @@ def _shared(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _trace_envelopes(spark: SparkSession, d: str) -> DataFrame:
+def trace_envelopes(spark: SparkSession, d: str) -> DataFrame:
     """The spans as one JSON envelope for each event."""
     s = views.spans(spark, d)
     text = lambda c: F.struct(c.alias("stringValue"))
@@ -629,7 +650,7 @@ _FLAT = "SELECT span_id, trace_id, service, name, kind, status, duration_ns, n_e
 def otlp_json_flatten(spark, d):
     from telespark.sources.otlp_json import decode_json
 
-    flat = flatten.flatten_spans(decode_json(_trace_envelopes(spark, d), "traces"))
+    flat = flatten.flatten_spans(decode_json(trace_envelopes(spark, d), "traces"))
     return flat.select("span_id", "trace_id", "service", "name", "kind", "status", "duration_ns", F.size("events").alias("n_exceptions"))
 
 
@@ -638,7 +659,7 @@ def otlp_proto_decode(spark, d):
     """JSON envelopes encoded as protobuf by tasks, decoded and flattened."""
     from telespark.sources.otlp_proto import decode_otlp_proto, encode_otlp_proto
 
-    payloads = encode_otlp_proto(_trace_envelopes(spark, d), "traces")
+    payloads = encode_otlp_proto(trace_envelopes(spark, d), "traces")
     flat = flatten.flatten_spans(decode_otlp_proto(payloads, "traces"))
     return flat.select("span_id", "trace_id", "service", "name", "kind", "status", "duration_ns", F.size("events").alias("n_exceptions"))
 
@@ -661,7 +682,7 @@ def tail_from_envelopes(spark, d):
     """Decisions on the spans of JSON envelopes."""
     from telespark.sources.otlp_json import decode_json
 
-    flat = flatten.flatten_spans(decode_json(_trace_envelopes(spark, d), "traces"))
+    flat = flatten.flatten_spans(decode_json(trace_envelopes(spark, d), "traces"))
     return tail.decide(tail.trace_facts(flat)).select("trace_id", "reason", "kept")
 
 

@@ -21,14 +21,16 @@ def write_samples(samples: DataFrame, target: str, max_batch: int = 500_000) ->
     dated.write.mode("append").option("maxRecordsPerFile", max_batch).partitionBy("metric", "day").parquet(target)
 
 
-def write_jsonl(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
-    """Appends JSON lines, a new file after ``max_rows`` rows."""
-    df.write.mode("append").option("maxRecordsPerFile", max_rows).json(path)
+def write_jsonl(df: DataFrame, path: str, max_rows: int = 100_000, ts: str | None = None) -> None:
+    """Appends JSON lines, a new file after ``max_rows`` rows, and a folder for each day of ``ts`` if that is given."""
+    dated = df.withColumn("day", F.to_date(ts)) if ts else df
+    out = dated.write.mode("append").option("maxRecordsPerFile", max_rows)
+    (out.partitionBy("day") if ts else out).json(path)
 
 
-def emit_kept(spans: DataFrame, decisions: DataFrame, path: str) -> None:
-    """Writes the spans of kept traces."""
-    write_jsonl(kept_spans(spans, decisions), path)
+def emit_kept(spans: DataFrame, decisions: DataFrame, path: str, *window: str) -> None:
+    """Writes the spans of kept traces; with ``window``, those of the windows in which a trace is kept."""
+    write_jsonl(kept_spans(spans, decisions, *window), path)
 
 
 def debug_sink(stream: DataFrame, rows: int = 20):

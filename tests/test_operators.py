@@ -108,7 +108,37 @@ def test_starts_equals_a_plain_fold(times, length, cut):
 
 def test_monotonic_times(spark):
     df = spark.createDataFrame([(k, ms) for k, ms in enumerate([5, 5, 5, 9, 3, 20])], "ord long, now_ms long")
-    assert [r["sample_ms"] for r in volume.monotonic(df).orderBy("ord").collect()] == [5, 6, 7, 9, 10, 20]
+    for width in (1, 2, 4, 1 << 16):
+        assert [r["sample_ms"] for r in volume.monotonic(df, width=width).orderBy("ord").collect()] == [5, 6, 7, 9, 10, 20]
+
+
+def test_running_totals_over_buckets(spark):
+    df = spark.createDataFrame([(k, k % 3 if k % 5 else None, k % 7) for k in range(60)], "ord long, g long, n_records long")
+    want, sums = {}, {}
+    for r in df.orderBy("ord").collect():
+        want[r["ord"]] = sums[r["g"]] = sums.get(r["g"], 0) + r["n_records"]
+    for width in (1, 7, 1 << 16):
+        assert {r["ord"]: r["total"] for r in volume.running_totals(df, "g", width=width).collect()} == want
+
+
+def test_label_selectors(spark):
+    df = spark.createDataFrame([("lag", {"topic": "otlp-traces"}, 1.0), ("lag", {"topic": "other"}, 2.0), ("lag", {}, 3.0), ("up", {"topic": "otlp-logs"}, 4.0)], "metric string, labels map<string,string>, value double")
+    value = lambda x: sorted(r["value"] for r in x.collect())
+    assert value(metric.matching(df, "lag", topic="otlp-.*")) == [1.0] and value(metric.matching(df, "lag", topic=".*")) == [1.0, 2.0, 3.0] and value(metric.matching(df, "lag", topic="other|")) == [2.0, 3.0]
+
+
+def test_kept_spans_go_on_by_window(spark, tmp_path):
+    from telespark.sources.sinks import emit_kept
+
+    spans = spark.createDataFrame([("t", 1, "a", at(0)), ("t", 2, "b", at(0)), ("u", 1, "c", at(0))], "trace_id string, window_start int, span_id string, ts timestamp")
+    decisions = spark.createDataFrame([("t", 1, True), ("t", 2, False), ("u", 1, False)], "trace_id string, window_start int, kept boolean")
+    emit_kept(spans, decisions, str(tmp_path / "k"), "window_start")
+    assert [r["span_id"] for r in spark.read.json(str(tmp_path / "k")).collect()] == ["a"]
+
+
+def test_anchored_keeps_other_columns(spark):
+    df = spark.createDataFrame([("k", at(0), 1, 2)], "k string, ts timestamp, window_us int, _t int")
+    assert anchored(df, "k", "ts", 10).select("window_us", "_t").first() == (1, 2)
 
 
 def test_throughput(spark):
