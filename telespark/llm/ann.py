@@ -5,7 +5,8 @@ query walks through the centroid pairs by rising summed distance, with a heap, u
 share of all rows; the entries of those cells are then ranked by their exact inner product.
 
 Rows are shuffled by blocks of cells of bounded size (a crowded cell's rows are dealt over several blocks), and a query is
-sent to the blocks that hold a cell of its walk.
+sent to the blocks that hold a cell of its walk.  Queries are dealt into chunks of bounded size, and a task holds one chunk
+against one block.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telespark.llm.common import hash_fraction
+from telespark.llm.common import hash_fraction, small_batches
 
 
 @dataclass
@@ -149,20 +150,23 @@ def placed(rows: DataFrame, index: MultiIndex) -> DataFrame:
                     pdf["block"] = 0
                 yield pdf[["id", "vector", "i", "j", "block"]]
 
-    return rows.mapInPandas(at, "id long, vector array<float>, i int, j int, block long")
+    return rows.mapInPandas(at, f"id long, vector {dict(rows.dtypes)['vector']}, i int, j int, block long")
 
 
-def search(rows: DataFrame, queries: DataFrame, *, top: int = 20, share: float = 0.45, least: int = 2000, k: int = 64) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, *, top: int = 20, share: float = 0.45, least: int = 2000, k: int = 64, chunk: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's ``top`` nearest rows found.
 
-    ``rows`` and ``queries`` have id (long) and vector (array<float>, as ``usable`` tells).  A row of the query's own id is
-    no candidate.  Cells are met until they hold ``share`` of all rows and ``least`` rows.  score is the inner product of
-    the given vectors in double precision; nearest first, ties to the smaller id.
+    ``rows`` and ``queries`` have id (long) and vector (array<float> or array<double>, of one length, as ``usable``
+    tells).  A row of the query's own id is no candidate.  Cells are met until they hold ``share`` of all rows and
+    ``least`` rows.  score is the inner product of the given vectors in double precision; nearest first, ties to the
+    smaller id.  Rows of one id are candidates each; queries need ids of their own.  ``rows`` must not be empty.
     """
-    index = build(rows, k=k)
+    index = build(small_batches(rows), k=k)
     spark, total = rows.sparkSession, int(index.counts.sum())
     shared = spark.sparkContext.broadcast(index)
     wanted = max(least, int(np.ceil(share * total)))
+    chunks = max(1, -(-queries.count() // chunk))
+    kind = dict(rows.dtypes)["vector"]
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -206,7 +210,9 @@ def search(rows: DataFrame, queries: DataFrame, *, top: int = 20, share: float =
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols)))
 
     spread = queries.select("id", "vector").repartition(max(spark.sparkContext.defaultParallelism, 8), "id")
-    asked = spread.mapInPandas(sent, "block long, id long, vector array<float>, reached array<int>, floor double")
-    pairs = asked.groupBy("block").cogroup(placed(rows.select("id", "vector"), index).groupBy("block")).applyInPandas(ranked, "query_id long, vec_id long, score double")
+    asked = spread.mapInPandas(sent, f"block long, id long, vector {kind}, reached array<int>, floor double")
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+    against = placed(rows.select("id", "vector"), index).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    pairs = asked.groupBy("block", "chunk").cogroup(against.groupBy("block", "chunk")).applyInPandas(ranked, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
