@@ -31,13 +31,27 @@ def mixable(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document; documents with a label of good quality weigh twice, bad ones half.
+
+    Each row is a document, repeated ones too; null texts have no words, and a null source is one of its own.  An empty
+    table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     slim = mixable(spark, sf_dir, docs).drop("text")
     return mixing.mix(slim).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("vector"))
+    """The 20 nearest rows of each query, by an index of all rows.
+
+    Rows without a vec_id take no part.  Vectors that are null, zero, or hold null or non-finite
+    components take no part, nor do those of another length than most (of equally frequent ones, the shortest), which have
+    no inner product with the others.  Of several vectors of a query's vec_id the least counts.  Vectors of floats or
+    doubles are scored as they are; other numbers as doubles.  An empty table gives no rows.
+    """
+    raw = table(spark, sf_dir, "embeddings")
+    kind = dict(raw.dtypes)["embedding"]
+    given = raw.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("vector")).where(F.col("id").isNotNull())
     sizes = given.where(F.size("vector") > 0).groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     rows = given.where(ann.usable("vector", sizes[0]["dim"] if sizes else 0))
     if rows.isEmpty():
@@ -47,13 +61,23 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document.
+
+    Null and empty texts have the score of no words at all; equal texts have equal scores.  Without labels to learn from
+    every score is 0.5; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = quality.fit(labelled(spark, sf_dir, docs, "quality"), "label")
+    weights = quality.fit(labelled(spark, sf_dir, docs, "quality", 5000), "label", most_rows=5000)
     scored = quality.score(docs, weights)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document as the written files have them.
+
+    Null and empty texts have the end id alone.  Documents without an id come first; rows of one id follow each other in
+    the order of their texts' hashes.  An empty table gives no rows.
+    """
     path = tokens.new_path(spark, "tokens")
     tokens.write_orc(table(spark, sf_dir, "documents"), path, tokenizer=tokens.default_tokenizer(), added_tokens=True)
     parts = saved(tokens.digest(tokens.read_orc(spark, path)), "digest")
@@ -61,19 +85,39 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.linked(table(spark, sf_dir, "conversations"))
+    """The conversations in reply order without their quotes.
+
+    Messages of a null conv_id are one conversation; ties of turn and role go by text, null texts are empty messages.  An
+    empty table gives no rows.
+    """
+    return chat.rendered(chat.branched(chat.linked(table(spark, sf_dir, "conversations"))))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every document.
+
+    Each row is a document; null and empty texts link with nothing, and documents without an id can link.  An empty table
+    gives no rows.
+    """
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash", "group")
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in packed sequences.
+
+    Null and empty texts have the end id alone; repeated rows and rows without an id are documents of their own.  An empty
+    table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     return packing.digest(packing.pack(docs, tokenizer=tokens.default_tokenizer(), added_tokens=True))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document.
+
+    Null and empty texts have the score of no words at all; equal texts have equal scores.  Without labels to learn from
+    every score is 0.5; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     features, weights = toxicity.fit(labelled(spark, sf_dir, docs, "toxic"), "label", corpus=docs)
     scored = toxicity.score(docs, features, weights)
@@ -81,12 +125,23 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document.
+
+    Null texts and texts without a letter are ``und`` with score 0, and so are all where no row has a language to learn
+    from.  Equal texts get equal results; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~held_out("doc_id")))
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each text of ``benchmark``.
+
+    Rows of one item_id are one query, those without one none.  Each row of ``documents`` is a document, repeated ones
+    too; null texts are empty, and documents without an id count in the statistics only.  Ties go to the smaller doc_id.
+    Empty tables give no rows.
+    """
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text")
     return bm25.search(table(spark, sf_dir, "documents").select("doc_id", "text"), queries)
 
@@ -104,50 +159,75 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bm25": op10_bm25,
 }
 _OP5 = r"""
-WITH rows AS (
+WITH RECURSIVE rows AS (
     SELECT row_number() OVER () AS mid, conv_id, turn, role, text,
            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS position
     FROM conversations
+), split AS (
+    SELECT mid, conv_id, position, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS spot FROM rows
 ), lines AS (
-    SELECT mid, conv_id, position, line,
-           length(regexp_replace(regexp_extract(line, '^[ \t]*>[ \t>]*'), '[^>]', '', 'g')) AS level,
-           trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*>[ \t>]*', '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm
-    FROM (SELECT mid, conv_id, position, unnest(string_split(text, chr(10))) AS line FROM rows)
+    SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*>[ \t>]*'), '[^>]', '', 'g')) AS level, regexp_replace(line, '^[ \t]*>[ \t>]*', '') AS raw,
+           trim(regexp_replace(lower(raw), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm,
+           level = 0 AND NOT (regexp_matches(line, '(?i)(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t\r]*$')
+               AND coalesce(regexp_matches(lead(line) OVER (PARTITION BY mid ORDER BY spot), '^[ \t]*>[ \t>]*'), false)) AS own
+    FROM split
+), islands AS (
+    SELECT *, spot - row_number() OVER (PARTITION BY mid, level ORDER BY spot) AS island FROM lines WHERE norm <> '' AND (level > 0 OR own)
+), passages AS (
+    SELECT mid, conv_id, position, level, island, string_agg(raw, ' ' ORDER BY spot) AS raw, list(norm) AS norms FROM islands GROUP BY ALL
+), units AS (
+    SELECT *, trim(regexp_replace(lower(raw), '[^\p{L}\p{N}]+', ' ', 'g')) AS whole,
+           list_filter([trim(regexp_replace(lower(s), '[^\p{L}\p{N}]+', ' ', 'g')) FOR s IN regexp_split_to_array(raw, '[.!?]+')], lambda x: x <> '') AS sentences
+    FROM passages
 ), original AS (
-    SELECT conv_id, norm, min(position) AS origin FROM lines WHERE level = 0 AND norm <> '' GROUP BY conv_id, norm
+    SELECT conv_id, unit, min(position) AS origin
+    FROM (SELECT conv_id, position, unnest(list_concat([whole], norms, sentences)) AS unit FROM units WHERE level = 0) GROUP BY ALL
+), asked AS (
+    SELECT mid, conv_id, position, level, island, true AS whole, whole AS unit FROM units WHERE level > 0
+    UNION ALL SELECT mid, conv_id, position, level, island, false, unnest(sentences) FROM units WHERE level > 0
+), found AS (
+    SELECT a.mid, a.level, a.island, coalesce(max(o.origin) FILTER (a.whole), CASE WHEN bool_and(a.whole OR o.origin IS NOT NULL) THEN max(o.origin) FILTER (NOT a.whole) END) AS origin
+    FROM asked a LEFT JOIN original o ON o.conv_id IS NOT DISTINCT FROM a.conv_id AND o.unit = a.unit AND o.origin < a.position GROUP BY ALL
 ), quotes AS (
-    SELECT q.mid, max(q.level) AS depth, count(*) AS n_quoted, count(o.origin) AS n_linked, max(CASE WHEN q.level = 1 THEN o.origin END) AS origin
-    FROM lines q LEFT JOIN original o ON o.conv_id IS NOT DISTINCT FROM q.conv_id AND o.norm = q.norm AND o.origin < q.position
-    WHERE q.level > 0 AND q.norm <> '' GROUP BY q.mid
+    SELECT mid, max(level) AS depth, count(*) AS n_quoted, count(origin) AS n_linked, max(origin) FILTER (level = 1) AS origin FROM found GROUP BY mid
+), own_text AS (
+    SELECT mid, string_agg(line, chr(10) ORDER BY spot) AS text FROM lines WHERE own GROUP BY mid
+), linked AS (
+    SELECT r.mid, r.conv_id, r.role, r.position, coalesce(q.origin, CASE WHEN r.position > 1 THEN r.position - 1 END) AS answers,
+           coalesce(q.depth, 0) AS depth, coalesce(q.n_quoted, 0) AS n_quoted, coalesce(q.n_linked, 0) AS n_linked,
+           regexp_replace(coalesce(t.text, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS text
+    FROM rows r LEFT JOIN quotes q USING (mid) LEFT JOIN own_text t USING (mid)
+), parents AS (
+    SELECT *, answers IS NULL OR row_number() OVER (PARTITION BY conv_id, answers ORDER BY position) > 1 AS begins FROM linked
+), branches AS (
+    SELECT conv_id, position, position AS branch FROM parents WHERE begins
+    UNION ALL SELECT p.conv_id, p.position, b.branch FROM branches b JOIN parents p ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND p.answers = b.position AND NOT p.begins
 )
-SELECT r.conv_id, r.turn, r.role, r.position,
-       coalesce(q.origin, CASE WHEN r.position > 1 THEN r.position - 1 END) AS answers,
-       coalesce(q.depth, 0)::BIGINT AS depth, coalesce(q.n_quoted, 0)::BIGINT AS n_quoted, coalesce(q.n_linked, 0)::BIGINT AS n_linked,
-       regexp_replace(array_to_string(list_filter(string_split(coalesce(r.text, ''), chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)),
-                      '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS text
-FROM rows r LEFT JOIN quotes q USING (mid)
+SELECT p.conv_id, b.branch, (p.position - b.branch) // 512 AS block, arg_min(coalesce(p.answers, -1), p.position) AS first_answers, count(*) AS n_messages, max(p.depth)::BIGINT AS depth,
+       sum(p.n_quoted)::BIGINT AS n_quoted, sum(p.n_linked)::BIGINT AS n_linked,
+       string_agg('<|' || coalesce(p.role, 'unknown') || '|>' || chr(10) || p.text || chr(10) || '<|end|>', chr(10) ORDER BY p.position) AS chat
+FROM parents p JOIN branches b ON b.conv_id IS NOT DISTINCT FROM p.conv_id AND b.position = p.position GROUP BY ALL
 """
+_OP5 = f"SELECT * EXCLUDE first_answers, nullif(first_answers, -1) AS answers FROM ({_OP5})"
 
 _OP10 = r"""
-WITH words AS (
-    SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents
-), lengths AS (
-    SELECT d.doc_id, len(regexp_extract_all(lower(coalesce(d.text, '')), '[\p{L}\p{N}]+')) AS length FROM documents d
+WITH texts AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(replace(lower(replace(coalesce(text, ''), 'İ', 'i')), 'ς', 'σ'), '[\p{L}\p{N}]+') AS terms FROM documents
 ), totals AS (
-    SELECT count(*) AS n, avg(length) AS mean FROM lengths
+    SELECT count(*) AS n, avg(len(terms)) AS mean FROM texts
 ), f AS (
-    SELECT doc_id, term, count(*)::DOUBLE AS f FROM words GROUP BY ALL
+    SELECT rid, term, count(*)::DOUBLE AS f FROM (SELECT rid, unnest(terms) AS term FROM texts) GROUP BY ALL
 ), df AS (
     SELECT term, count(*) AS df FROM f GROUP BY term
 ), q AS (
     SELECT query_id, term, count(*) AS times
-    FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) GROUP BY ALL
+    FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(replace(lower(replace(text, 'İ', 'i')), 'ς', 'σ'), '[\p{L}\p{N}]+')) AS term FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL
 ), gains AS (
-    SELECT f.term, f.doc_id,
-           round(1000000 * (ln(1 + (t.n - d.df + 0.5) / (d.df + 0.5)) * f.f * 2.2 / (f.f + 1.2 * (0.25 + 0.75 * l.length / t.mean))))::BIGINT AS gain
-    FROM f JOIN df d USING (term) JOIN lengths l USING (doc_id) CROSS JOIN totals t
+    SELECT f.term, f.rid, d.doc_id,
+           round(1000000 * (ln(1 + (t.n - df.df + 0.5) / (df.df + 0.5)) * f.f * 2.2 / (f.f + 1.2 * (0.25 + 0.75 * len(d.terms) / t.mean))))::BIGINT AS gain
+    FROM f JOIN df USING (term) JOIN texts d USING (rid) CROSS JOIN totals t WHERE d.doc_id IS NOT NULL
 ), scored AS (
-    SELECT query_id, doc_id, sum(times * gain)::BIGINT AS units FROM q JOIN gains USING (term) GROUP BY ALL
+    SELECT query_id, rid, doc_id, sum(times * gain)::BIGINT AS units FROM q JOIN gains USING (term) GROUP BY ALL
 ), ranked AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id) AS rank FROM scored WHERE units > 0
 )
