@@ -5,11 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that goes to or comes from a Python worker.
+BATCH_BYTES = "4m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Sets the session's bound on the bytes of a batch for Python workers, unless it has its own: what a task holds then
+    depends neither on the number of rows in a batch nor on the length of texts, but for a single longer one."""
+    conf = df.sparkSession.conf
+    if _BATCH_SETTING not in conf.getAll:
+        conf.set(_BATCH_SETTING, BATCH_BYTES)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster that is an error, as executors would write
+    where nobody else can read.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -39,6 +61,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sided(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """``df`` as the side of a join: broadcast if it has no more than ``most_rows`` rows, else left to be shuffled."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def held_out(doc_id: str | Column) -> Column:
     """True for the fifth of the ids that no model learns labels from."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -60,6 +87,20 @@ def bounded_sample(df: DataFrame, by: Column, most: int, *key: str) -> DataFrame
     return df.where(hash_fraction(*key, seed=11) <= share)
 
 
+def blocks(column: pa.Array | pa.ChunkedArray, most_chars: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of about ``most_chars`` characters or one text, with the place of the first: bounds what is held at once."""
+    at, held, chars = 0, [], 0
+    for k in range(len(column)):
+        t = column[k].as_py()
+        held.append(t)
+        chars += len(t or "")
+        if chars >= most_chars:
+            yield at, held
+            at, held, chars = k + 1, [], 0
+    if held:
+        yield at, held
+
+
 V = TypeVar("V")
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telespark.llm.common import bounded_sample, take_over
+from telespark.llm.common import bounded_sample, small_batches, take_over
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 UNDETERMINED = "und"
@@ -115,7 +115,7 @@ def fit(train: DataFrame, *, most_rows: int = 1500, most_words: int = 20_000, mo
     ``most_words`` most frequent words and ``most_grams`` most frequent n-grams of each length of each language, ties by
     code point.  Rows with a null text or language teach nothing; without any rows the model has no language.
     """
-    rows = train.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = small_batches(train).select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = bounded_sample(rows, F.col("lang"), most_rows, "doc_id", "text").select("text", "lang")
     counts = (
         sample.mapInPandas(_counted, "lang string, kind int, gram string, n long")
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, lang: str = "lang_pred", s
     A null text, or one without a letter, is ``und`` with score 0, and so is every text under a model without languages.
     Ties go to the language first in code point order.  Equal texts get equal results; other columns pass through.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telespark.llm.common import saved, take_over
+from telespark.llm.common import blocks, saved, small_batches, take_over
 from telespark.llm.components import components
 
 SIZE, ROWS = 128, 4
@@ -30,8 +30,8 @@ BANDS = SIZE // ROWS
 WORDS = 5
 _MUL, _MUL2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(f"round {i}") for i in range(2 * SIZE)], dtype=np.uint64)
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 512
+#: Members of a bucket that one task compares with as many others, and the sum of their sets' sizes that makes them fewer.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Rows up to which a list of ids is sent to every executor (8 bytes a row); a longer one is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -80,13 +80,13 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 def _batches(b: pa.RecordBatch) -> Iterator[tuple[int, int, list]]:
     take_over("minhash", lambda: None)
-    for at in range(0, len(b), 500):
-        part = b.column("text").slice(at, 500).to_pylist()
-        yield at, len(part), [shingles(t) for t in part]
+    for at, texts in blocks(b.column("text")):
+        yield at, len(texts), [shingles(t) for t in texts]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sig (16 bytes that tell sets apart; null for an empty one), sketch and text_hash of each row."""
+    """doc_id, text_hash, row, n_shingles, sig (16 bytes that tell sets apart; null for an empty one) and sketch of each row
+    of ``docs`` (doc_id, text, text_hash, row)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,10 +94,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 size = pa.array([len(s) for s in sets], pa.int64())
                 sig = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
                 drawn = pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), b.column("text_hash").slice(at, n), size, sig, drawn], ["doc_id", "text_hash", "n_shingles", "sig", "sketch"])
+                named = [b.column(c).slice(at, n) for c in ("doc_id", "text_hash", "row")]
+                yield pa.RecordBatch.from_arrays([*named, size, sig, drawn], ["doc_id", "text_hash", "row", "n_shingles", "sig", "sketch"])
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return given.mapInArrow(made, "doc_id long, text_hash long, n_shingles long, sig binary, sketch binary")
+    return docs.mapInArrow(made, "doc_id long, text_hash long, row long, n_shingles long, sig binary, sketch binary")
 
 
 def restrict(df: DataFrame, keys: DataFrame, by: str) -> DataFrame:
@@ -121,21 +121,23 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _sets(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and members (its full set, as sorted little-endian 64-bit hashes) of the distinct nodes ``used``."""
+    """node and members (its full set, sorted as unsigned numbers) of the distinct nodes ``used``."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, found in _batches(b):
-                raw = [s.astype("<u8").tobytes() for s in found]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["sig", "members"])
+                bounds = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+                members = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *found]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), members], ["sig", "members"])
 
-    named = saved(restrict(nodes.select("node", "doc_id", "sig"), used, "node"), "named")
-    texts = restrict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), named.select("doc_id").distinct(), "doc_id")
-    return saved(texts.mapInArrow(made, "sig binary, members binary").join(named.select("sig", "node"), "sig").select("node", "members"), "sets")
+    named = saved(restrict(nodes.select("node", "row", "sig"), used, "node"), "named")
+    texts = restrict(docs.select("row", "text"), named.select("row"), "row")
+    once = texts.mapInArrow(made, "sig binary, members array<long>").groupBy("sig").agg(F.first("members").alias("members"))  # rows may repeat
+    return saved(once.join(named.select("sig", "node"), "sig").select("node", "members"), "sets")
 
 
 def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each other set: is 100 * intersection >= percent * union?  All are sorted and without repeats."""
+    """For each other set: is 100 * intersection >= percent * union?  All are sorted unsigned numbers without repeats."""
     size = np.array([len(x) for x in others], dtype=np.int64)
     every = np.concatenate(others)
     at = np.minimum(np.searchsorted(one, every), len(one) - 1)
@@ -146,15 +148,12 @@ def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarra
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links on their full sets."""
 
-    def judged(x: pd.Series, y: pd.Series) -> pd.Series:
-        read = lambda raw: np.frombuffer(raw, dtype="<u8")
-        return pd.Series([bool(linked(read(p), [read(q)], percent)[0]) for p, q in zip(x, y)], dtype=bool)
-
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     full = _sets(used, nodes, docs)
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     both = both.join(full.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return both.where(F.pandas_udf(judged, "boolean")("x", "y")).select("a", "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def _against_pivots(buckets: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
@@ -179,15 +178,16 @@ def _all_others(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, docs: Da
     a task holds two blocks against each other, so that no pair is ever a row: it compares sketches first, to tell which
     members need their full sets, and then those.  Nodes that share several buckets are compared in the first band.
     """
-    rooted = buckets.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
-    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    # the bucket's size, its number of components and the size and root of the largest
-    whole = parts.groupBy("key").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("k"), F.max("n").alias("most"))
-    largest = parts.join(whole, "key").where((F.col("k") > 1) & (F.col("n") == F.col("most"))).groupBy("key", "m", "most").agg(F.min("root").alias("main"))
+    weight = F.lit(1 / BLOCK) + F.col("n_shingles") / BLOCK_SHINGLES
+    rooted = buckets.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"), weight.alias("w"))
+    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    # the bucket's size in members and blocks, its number of components, and the root and blocks of the largest
+    whole = parts.groupBy("key").agg(F.sum("n").alias("m"), F.sum("w").alias("all"), F.count(F.lit(1)).alias("k"), F.max(F.struct("n", (-F.col("root")).alias("minus"), "w")).alias("most"))
+    largest = whole.where(F.col("k") > 1).select("key", "m", "all", (-F.col("most.minus")).alias("main"), F.greatest(F.col("all") - F.col("most.w"), F.lit(0.0)).alias("few"))
     # a pair is all of a bucket of two, and every pair of such a bucket met its pivot
-    mixed = saved(rooted.join(largest.where(F.col("m") > 2), "key").select("key", "band", "node", "root", "m", "main", (F.col("m") - F.col("most")).alias("few")), "mixed")
-    wide = F.ceil(F.col("m") / BLOCK).cast("int")
-    slim = F.ceil(F.col("few") / BLOCK).cast("int")
+    mixed = saved(rooted.join(largest.where(F.col("m") > 2), "key").select("key", "band", "node", "root", "main", "all", "few"), "mixed")
+    wide = F.ceil("all").cast("int")
+    slim = F.greatest(F.lit(1), F.ceil("few").cast("int"))
     right = mixed.withColumn("j", F.pmod(F.xxhash64("node"), wide).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), slim - 1)))
     left = mixed.where(F.col("root") != F.col("main")).withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), slim).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), wide - 1)))
     cols = ["key", "band", "i", "j", "node", "root"]
@@ -212,7 +212,7 @@ def _all_others(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, docs: Da
         return pdf.loc[use, [*cols, "right", "sketch"]]
 
     def judged(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets, node = [np.frombuffer(x, dtype="<u8") for x in pdf["members"]], pdf["node"].to_numpy()
+        sets, node = [x.view(np.uint64) for x in pdf["members"]], pdf["node"].to_numpy()
         a, b = [], []
         for k, found in near(pdf):
             if len(found):
@@ -236,16 +236,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     """doc_id, text_hash, group, n_shingles, component_id and kept of each row of ``docs`` (columns doc_id and text).
 
     Links join documents with 100 * intersection >= percent * union of their sets; component_id is the smallest doc_id
-    that links reach, and group tells components apart that share one (as ids may repeat).  A document without words links with nothing.  Rows of one doc_id are documents of their own.  A
-    null doc_id counts only where its component has no other; kept is true where doc_id equals component_id, both null
-    included.
+    that links reach, and group tells components apart that share one (as ids may repeat).  A document without words
+    (null and empty texts too) links with nothing.  Rows of one doc_id are documents of their own, and so are rows without
+    one.  A null doc_id counts only where its component has no other; kept is true where doc_id equals component_id, both
+    null included.  An empty table gives no rows.
     """
     least = percent / 100 - 4.2 * (percent / 100 * (1 - percent / 100) / SIZE) ** 0.5
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"))
     rows = saved(sketches(docs), "sketches")
-    grouped = rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    whole = rows.where(F.col("sig").isNotNull())
+    grouped = whole.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     nodes = saved(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
-    keys = nodes.select("node", F.posexplode(bands).alias("band", "key"))
+    keys = nodes.select("node", "n_shingles", F.posexplode(bands).alias("band", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
     buckets = saved(keys.join(shared, "key"), "buckets")
 

@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telespark.llm import tokens
-from telespark.llm.common import saved
+from telespark.llm.common import blocks, saved, small_batches
 
+#: Of how many units of text a worker keeps the ids: fewer than for token tables, as it also holds pieces.
+KEPT = 150_000
 _PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -67,12 +69,12 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 20
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens.check_ids(tokenizer, 16)
+        tokens.check_ids(tokenizer, 16, KEPT)
         for b in batches:
             names = b.column("doc_id")
-            for at, texts in tokens.blocks(b.column("text")):
+            for at, texts in blocks(b.column("text")):
                 rows: list[tuple[int, int, int, bytes]] = []
-                for k, ids in enumerate(tokens.encode(texts, tokenizer, added_tokens=added_tokens)):
+                for k, ids in enumerate(tokens.encode(texts, tokenizer, added_tokens=added_tokens, kept=KEPT)):
                     short = np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes() + end
                     n = len(short) // 2
                     rows += [(at + k, s, n, short[2 * s : 2 * (s + capacity)]) for s in range(0, n, capacity)]
@@ -80,7 +82,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 20
                 size = [len(x) // 2 for x in ids]
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(place)), *map(pa.array, (start, size, total, ids))], ["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    given = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = given.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
     pieces = saved(made.withColumn("rid", F.monotonically_increasing_id()), "pieces")
     whole = pieces.where(F.col("length") == capacity).select("doc_id", "start", "length", "doc_tokens", (F.col("rid") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
@@ -105,9 +107,5 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 20
 
 def digest(pieces: DataFrame) -> DataFrame:
     """Replaces ids by ids_crc32, the checksum of the ids as little-endian unsigned 32-bit integers."""
-
-    def summed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in batches:
-            yield pd.Series([tokens.crc(np.frombuffer(x, dtype="<u2").astype("<u4").tobytes()) for x in ids], dtype="int64")
-
-    return pieces.select("doc_id", "start", "length", F.pandas_udf(summed, "long")("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    wide = F.unhex(F.regexp_replace(F.hex("ids"), "(.{4})", "$10000"))  # two zero bytes after each two; there is no group 10
+    return pieces.select("doc_id", "start", "length", F.crc32(wide).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

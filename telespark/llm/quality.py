@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telespark.llm import linear
-from telespark.llm.common import bounded_sample, take_over
+from telespark.llm.common import bounded_sample, small_batches, take_over
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +77,7 @@ def fit(train: DataFrame, label: str, *, most_rows: int = 5000, params: linear.F
     """
     p = params or linear.Ftrl()
     y = F.col(label).cast("int")
-    rows = bounded_sample(train.where(y.isin(0, 1)), y, most_rows, "doc_id", "text")
+    rows = bounded_sample(small_batches(train).where(y.isin(0, 1)), y, most_rows, "doc_id", "text")
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -90,7 +90,7 @@ def fit(train: DataFrame, label: str, *, most_rows: int = 5000, params: linear.F
 
 def score(docs: DataFrame, weights: np.ndarray, *, out: str = "score") -> DataFrame:
     """Adds the probability of label 1 to rows with a column text; null and empty texts get that of the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(weights)
     bits = int(len(weights)).bit_length() - 1
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

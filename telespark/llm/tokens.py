@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telespark.llm.common import Recent, shared_dir, take_over
+from telespark.llm.common import Recent, blocks, shared_dir, small_batches, take_over
 
 #: White space as Unicode has it, which is also what the pre-tokenizer takes for it.
 _SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -29,10 +29,10 @@ _RUN = re.compile(f"[{_SPACE}][{_SPACE}]").search
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters from here on are left to the tokenizer: its tables and Python's may differ on when a sign became a letter.
 _SETTLED = "\u0530"
-#: Units of whose ids a worker keeps as many to twice as many.
-_KEPT = 400_000
+#: Of how many units a worker keeps the ids at least; it keeps twice as many at most, of about 200 bytes each.
+KEPT = 600_000
 _ID = operator.attrgetter("id")
-_encoders: dict[tuple[str, bool], "_Encoder"] = {}
+_encoders: dict[tuple[str, bool, int], "_Encoder"] = {}
 
 
 def default_tokenizer() -> str:
@@ -64,7 +64,7 @@ class _Encoder:
     of units met lately are kept.  A unit's key is the unit, without the space that it begins with if it is one space.
     """
 
-    def __init__(self, path: str, added_tokens: bool):
+    def __init__(self, path: str, added_tokens: bool, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,7 +78,7 @@ class _Encoder:
         self.cut = known and not any(told.get(x) for x in ("normalizer", "truncation", "padding")) and all(t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added)
         names = sorted((re.escape(t.content) for t in added), key=len, reverse=True)
         self.added = re.compile(f"({'|'.join(names)})") if names and added_tokens else None
-        self.kept = Recent(self.of_key, _KEPT)
+        self.kept = Recent(self.of_key, kept)
         self.largest = max(self.tokenizer.get_vocab().values(), default=0)
         self.signs = functools.lru_cache(4096)(self.merged)
 
@@ -136,42 +136,28 @@ class _Encoder:
         return [b"".join(map(of_part, self.parts(t))) for t in texts]
 
 
-def _encoder(path: str, added_tokens: bool) -> _Encoder:
+def _encoder(path: str, added_tokens: bool, kept: int) -> _Encoder:
     take_over("tokens", _encoders.clear)
-    key = path, added_tokens
+    key = path, added_tokens, kept
     return _encoders[key] if key in _encoders else _encoders.setdefault(key, _Encoder(*key))
 
 
-def check_ids(path: str, bits: int) -> None:
+def check_ids(path: str, bits: int, kept: int = KEPT) -> None:
     """Raises an error if an id of the vocabulary doesn't fit in so many bits."""
-    most = _encoder(path, True).largest
+    most = _encoder(path, True, kept).largest
     if most >> bits:
         raise ValueError(f"id {most} of {path} needs more than {bits} bits")
 
 
-def encode(texts: list[str | None], path: str, *, added_tokens: bool = False) -> list[bytes]:
+def encode(texts: list[str | None], path: str, *, added_tokens: bool = False, kept: int = KEPT) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers; none for null and empty texts.
 
     A text is cut where the tokenizer cuts it anyway, and the ids of what was met lately are reused; texts of a vocabulary
     that may cut otherwise are left to the tokenizer whole.  With ``added_tokens`` the vocabulary's added tokens in a text
     become their own ids, as the tokenizer's default has it; without, they are text like any other
-    (``encode_special_tokens``).
+    (``encode_special_tokens``).  ``kept``: of how many units ids are kept.
     """
-    return _encoder(path, added_tokens).encode(texts)
-
-
-def blocks(column: pa.Array | pa.ChunkedArray, most_chars: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of texts of about ``most_chars`` characters or one text, with the place of the first: bounds what is held at once."""
-    at, held, chars = 0, [], 0
-    for k in range(len(column)):
-        t = column[k].as_py()
-        held.append(t)
-        chars += len(t or "")
-        if chars >= most_chars:
-            yield at, held
-            at, held, chars = k + 1, [], 0
-    if held:
-        yield at, held
+    return _encoder(path, added_tokens, kept).encode(texts)
 
 
 def crc(ids: memoryview | bytes) -> int:
@@ -200,7 +186,7 @@ def write_orc(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, pa
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(bounds), flat)], ["doc_id", "ids"])
 
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .withColumn("_tie", F.xxhash64("text"))
         .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "_tie")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie")

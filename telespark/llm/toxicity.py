@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telespark.llm import linear
-from telespark.llm.common import bounded_sample, take_over
+from telespark.llm.common import Recent, bounded_sample, small_batches, take_over
 
 #: Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -34,8 +34,8 @@ _RUNS = re.compile(r"(.)\1*")
 _REPEATED = re.compile(r"(.)\1+").finditer
 #: Edge signs that stand for no letter: every reading leaves them out.
 _NOISE = "".join(c for c in _EDGE if c not in SIGNS)
-#: Words whose features a worker keeps; past this number the memory is emptied.
-_KEPT = 100_000
+#: Pieces of whose features a worker keeps as many to twice as many.
+_KEPT = 150_000
 #: Words or trigrams that a task sums up before it passes their counts on.
 _FOLD = 200_000
 
@@ -214,29 +214,29 @@ class Features:
     """Hashed features of a text: its words, as written and restored, and their first four and five letters, each once."""
 
     def __init__(self, model: CharModel, bits: int):
-        self.model, self.mask, self.kept = model, (1 << bits) - 1, {}
+        self.model, self.mask = model, (1 << bits) - 1
+        self.kept = Recent(self.of_piece, _KEPT)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "kept": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "kept"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.kept = Recent(self.of_piece, _KEPT)
 
     def of_words(self, words: set[str]) -> tuple[int, ...]:
         named = {f"w{w}" for w in words} | {f"p{w[:n]}" for w in words for n in (4, 5) if len(w) > n}
         return tuple({max(1, xxhash.xxh3_64_intdigest(f) & self.mask) for f in named})
 
     def of_piece(self, piece: str) -> tuple[int, ...]:
-        if len(self.kept) >= _KEPT:
-            self.kept.clear()
-        found = self.kept[piece] = self.of_words(forms(piece, self.model))
-        return found
+        return self.of_words(forms(piece, self.model))
 
     def of(self, text: str | None) -> np.ndarray:
         """Distinct indices, the bias among them; that alone for an empty text."""
         out = {linear.BIAS}
         if text:
-            pieces, known = _SPLIT(text.lower()), self.kept.get
-            for p in set(pieces):
-                out.update(known(p) or self.of_piece(p))
-            out.update(self.of_words(set_apart(pieces, self.model)))
+            pieces = _SPLIT(text.lower())
+            out.update(*map(self.kept.__getitem__, set(pieces)), self.of_words(set_apart(pieces, self.model)))
         return np.fromiter(out, dtype=np.int64, count=len(out))
 
 
@@ -286,7 +286,7 @@ def fit(train: DataFrame, label: str, *, corpus: DataFrame | None = None, most_r
     rows of each label, chosen by a hash of id and text."""
     p = params or linear.Ftrl(bits=20, alpha=1.0, l1=4.0, epochs=6, shards=1)
     y = F.col(label).cast("int")
-    rows = bounded_sample(train.where(y.isin(0, 1)), y, most_rows, "doc_id", "text")
+    rows = bounded_sample(small_batches(train).where(y.isin(0, 1)), y, most_rows, "doc_id", "text")
     features = Features(fit_chars(train if corpus is None else corpus), p.bits)
     shared = train.sparkSession.sparkContext.broadcast(features)
 
@@ -302,7 +302,7 @@ def fit(train: DataFrame, label: str, *, corpus: DataFrame | None = None, most_r
 
 def score(docs: DataFrame, features: Features, weights: np.ndarray, *, out: str = "score") -> DataFrame:
     """Adds the probability of label 1 to rows with a column text; null and empty texts get that of the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast((features, weights))
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast((features, weights))
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f, w = shared.value

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from telespark.llm import packing, queries, tokens
@@ -65,9 +66,8 @@ def test_other_vocabularies_are_left_whole(tmp_path, parts):
     assert [unpacked(x) for x in tokens.encode(texts, path, added_tokens=True)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
-def test_what_is_kept_is_bounded_and_right(monkeypatch):
-    monkeypatch.setattr(tokens, "_KEPT", 5)
-    e = tokens._Encoder(PATH, True)
+def test_what_is_kept_is_bounded_and_right():
+    e = tokens._Encoder(PATH, True, 5)
     texts = [f"w{chr(97 + k % 26)}x{k} wood{chr(97 + k % 7)}, " + "long" * (k % 14) for k in range(200)]
     assert [unpacked(x) for x in e.encode(texts)] == [DEFAULT.encode(x, add_special_tokens=False).ids for x in texts]
     assert len(e.kept) <= 5 and len(e.kept.old) <= 5 and all(len(k) <= 40 for k in e.kept)
@@ -131,15 +131,10 @@ def test_orc_holds_indexes_that_prune(spark, tmp_path):
     assert reader.getRowIndexStride() == 1000
 
     def rows_read(doc_id: int) -> int:
-        sarg = jvm.org.apache.hadoop.hive.ql.io.sarg
-        leaf = sarg.SearchArgumentFactory.newBuilder().equals("doc_id", getattr(jvm, "org.apache.hadoop.hive.ql.io.sarg.PredicateLeaf$Type").LONG, jvm.java.lang.Long(doc_id)).build()
-        columns = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 1)
-        columns[0] = "doc_id"
-        rows = reader.rows(reader.options().searchArgument(leaf, columns).allowSARGToFilter(False))
-        batch, n = reader.getSchema().createRowBatch(), 0
-        while rows.nextBatch(batch):
-            n += batch.size
-        return n
+        found = tokens.read_orc(spark, str(path)).where(F.col("doc_id") == doc_id)
+        plan = found._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
 
     assert rows_read(30_000) == 1000, "the row group that holds the id"
     assert sum(rows_read(k) == 0 for k in range(30_001, 30_041, 2)) >= 17, "ids within its range that aren't there: the Bloom filter"
