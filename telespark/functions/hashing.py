@@ -17,9 +17,7 @@ def _added(h: Column, c: Column) -> Column:
 def string_hash(text: Column) -> Column:
     """The sum of code * 31 ** (n - 1 - i) over the UTF-16 codes, modulo 2 ** 32, as an unsigned long."""
 
-    def of_chunk(h: Column, k: Column) -> Column:
-        part = F.substring(text, k * _CHUNK + 1, F.lit(_CHUNK))
-
+    def of_part(h: Column, part: Column) -> Column:
         def of_char(a: Column, i: Column) -> Column:
             c = F.ascii(F.substring(part, i, F.lit(1)))
             high, low = F.shiftright(c - 0x10000, 10) + 0xD800, (c - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
@@ -29,7 +27,8 @@ def string_hash(text: Column) -> Column:
         return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), h, of_char)
 
     chunks = F.sequence(F.lit(0), F.floor(F.length(text) / _CHUNK).cast("int"))
-    return F.aggregate(chunks, F.lit(0).cast("long"), of_chunk)
+    parts = F.transform(chunks, lambda k: F.substring(text, k * _CHUNK + 1, F.lit(_CHUNK)))
+    return F.aggregate(parts, F.lit(0).cast("long"), of_part)
 
 
 def hash_hex(text: Column) -> Column:

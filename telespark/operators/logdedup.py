@@ -38,9 +38,9 @@ def per_template(logs: DataFrame) -> DataFrame:
     """
     first = F.min(F.struct("ord", F.col("body_bytes").alias("bytes"))).alias("first")
     last = F.max(F.struct("ord", "service", "severity")).alias("last")
-    by_text = fingerprinted(logs).groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.sum("body_bytes").alias("b"), first, last)
-    hashed = by_text.withColumn("hash", hash_hex(F.col("template")))
-    sample = F.min(F.struct("first", F.substring("template", 1, 200).alias("text"))).alias("s")
+    by_text = fingerprinted(logs).groupBy("template").agg(F.max("template").alias("text"), F.count(F.lit(1)).alias("n"), F.sum("body_bytes").alias("b"), first, last)
+    hashed = by_text.withColumn("hash", hash_hex(F.col("text")))
+    sample = F.min(F.struct("first", F.substring("text", 1, 200).alias("text"))).alias("s")
     out = hashed.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), sample, F.max("last").alias("last"))
     return out.select(
         "hash", "n", "b", F.col("s.first.ord").alias("first_ord"), F.col("s.first.bytes").alias("first_bytes"), F.col("s.text").alias("sample"), F.col("last.service").alias("last_service"), F.col("last.severity").alias("last_severity")
@@ -54,7 +54,8 @@ def _first(templates: DataFrame, cap: int) -> DataFrame:
 
 def admitted(logs: DataFrame, cap: int = CAP) -> DataFrame:
     """template and hash of the templates whose hash is one of the ``cap`` that are seen first."""
-    by_text = fingerprinted(logs).groupBy("template").agg(F.min("ord").alias("first_ord")).withColumn("hash", hash_hex(F.col("template")))
+    # the hash is of an aggregate, so that no optimiser moves a condition on it to the records
+    by_text = fingerprinted(logs).groupBy("template").agg(F.max("template").alias("text"), F.min("ord").alias("first_ord")).withColumn("hash", hash_hex(F.col("text")))
     hashes = _first(by_text.groupBy("hash").agg(F.min("first_ord").alias("first_ord")), cap).select("hash")
     return by_text.join(F.broadcast(hashes), "hash", "left_semi").select("template", "hash")
 
@@ -112,8 +113,8 @@ def noisiest(logs: DataFrame, k: int = 10, cap: int = CAP) -> DataFrame:
 
 def floods_tumbling(logs: DataFrame, window: str = "60 seconds", threshold: int = 1000) -> DataFrame:
     """Templates with ``threshold`` records or more in a fixed window."""
-    by_text = fingerprinted(logs).groupBy(F.window("ts", window).alias("w"), "template").agg(F.count(F.lit(1)).alias("n"))
-    by_hash = by_text.groupBy("w", hash_hex(F.col("template")).alias("hash")).agg(F.sum("n").alias("records"))
+    by_text = fingerprinted(logs).groupBy(F.window("ts", window).alias("w"), "template").agg(F.max("template").alias("text"), F.count(F.lit(1)).alias("n"))
+    by_hash = by_text.groupBy("w", hash_hex(F.col("text")).alias("hash")).agg(F.sum("n").alias("records"))
     return by_hash.where(F.col("records") >= threshold).select(F.col("w.start").alias("window_start"), "hash", "records")
 
 
