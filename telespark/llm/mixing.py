@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telespark.llm.common import WORD, hash_fraction, saved
+from telespark.llm.common import WORD, hash_fraction, saved, sided
 
 BUCKETS = 1 << 14
 
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float
     edge = F.max(F.when(ends, F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))))
     budget = steps.groupBy("_mix_source", "source_size", "target", "_mix_epochs").agg(edge.alias("_mix_edge"))
 
-    found = keyed.join(budget, F.col("source").eqNullSafe(F.col("_mix_source")))
+    found = keyed.join(sided(budget, 100_000), F.col("source").eqNullSafe(F.col("_mix_source")))
     at_edge = F.coalesce(F.col("_mix_bucket") == F.col("_mix_edge.bucket"), F.lit(False))
     before = F.coalesce(F.col("_mix_bucket") < F.col("_mix_edge.bucket"), F.lit(True))
     inside = Window.partitionBy("source").orderBy("_mix_key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telespark.llm import ann, bm25, chat, langid, minhash, mixing, packing, quality, tokens, toxicity
-from telespark.llm.common import bounded_sample, held_out, saved, table
+from telespark.llm.common import bounded_sample, held_out, saved, sided, table
 
 
 def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str, most_rows: int = 8000) -> DataFrame:
@@ -27,7 +27,7 @@ def mixable(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     marks = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_mark_id")).agg(F.max("quality").alias("_mark"))
     weight = F.when(F.col("_mark") == 1, 2.0).when(F.col("_mark") == 0, 0.5).otherwise(1.0)
     sized = docs.withColumns({"size": mixing.words("text"), "tie": F.xxhash64("text")})
-    return sized.join(marks, F.col("doc_id") == F.col("_mark_id"), "left").withColumn("quality", weight).drop("_mark_id", "_mark")
+    return sized.join(sided(marks), F.col("doc_id") == F.col("_mark_id"), "left").withColumn("quality", weight).drop("_mark_id", "_mark")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
