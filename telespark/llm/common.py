@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but ASCII white space.
@@ -141,3 +141,18 @@ def take_over(owner: str, clear: Callable[[], None]) -> None:
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL(None).malloc_trim(0)
         _memory.update(owner=owner, clear=clear)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column | str], columns: list[Column | str], out: str) -> DataFrame:
+    """``columns`` (the keys among them) of the rows of ``df``, and their places from 1 among those of their keys in ``order``.
+
+    Rows are dealt by ranges of keys and order, so the rows of one key are spread over tasks; each range counts its own
+    rows of a key, and the counts before it are added.  Rows that are equal in all of these get their places as they come.
+    """
+    place = F.monotonically_increasing_id()
+    ranged = df.withColumn("_as_read", place).repartitionByRange(*keys, *order, "_as_read").sortWithinPartitions(*keys, *order, "_as_read")
+    kept = saved(ranged.select(*columns, place.alias("_place"), F.spark_partition_id().alias("_range")), "numbered")
+    spans = kept.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return saved(kept.join(spans, [*keys, "_range"]).withColumn(out, F.col("_before") + F.col("_place") - F.col("_first") + 1).drop("_range", "_place", "_first", "_before"), "numbered")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import ann, bm25, chat, langid, minhash, mixing, packing, quality, tokens, toxicity
+from telespark.llm import ann, bm25, chat, decontaminate, langid, minhash, mixing, negatives, packing, quality, tokens, toxicity, trie
 from telespark.llm.common import bounded_sample, held_out, saved, sided, table
 
 
@@ -146,6 +146,47 @@ def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(table(spark, sf_dir, "documents").select("doc_id", "text"), queries)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of each anchor's positives, by the threshold algorithm.
+
+    Rows without a vec_id or label, and vectors that are null or hold null or non-finite components, take no part, nor do
+    those of another length than most (of equally frequent ones, the shortest), which have no inner product with the
+    others.  Zero vectors take part.  Of several rows of an anchor's vec_id the one of the least label and vector is the
+    anchor, and none of them is its positive or negative; other repeated rows are candidates each.  An empty table gives no
+    rows.
+    """
+    raw = table(spark, sf_dir, "embeddings")
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("vector")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("long").alias("label")
+    rows = raw.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & negatives.finite("embedding")).select(F.col("vec_id").cast("long").alias("id"), label, whole)
+    sizes = rows.where(F.size("vector") > 0).groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    rows = rows.where(F.size("vector") == (sizes[0]["dim"] if sizes else -1))
+    least = rows.where(F.col("id") % 100 == 0).groupBy("id").agg(F.min(F.struct("label", "vector")).alias("least"))
+    return negatives.mine(rows, least.select("id", "least.label", "least.vector"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of the rebuilt conversations.
+
+    Rows without a conv_id are left out; turns of one number go by role and text, and repeated rows are turns each.  An
+    empty table gives no rows.
+    """
+    rows, ids = trie.rebuilt(trie.turns(table(spark, sf_dir, "conversations")))
+    return trie.trie(rows, ids)
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each document that lie in a benchmark window of ten words, and the items they come from.
+
+    Each row is a document, repeated ones and those without an id too.  Null texts have no words.  Items without an id mark
+    words, but aren't counted or listed; items without words have no windows.  An empty table of documents gives no rows.
+    """
+    wanted = decontaminate.items(table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    idx = decontaminate.index(table(spark, sf_dir, "documents").select("doc_id", "text"), wanted.terms)
+    found = decontaminate.phrases(idx.postings, wanted.slots)
+    return decontaminate.report(idx, found, wanted.members).drop("item_ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_multi_index": op2_multi_index,
@@ -157,6 +198,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
     "op10_bm25": op10_bm25,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_decontaminate": op13_decontaminate,
 }
 _OP5 = r"""
 WITH RECURSIVE rows AS (
@@ -234,4 +278,85 @@ WITH texts AS (
 SELECT query_id, rank, doc_id, units / 1000000 AS score FROM ranked WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_chat": _OP5, "op10_bm25": _OP10}
+_OP11 = """
+WITH ok AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), dims AS (
+    SELECT len(v) AS dim FROM ok WHERE len(v) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1
+), rows AS (
+    SELECT ok.* FROM ok JOIN dims ON len(v) = dim
+), anchors AS (
+    SELECT id, min(struct_pack(label := label, v := v)) AS a FROM rows WHERE id % 100 = 0 GROUP BY id
+), scored AS (
+    SELECT a.id AS anchor_id, r.id, r.label = a.a.label AS same, list_sum(list_transform(a.a.v, lambda x, i: x * r.v[i]))::BIGINT AS score FROM anchors a JOIN rows r ON r.id <> a.id
+), positives AS (
+    SELECT anchor_id, id, score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS nth FROM scored WHERE same
+), found AS (
+    SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.nth ORDER BY s.score DESC, s.id) AS rank
+    FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+    WHERE p.nth <= 5
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5
+"""
+
+_OP12 = r"""
+WITH turns AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+    SELECT c, c - c % 20 AS base,
+           xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+               lambda crc, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, b)), 4294967295::BIGINT), 4294967295) % 4 AS h
+    FROM (SELECT DISTINCT c FROM turns)
+), rebuilt AS (
+    SELECT ids.c, 0 AS own, t.pos, t.role, t.text FROM ids JOIN turns t ON t.c = ids.base AND t.pos <= ids.h
+    UNION ALL SELECT ids.c, 1, t.pos, t.role, t.text FROM ids JOIN turns t ON t.c = ids.c AND t.pos > ids.h
+), paths AS (
+    SELECT c, row_number() OVER w AS depth, list(struct_pack(role := role, text := text)) OVER w AS seq, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+    FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY own, pos)
+    UNION ALL SELECT c, 0, [], 0 FROM ids
+), nodes AS (
+    SELECT depth, seq, min(c) AS c, count(*) AS n, (count(*) - 1) * max(words) AS saved FROM paths GROUP BY depth, seq
+), kin AS (
+    SELECT depth - 1 AS depth, seq[:-2] AS seq, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), valued AS (
+    SELECT n.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN k.n_children IS NULL THEN 1 ELSE 0 END AS leaf FROM nodes n LEFT JOIN kin k USING (depth, seq)
+), below AS (
+    SELECT p.c, p.depth, p.seq, sum(CASE WHEN v.c = p.c THEN v.saved ELSE 0 END) OVER w AS saved, sum(CASE WHEN v.c = p.c THEN v.leaf ELSE 0 END) OVER w AS leaves
+    FROM paths p JOIN valued v USING (depth, seq) WINDOW w AS (PARTITION BY p.c ORDER BY p.depth DESC)
+), totals AS (
+    SELECT depth, seq, sum(saved)::BIGINT AS saved, sum(leaves)::BIGINT AS leaves FROM below GROUP BY ALL
+), lengths AS (
+    SELECT c, max(depth) AS depth FROM paths GROUP BY c
+), tips AS (
+    SELECT depth, seq, string_agg(c::VARCHAR, ',' ORDER BY c) AS ends FROM paths JOIN lengths USING (c, depth) GROUP BY ALL
+)
+SELECT v.c AS conv_id, v.depth, u.c AS parent_conv_id, v.n AS n_convs, v.n_children, t.leaves AS n_leaves, t.saved AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM valued v JOIN totals t USING (depth, seq) LEFT JOIN valued u ON v.depth > 0 AND u.depth = v.depth - 1 AND u.seq = v.seq[:-2] LEFT JOIN tips e ON e.depth = v.depth AND e.seq = v.seq
+"""
+
+_OP13 = r"""
+WITH items AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s : s + 9], ' ') AS phrase FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM items WHERE len(w) > 0)
+), docs AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), grams AS (
+    SELECT row, n, s, array_to_string(w[s : s + n - 1], ' ') AS phrase FROM (SELECT row, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM docs, (SELECT DISTINCT n FROM windows))
+), met AS (
+    SELECT g.row, g.n, g.s, x.item_id FROM grams g JOIN windows x ON x.n = g.n AND x.phrase = g.phrase
+), hits AS (
+    SELECT row, count(DISTINCT position) AS n_hit FROM (SELECT row, unnest(generate_series(s, s + n - 1)) AS position FROM met) GROUP BY row
+), listed AS (
+    SELECT row, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT row, item_id FROM met WHERE item_id IS NOT NULL) GROUP BY row
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(l.n_items, 0) AS n_items, sha256(coalesce(l.ids, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN hits h USING (row) LEFT JOIN listed l USING (row)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_chat": _OP5, "op10_bm25": _OP10, "op11_hard_negatives": _OP11, "op12_prefix_trie": _OP12, "op13_decontaminate": _OP13}
