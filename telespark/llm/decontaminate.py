@@ -75,8 +75,9 @@ def index(docs: DataFrame, terms: DataFrame, *, most_rows: int = 1_000_000) -> I
 
     Terms are broadcast if there are no more than ``most_rows`` of them and joined by a shuffle else.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(F.concat(words("text"), F.array(F.lit(END)))).alias("position", "written"))
-    met = numbered.select("row", "doc_id", "position", lowered("written").alias("term")).join(sided(terms, most_rows), "term")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(words("text"), F.array(F.lit(END))).alias("words"))
+    placed = numbered.select("row", "doc_id", F.posexplode("words").alias("position", "written"))
+    met = placed.select("row", "doc_id", "position", lowered("written").alias("term")).join(sided(terms, most_rows), "term")
     kept = met.select("tid", "row", "position", F.when(F.col("tid") == 0, F.col("doc_id")).alias("doc_id"))
     all_ = saved(kept.sortWithinPartitions("tid", "row", "position"), "postings")
     return Index(all_.where("tid > 0").select("tid", "row", "position"), all_.where("tid = 0").select("row", "doc_id", F.col("position").alias("n_words")))
