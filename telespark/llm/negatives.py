@@ -98,16 +98,17 @@ def nearest(lists: Lists, own: int, label: int, anchor: np.ndarray, most: int) -
 def within(lists: Lists, own: int, label: int, anchor: np.ndarray, goals: list[int], low: int, high: int, most: int) -> list[Best]:
     """For each goal the best ``most`` rows of other labels with low * goal <= 100 * score <= high * goal."""
     best = [_NONE] * len(goals)
+    ends = [(-(-low * g // 100), high * g // 100) for g in goals]  # whole scores, so no product can overflow
     for new, threshold in lists.walk(anchor):
         rows = new[(lists.labels[new] != label) & (lists.ids[new] != own)]
         s, ids = lists.scores(rows, anchor), lists.ids[rows]
         going = False
-        for k, g in enumerate(goals):
-            inside = (100 * s >= low * g) & (100 * s <= high * g)
+        for k, (first, last) in enumerate(ends):
+            inside = (s >= first) & (s <= last)
             if inside.any():
                 best[k] = merged(best[k], s[inside], ids[inside], most)
             full = len(best[k][0]) == most
-            going |= low * g <= high * g and not (100 * threshold < low * g or full and threshold < best[k][0][-1])
+            going |= first <= last and not (threshold < first or full and threshold < best[k][0][-1])
         if not going:
             break
     return best
