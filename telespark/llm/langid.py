@@ -10,10 +10,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telespark.llm.common import bounded_sample, small_batches, take_over
+from telespark.llm.common import bounded_sample, small_batches, take_over, unused
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 UNDETERMINED = "und"
@@ -108,12 +108,12 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 MAX_GRAM = 5
 
 
-def fit(train: DataFrame, *, most_rows: int = 1500, most_words: int = 20_000, most_grams: int = 10_000) -> LanguageModel:
+def fit(train: DataFrame, *, most_rows: int = 1500) -> LanguageModel:
     """Learns from columns doc_id, text and lang.
 
-    Reads at most about ``most_rows`` rows of each language, chosen by a hash of their id and text, and keeps the
-    ``most_words`` most frequent words and ``most_grams`` most frequent n-grams of each length of each language, ties by
-    code point.  Rows with a null text or language teach nothing; without any rows the model has no language.
+    Reads at most about ``most_rows`` rows of each language, chosen by a hash of their id and text, and keeps every word
+    and n-gram that these hold.  Rows with a null text or language teach nothing; without any rows the model has no
+    language.
     """
     rows = small_batches(train).select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = bounded_sample(rows, F.col("lang"), most_rows, "doc_id", "text").select("text", "lang")
@@ -122,18 +122,11 @@ def fit(train: DataFrame, *, most_rows: int = 1500, most_words: int = 20_000, mo
         .groupBy("lang", "kind", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    totals = Window.partitionBy("lang", "kind")
-    best = totals.orderBy(F.desc("n"), "gram")
-    top = (
-        counts.withColumn("total", F.sum("n").over(totals))
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= F.when(F.col("kind") == 0, most_words).otherwise(most_grams))
-        .toPandas()
-    )
+    top = counts.toPandas()
     langs = sorted(top["lang"].unique())
     at = {x: i for i, x in enumerate(langs)}
     total = np.ones((MAX_GRAM + 1, len(langs)))
-    for lang, kind, t in top[["lang", "kind", "total"]].drop_duplicates().itertuples(index=False):
+    for (lang, kind), t in top.groupby(["lang", "kind"])["n"].sum().items():
         total[kind, at[lang]] = t
     grams: dict[int, dict[str, int]] = {n: {} for n in range(MAX_GRAM + 1)}
     size = len(top[["kind", "gram"]].drop_duplicates())
@@ -170,5 +163,6 @@ def predict(docs: DataFrame, model: LanguageModel, *, lang: str = "lang_pred", s
                     out.append((m.langs[i], min(1.0, float(p[i])) if math.isfinite(p[i]) else 0.0))
             yield pd.DataFrame(out, columns=["lang", "score"])
 
-    found = docs.withColumn("_told", F.pandas_udf(told, "lang string, score double")(F.col("text")))
-    return found.withColumns({lang: F.col("_told.lang"), score: F.col("_told.score")}).drop("_told")
+    (both,) = unused(docs, "_told")
+    found = docs.withColumn(both, F.pandas_udf(told, "lang string, score double")(F.col("text")))
+    return found.withColumns({lang: F.col(f"{both}.lang"), score: F.col(f"{both}.score")}).drop(both)
