@@ -52,12 +52,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: later steps neither recompute it nor
     depend on the executors that made it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,6 +66,18 @@ def sided(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def held_out(doc_id: str | Column) -> Column:
     """True for the fifth of the ids that no model learns labels from."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -147,12 +159,13 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column | str], columns:
     """``columns`` (the keys among them) of the rows of ``df``, and their places from 1 among those of their keys in ``order``.
 
     Rows are dealt by ranges of keys and order, so the rows of one key are spread over tasks; each range counts its own
-    rows of a key, and the counts before it are added.  Rows that are equal in all of these get their places as they come.
+    rows of a key, and the counts before it are added.  Keys must not be null.  Rows that are equal in all of these get their places as they come.
     """
     place = F.monotonically_increasing_id()
-    ranged = df.withColumn("_as_read", place).repartitionByRange(*keys, *order, "_as_read").sortWithinPartitions(*keys, *order, "_as_read")
-    kept = saved(ranged.select(*columns, place.alias("_place"), F.spark_partition_id().alias("_range")), "numbered")
-    spans = kept.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return saved(kept.join(spans, [*keys, "_range"]).withColumn(out, F.col("_before") + F.col("_place") - F.col("_first") + 1).drop("_range", "_place", "_first", "_before"), "numbered")
+    read, at, span, n, first, before = unused(df.withColumn(out, F.lit(0)), "_as_read", "_place", "_range", "_n", "_first", "_before")
+    ranged = df.withColumn(read, place).repartitionByRange(*keys, *order, read).sortWithinPartitions(*keys, *order, read)
+    kept = saved(ranged.select(*columns, place.alias(at), F.spark_partition_id().alias(span)), "numbered")
+    spans = kept.groupBy(*keys, span).agg(F.count(F.lit(1)).alias(n), F.min(at).alias(first))
+    earlier = Window.partitionBy(*keys).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
+    return saved(kept.join(spans, [*keys, span]).withColumn(out, F.col(before) + F.col(at) - F.col(first) + 1).drop(span, at, first, before), "numbered")

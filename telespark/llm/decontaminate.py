@@ -79,7 +79,7 @@ def index(docs: DataFrame, terms: DataFrame, *, most_rows: int = 1_000_000) -> I
     placed = numbered.select("row", "doc_id", F.posexplode("words").alias("position", "written"))
     met = placed.select("row", "doc_id", "position", lowered("written").alias("term")).join(sided(terms, most_rows), "term")
     kept = met.select("tid", "row", "position", F.when(F.col("tid") == 0, F.col("doc_id")).alias("doc_id"))
-    all_ = saved(kept.sortWithinPartitions("tid", "row", "position"), "postings")
+    all_ = saved(kept.sortWithinPartitions("tid", "row", "position"), "postings", compression="zstd")
     return Index(all_.where("tid > 0").select("tid", "row", "position"), all_.where("tid = 0").select("row", "doc_id", F.col("position").alias("n_words")))
 
 

@@ -54,7 +54,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float
     taken: words that the mix takes from the row, repeats counted: size times the source's whole epochs, and size again
     for the rows that its last, partial epoch selects; the row at which the budget ends gives the words that are left.
     copies: the number of whole texts nearest to taken.  Rows without words give nothing.  Equal rows draw equal keys and
-    follow each other; reruns agree.  A null source is a source of its own, after all others.
+    follow each other and are summed up first; reruns agree.  A null source is a source of its own, after all others.
     """
     u = hash_fraction("doc_id", "tie", seed=seed)
     key = -F.log(u) / F.greatest(F.coalesce(F.col("quality"), F.lit(1.0)), F.lit(1e-6))
@@ -77,9 +77,13 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float
     found = keyed.join(sided(budget, 100_000), F.col("source").eqNullSafe(F.col("_mix_source")))
     at_edge = F.coalesce(F.col("_mix_bucket") == F.col("_mix_edge.bucket"), F.lit(False))
     before = F.coalesce(F.col("_mix_bucket") < F.col("_mix_edge.bucket"), F.lit(True))
+    # equal rows follow each other: they are one row of the prefix sum, and the n-th of them starts n sizes later
+    alike = found.where(at_edge).groupBy(*found.columns).agg(F.count(F.lit(1)).alias("_mix_n"))
+    together = F.col("size") * F.col("_mix_n")
     inside = Window.partitionBy("source").orderBy("_mix_key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.col("_mix_edge.left") - (F.sum("size").over(inside) - F.col("size"))
-    cut = found.where(at_edge).withColumn("_mix_part", F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    first = alike.withColumn("_mix_left", F.col("_mix_edge.left") - (F.sum(together).over(inside) - together))
+    each = first.withColumn("_mix_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_n") - 1)))
+    cut = each.withColumn("_mix_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_mix_left") - F.col("_mix_nth") * F.col("size")))).drop("_mix_n", "_mix_left", "_mix_nth")
     rest = found.where(~at_edge).withColumn("_mix_part", F.when(before & (F.col("target") > 0), F.col("size")).otherwise(F.lit(0)))
     taken = (F.col("size") * F.col("_mix_epochs") + F.col("_mix_part")).cast("long")
     out = cut.unionByName(rest).withColumn("taken", taken)

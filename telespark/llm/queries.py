@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telespark.llm import ann, bm25, chat, decontaminate, langid, minhash, mixing, negatives, packing, quality, tokens, toxicity, trie
-from telespark.llm.common import bounded_sample, held_out, saved, sided, table
+from telespark.llm.common import bounded_sample, held_out, saved, table
 
 
 def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str, most_rows: int = 8000) -> DataFrame:
@@ -23,11 +23,12 @@ def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str, most
 
 
 def mixable(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """Adds size, tie and quality: twice the usual weight for documents labelled good, half of it for those labelled bad."""
+    """size, tie and quality of rows (doc_id, source, text) in place of their text, which goes through no shuffle: twice the
+    usual weight for documents labelled good, half of it for those labelled bad."""
     marks = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_mark_id")).agg(F.max("quality").alias("_mark"))
     weight = F.when(F.col("_mark") == 1, 2.0).when(F.col("_mark") == 0, 0.5).otherwise(1.0)
-    sized = docs.withColumns({"size": mixing.words("text"), "tie": F.xxhash64("text")})
-    return sized.join(sided(marks), F.col("doc_id") == F.col("_mark_id"), "left").withColumn("quality", weight).drop("_mark_id", "_mark")
+    sized = docs.select("doc_id", "source", mixing.words("text").alias("size"), F.xxhash64("text").alias("tie"))
+    return sized.join(marks, F.col("doc_id") == F.col("_mark_id"), "left").withColumn("quality", weight).drop("_mark_id", "_mark")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +38,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     table gives no rows.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    slim = mixable(spark, sf_dir, docs).drop("text")
-    return mixing.mix(slim).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(mixable(spark, sf_dir, docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,8 +168,8 @@ def write_orc(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, pa
     """Writes doc_id and ids (array<int>) of rows with columns doc_id and text, in ascending doc_id order.
 
     Null ids come first; rows of one id are in the order of their text's hash.  Each document ends with ``end_id``, which
-    is all that a null or empty text has.  The files are split by ranges of doc_id and sorted inside, so their names'
-    order is the documents' order; the integers are run-length encoded, and each stripe has row indexes and a Bloom
+    is all that a null or empty text has.  The files are split by ranges of doc_id and sorted inside, so the order
+    of the numbers in their names is the documents' order; the integers are run-length encoded, and each stripe has row indexes and a Bloom
     filter on doc_id, with which readers skip stripes and row groups.
     """
     spark = docs.sparkSession
@@ -210,8 +210,8 @@ def read_orc(spark, path: str) -> DataFrame:
 def digest(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of a token table, start by sums over files and then over rows.
 
-    A file's rows are in order and files are in the order of their names; a file may be read in several splits, so rows
-    are placed by file and by their position in it.
+    A file's rows are in order and files are in the order of the numbers in their names; a file may be read in several
+    splits, so rows are placed by file and by their position in it.
     """
     placed = tokens.select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
@@ -237,7 +237,9 @@ def with_starts(parts: DataFrame) -> DataFrame:
     """
     split = Window.partitionBy("file", "block")
     totals = parts.groupBy("file", "block").agg(F.sum("n_tokens").alias("_t"))
-    upto = Window.partitionBy(F.lit(0)).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    # as a number: names have five digits at least, so their text order ends with the 100,000th file
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    upto = Window.partitionBy(F.lit(0)).orderBy(number, "file", "block").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("file", "block", F.coalesce(F.sum("_t").over(upto), F.lit(0)).alias("_base"))
     inside = F.coalesce(F.sum("n_tokens").over(split.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return parts.withColumn("_inside", inside).join(base, ["file", "block"]).withColumn("start", F.col("_base") + F.col("_inside"))

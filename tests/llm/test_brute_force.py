@@ -126,12 +126,11 @@ def test_languages_equal_a_plain_back_off(spark):
                 counts[r["lang"], kind][gram] += 1
                 total[r["lang"], kind] += 1
     langs = sorted({lang for lang, _ in counts})
-    kept = {(kind, lang): {g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: 20_000 if kind == 0 else 10_000]} for (lang, kind), c in counts.items()}
-    known = {kind: set().union(*(kept[kind, lang] for lang in langs)) for kind in range(6)}
+    known = {kind: set().union(*(counts[lang, kind] for lang in langs)) for kind in range(6)}
     assert langs == model.langs and known[0] == set(model.words) and all(known[k] == set(model.grams[k]) for k in range(1, 6))
 
     def logs(kind, gram):
-        return np.array([math.log(((counts[x, kind][gram] if gram in kept[kind, x] else 0) + 0.5) / (total[x, kind] + 1.0)) for x in langs])
+        return np.array([math.log((counts[x, kind][gram] + 0.5) / (total[x, kind] + 1.0)) for x in langs])
 
     def of_word(word):
         if word in known[0]:
@@ -175,6 +174,29 @@ def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path, stage):
     assert step(spark, docs.limit(0), d).count() == 0
 
 
+HELPERS = ["_lang", "_score", "_told", "_toxicity", "_text_hash", "_number", "_id", "_hash", "_nth", "_size", "_tie", "_of", "_key", "_copies", "_as_read", "_place", "_range", "_n", "_first", "_before", "tie", "copies", "quality", "size"]
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_leave_columns_with_names_of_helpers_alone(spark, tmp_path, stage):
+    d = written(spark, tmp_path, corpus() + [corpus()[0]] * 5, [(0, 1, 0), (2, 0, 1)])
+    docs = table(spark, d, "documents").withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in HELPERS})
+    out = stage[1](spark, docs, d)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[c] == f"{c}{'-' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in HELPERS)
+
+
+def test_mixing_stage_repeats_equal_rows_as_often_as_their_budget(spark, tmp_path):
+    rows = [(1, "a b c d", "en", "s0", 7, None, None, None)] * 40 + [(2, "e f", "en", "s1", 3, None, None, None)] * 30 + [(3, "g h i", None, None, 5, None, None, None)] * 25
+    d = written(spark, tmp_path, rows, [(1, 1, 0)])
+    mixed = Counter()
+    for r in mixing.mix(queries.mixable(spark, d, table(spark, d, "documents").select("doc_id", "source", "text"))).collect():
+        mixed[r["doc_id"]] += r["copies"]
+    out = Counter(r["doc_id"] for r in stages.mixing_sources(spark, table(spark, d, "documents"), d).collect())
+    assert out == mixed and {k: v % n != 0 for (k, v), n in zip(sorted(out.items()), (40, 30, 25))} != {}
+
+
 def test_run_takes_odd_rows_and_empty_tables(spark, tmp_path):
     d = written(spark, tmp_path / "a", corpus(), [(0, 1, 0), (7, 0, 0)])
     pieces = corpus_pipeline.run(spark, d).collect()
