@@ -1,7 +1,10 @@
 """Anchored windows: a key's first row opens a window of fixed length, and the first row past its end opens the next.
 
-Where a window starts depends on the one before, so a key's rows are folded in order.  Rows are dealt by key and sorted
-inside partitions; the fold streams over Arrow batches in constant memory.
+Where a window starts depends on the one before, yet no key has to stay in one task.  Rows are dealt by ranges of key and
+time, so a key of many rows is cut into pieces that follow each other.  All that a piece needs to know of those before it is
+``due``: the time from which on the next row opens a window.  Each piece that holds nothing but one key gives the function
+from due at its entry to due at its exit, as the steps of a table; only times within one window's length of its start can
+matter.  Composing these functions over a key's pieces gives each piece its own due, and then all pieces are folded at once.
 """
 
 from __future__ import annotations
@@ -13,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telespark.shared import shared_dir
 
 #: Names of helper columns, which a caller's tables won't have.
-_TIME, _WINDOW = "_anchored_time_us", "_anchored_window_us"
+_TIME, _WINDOW, _PIECE, _KEY = "_anchored_time_us", "_anchored_window_us", "_anchored_piece", "_anchored_key"
+_PIECES = f"{_KEY} string, piece int, place int, whole boolean, due long, upto array<long>, leaves array<long>"
 
 
 def starts(times: np.ndarray, length: int, open_at: int | None) -> np.ndarray:
@@ -32,27 +37,113 @@ def starts(times: np.ndarray, length: int, open_at: int | None) -> np.ndarray:
     return out
 
 
-def anchored(df: DataFrame, key: str, ts: str, length_us: int, *order: str) -> DataFrame:
-    """Adds window_start, a timestamp, to the rows of ``df``.  Rows with a null time are left out; a null key is a key."""
-    slim = df.where(F.col(ts).isNotNull()).withColumn(_TIME, F.unix_micros(ts))
-    sorted_ = slim.repartition(F.col(key)).sortWithinPartitions(key, _TIME, *order)
-    schema = sorted_.withColumn(_WINDOW, F.lit(0).cast("long")).schema
+def exits(times: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The function of a piece of one key's sorted times, as steps (upto, leaves): due at entry, which is at most the first
+    time plus ``length``, is looked up as the first upto that isn't below it; beyond the last one it leaves as it came."""
+    t = np.unique(times)
+    following = np.searchsorted(t, t + length, side="left")
+    last = np.where(following < len(t), following, np.arange(len(t)))
+    while True:  # the last window of the chain from each time, by doubling
+        further = last[last]
+        if (further == last).all():
+            break
+        last = further
+    first = min(len(t), int(np.searchsorted(t, t[0] + length, side="left")) + 1)
+    upto, leaves = t[:first], t[last[:first]] + length
+    step = np.append(leaves[1:] != leaves[:-1], True)
+    return upto[step], leaves[step]
+
+
+def _segments(keys: list) -> list[tuple[int, int]]:
+    edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+    return list(zip(edges, edges[1:]))
+
+
+def _summaries(length: int):
+    """Of each piece: of its first key whether it fills the piece, and if so its function; of its last key due at the end."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = first = last = due = None
+        whole, held = True, []
+        for b in batches:
+            if not len(b):
+                continue
+            keys, times = b.column(_KEY).to_pylist(), b.column(_TIME).to_numpy()
+            for i, j in _segments(keys):
+                if piece is None:
+                    piece, first, last = b.column(_PIECE)[0].as_py(), keys[0], keys[0]
+                if keys[i] != last:
+                    last, due, whole, held = keys[i], None, False, []
+                due = int(starts(times[i:j], length, None if due is None else due - length)[-1]) + length
+                if whole:
+                    held.append(times[i:j])
+        out = []
+        if piece is not None:
+            steps = [x.tolist() for x in exits(np.concatenate(held), length)] if whole else [[], []]
+            out.append({_KEY: first, "piece": piece, "place": 0, "whole": whole, "due": due if whole else None, "upto": steps[0], "leaves": steps[1]})
+            if not whole:
+                out.append({_KEY: last, "piece": piece, "place": 1, "whole": False, "due": due, "upto": [], "leaves": []})
+        yield pa.RecordBatch.from_pylist(out, schema=_SUMMARY)
+
+    return summed
+
+
+_SUMMARY = pa.schema([(_KEY, pa.string()), ("piece", pa.int32()), ("place", pa.int32()), ("whole", pa.bool_()), ("due", pa.int64()), ("upto", pa.list_(pa.int64())), ("leaves", pa.list_(pa.int64()))])
+
+
+def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Goes through the pieces of a key in order and gives due at the entry of each that continues it."""
+    key, due = object(), None
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            if r[_KEY] != key:
+                key, due = r[_KEY], None
+            if r["place"]:
+                due = r["due"]  # the key begins in this piece, behind others
+                continue
+            if due is not None:
+                out.append({"piece": r["piece"], "due": due})
+            if not r["whole"]:
+                due = None
+            elif due is None:
+                due = r["due"]
+            else:
+                at = int(np.searchsorted(r["upto"], due, side="left"))
+                due = r["leaves"][at] if at < len(r["upto"]) else due
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("piece", pa.int32()), ("due", pa.int64())]))
+
+
+def anchored(df: DataFrame, key: str, ts: str, length_us: int, *order: str, pieces: int | None = None) -> DataFrame:
+    """Adds window_start, a timestamp, to the rows of ``df``.  Rows with a null time are left out; a null key is a key.
+
+    Rows are cut into ``pieces``, as many as the session has shuffle partitions if that isn't given, and kept in a
+    checkpoint, which holds them in order.  What the driver gets is a number for each piece at most.
+    """
+    shared_dir(df.sparkSession)
+    slim = df.where(F.col(ts).isNotNull()).withColumn(_TIME, F.unix_micros(ts)).withColumn(_KEY, F.concat(F.when(F.col(key).isNull(), "n").otherwise("k"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    by = [_KEY, _TIME, *order]
+    dealt = slim.repartitionByRange(pieces, *by) if pieces else slim.repartitionByRange(*by)
+    cut = dealt.sortWithinPartitions(*by).withColumn(_PIECE, F.spark_partition_id()).checkpoint()
+    found = cut.select(_KEY, _TIME, _PIECE).mapInArrow(_summaries(length_us), _PIECES)
+    entries = {r["piece"]: r["due"] for r in found.repartition(_KEY).sortWithinPartitions(_KEY, "piece", "place").mapInArrow(_composed, "piece int, due long").collect()}
+    schema = cut.withColumn(_WINDOW, F.lit(0).cast("long")).schema
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, open_at = object(), None
+        last, open_at = None, None
         for b in batches:
             if not len(b):
                 continue
-            keys = b.column(key).to_pylist()
-            times = b.column(_TIME).to_numpy()
-            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            keys, times = b.column(_KEY).to_pylist(), b.column(_TIME).to_numpy()
+            if last is None:
+                last, due = keys[0], entries.get(b.column(_PIECE)[0].as_py())
+                open_at = None if due is None else due - length_us
             out = np.empty(len(keys), dtype=np.int64)
-            for i, j in zip(edges, edges[1:]):
+            for i, j in _segments(keys):
                 if keys[i] != last:
                     last, open_at = keys[i], None
                 out[i:j] = starts(times[i:j], length_us, open_at)
                 open_at = int(out[j - 1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, _WINDOW])
 
-    folded = sorted_.mapInArrow(fold, schema)
-    return folded.withColumn("window_start", F.timestamp_micros(_WINDOW)).drop(_TIME, _WINDOW)
+    return cut.mapInArrow(fold, schema).withColumn("window_start", F.timestamp_micros(_WINDOW)).drop(_TIME, _WINDOW, _PIECE, _KEY)

@@ -4,8 +4,9 @@ Inputs have service, severity, body, body_bytes, ts and a total order ``ord``.
 two templates of one hash are one.  Past ``cap`` templates, in the order in which they are first seen, a record only counts
 as overflow.
 
-Records are summed up by template before anything else, so that hashes are worked out for templates and not for records,
-and only the rows of the at most ``cap`` admitted hashes are joined with records where those are needed again.
+Records are summed up by template before anything else, so that hashes are worked out for templates and not for records.
+Where records are needed again, they are masked once and kept with a 64-bit key of their template, by which the at most
+``cap`` admitted hashes are joined to them; no template's text is joined or broadcast.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from telespark.functions.hashing import hash_hex
 from telespark.functions.logs import fingerprint
 from telespark.operators.anchored import anchored
+from telespark.shared import kept_table
 
 CAP = 20_000
 
@@ -26,10 +28,28 @@ def fingerprinted(logs: DataFrame) -> DataFrame:
 
 
 def templated(logs: DataFrame) -> DataFrame:
-    """Adds template and its hash to every record."""
+    """Adds template and its hash to every record, of a stream too."""
     return fingerprinted(logs).withColumn("hash", hash_hex(F.col("template")))
 
 
+def masked(logs: DataFrame) -> DataFrame:
+    """Adds template and key, its 64-bit hash, to every record of a table, once for all that follows."""
+    return kept_table(fingerprinted(logs).withColumn("key", F.xxhash64("template")), "masked")
+
+
+def hashes(rows: DataFrame) -> DataFrame:
+    """key, hash and first_ord of each template of ``masked`` rows."""
+    # the hash is of an aggregate, so that no optimiser moves it to the records
+    by_key = rows.groupBy("key").agg(F.max("template").alias("text"), F.min("ord").alias("first_ord"))
+    return by_key.withColumn("hash", hash_hex(F.col("text"))).drop("text")
+
+
+def hashed(logs: DataFrame) -> DataFrame:
+    """Adds template and its hash to every record of a table; the hash is worked out for each template."""
+    rows = masked(logs)
+    return rows.join(hashes(rows).drop("first_ord"), "key").drop("key")
+
+
 def per_template(logs: DataFrame) -> DataFrame:
     """One row for each hash: records, their bytes, the first ord, first body bytes, first 200 characters of the first
     template, and last service and severity.
@@ -52,18 +72,18 @@ def _first(templates: DataFrame, cap: int) -> DataFrame:
     return templates.orderBy("first_ord", "hash").limit(cap)
 
 
-def admitted(logs: DataFrame, cap: int = CAP) -> DataFrame:
-    """template and hash of the templates whose hash is one of the ``cap`` that are seen first."""
-    # the hash is of an aggregate, so that no optimiser moves a condition on it to the records
-    by_text = fingerprinted(logs).groupBy("template").agg(F.max("template").alias("text"), F.min("ord").alias("first_ord")).withColumn("hash", hash_hex(F.col("text")))
-    hashes = _first(by_text.groupBy("hash").agg(F.min("first_ord").alias("first_ord")), cap).select("hash")
-    return by_text.join(F.broadcast(hashes), "hash", "left_semi").select("template", "hash")
+def admitted(rows: DataFrame, cap: int = CAP) -> DataFrame:
+    """key and hash of the templates of ``masked`` rows whose hash is one of the ``cap`` that are seen first: as many as
+    ``cap``, but for those that share a hash with another."""
+    found = hashes(rows)
+    first = _first(found.groupBy("hash").agg(F.min("first_ord").alias("first_ord")), cap).select("hash")
+    return found.join(F.broadcast(first), "hash", "left_semi").select("key", "hash")
 
 
 def kept(logs: DataFrame, cap: int = CAP) -> DataFrame:
-    """The records of admitted templates, with template and hash.  Templates are as many as ``cap``, but for those that
-    share a hash with another."""
-    return fingerprinted(logs).join(F.broadcast(admitted(logs, cap)), "template")
+    """The records of admitted templates, with template and hash."""
+    rows = masked(logs)
+    return rows.join(F.broadcast(admitted(rows, cap)), "key").drop("key")
 
 
 def summary(logs: DataFrame, cap: int = CAP) -> DataFrame:

@@ -5,9 +5,6 @@ Caps, thresholds and windows are scaled to the given tables, whose events are mi
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +15,7 @@ from telespark.functions import hashing, labels, spans as span_fields
 from telespark.operators import access, cardinality, cost, flatten, insights, logdedup, red, tail, topn, volume
 from telespark.operators.anchored import anchored
 from telespark.plans import samples as metric
+from telespark.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,7 +167,7 @@ _ADMITTED, _FEW = _admitted(logdedup.CAP), _admitted(TEMPLATES)
 
 @query("SELECT ord, template, hash FROM logs", "logs")
 def log_fingerprint(spark, d):
-    return logdedup.templated(views.logs(spark, d)).select("ord", "template", "hash")
+    return logdedup.hashed(views.logs(spark, d)).select("ord", "template", "hash")
 
 
 _SUMMARY = """SELECT sum(n)::BIGINT AS records, count(*) FILTER (k) AS unique_templates, coalesce(sum(b - f) FILTER (k), 0)::BIGINT AS bytes_saved,
@@ -225,9 +223,9 @@ def _recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("SELECT service, count(*) AS flood_events FROM (SELECT *, row_number() OVER (PARTITION BY k, w ORDER BY i) AS rn FROM placed) WHERE rn = 5 GROUP BY service", "logs", _FEW, _anchored_sql("SELECT *, epoch_us(ts) AS t FROM kept", "hash"))
+@query("SELECT service, count(*) AS flood_events FROM (SELECT *, row_number() OVER (PARTITION BY k, w ORDER BY i) AS rn FROM placed) WHERE rn = 5 GROUP BY service", "logs", _ADMITTED, _anchored_sql("SELECT *, epoch_us(ts) AS t FROM kept", "hash"))
 def flood_anchored(spark, d):
-    return logdedup.floods(views.logs(spark, d), HOUR_US, 5, TEMPLATES)
+    return logdedup.floods(views.logs(spark, d), HOUR_US, 5)
 
 
 # Rate, errors, duration
@@ -621,15 +619,6 @@ def string_hashes(spark, d):
 # Envelopes and streams, which SQL can't ask
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def trace_envelopes(spark: SparkSession, d: str) -> DataFrame:
     """The spans as one JSON envelope for each event."""
     s = views.spans(spark, d)
@@ -768,7 +757,7 @@ def cost_from_wire(spark, d):
 
 def _streamed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     """A table written in two turns, earlier rows first, and read back as a stream of two micro-batches."""
-    path = _shared(spark, name)
+    path = shared_path(spark, name)
     half = rows.agg(F.expr("(min(ord) + max(ord)) div 2").alias("h"))
     marked = rows.join(F.broadcast(half))
     for part in (F.col("ord") <= F.col("h"), F.col("ord") > F.col("h")):
@@ -796,8 +785,8 @@ def stream_red(spark, d):
     from telespark.streaming.jobs import counters, latest
 
     spans = views.spans(spark, d).select("service", "name", "duration_ns", "ord")
-    out = _shared(spark, "red")
-    counters(_streamed(spark, spans, "spans"), red.buckets, out, _shared(spark, "red-state"), trigger={"availableNow": True}).awaitTermination()
+    out = shared_path(spark, "red")
+    counters(_streamed(spark, spans, "spans"), red.buckets, out, shared_path(spark, "red-state"), trigger={"availableNow": True}).awaitTermination()
     return latest(spark, out)
 
 
@@ -806,10 +795,10 @@ def stream_flood(spark, d):
     """Flood events found over a stream by keyed state."""
     from telespark.streaming import jobs, processors
 
-    logs = logdedup.kept(views.logs(spark, d), TEMPLATES).select("hash", "service", F.unix_micros("ts").alias("arrival_us"), "ord", F.col("ts").alias("arrival_ts"))
-    out = _shared(spark, "floods")
+    logs = logdedup.kept(views.logs(spark, d)).select("hash", "service", F.unix_micros("ts").alias("arrival_us"), "ord", F.col("ts").alias("arrival_ts"))
+    out = shared_path(spark, "floods")
     events = processors.floods(_streamed(spark, logs, "logs").withWatermark("arrival_ts", "1 minute"), HOUR_US // 1000, 5)
-    _stateful(spark, lambda: jobs.appended(events, out, _shared(spark, "floods-state"), trigger={"availableNow": True}).awaitTermination())
+    _stateful(spark, lambda: jobs.appended(events, out, shared_path(spark, "floods-state"), trigger={"availableNow": True}).awaitTermination())
     return spark.read.schema(processors.FLOOD_COLUMNS).parquet(out).groupBy("service").agg(F.count(F.lit(1)).alias("flood_events"))
 
 
@@ -829,9 +818,9 @@ def streamed_decisions(spark: SparkSession, d: str) -> DataFrame:
     last = facts.agg(F.max("arrival_ts").alias("t"), F.max("ord").alias("o"))
     late = F.timestamp_micros(F.unix_micros("t") + 24 * HOUR_US)
     end = last.select(F.lit("end").alias("trace_id"), F.lit("unknown").alias("service"), F.lit(0).cast("long").alias("duration_ns"), F.lit(False).alias("error"), F.lit(1).cast("long").alias("bytes_est"), late.alias("arrival_ts"), (F.col("o") + 1).alias("ord"), F.unix_micros(late).alias("arrival_us"))
-    out = _shared(spark, "traces")
+    out = shared_path(spark, "traces")
     closed = processors.traces(_streamed(spark, facts.unionByName(end), "facts").withWatermark("arrival_ts", "1 minute"), HOUR_US // 6000)
-    _stateful(spark, lambda: jobs.decided(closed, out, _shared(spark, "traces-state"), trigger={"availableNow": True}).awaitTermination())
+    _stateful(spark, lambda: jobs.decided(closed, out, shared_path(spark, "traces-state"), trigger={"availableNow": True}).awaitTermination())
     found = spark.read.parquet(f"{out}/decisions").where("trace_id <> 'end'")
     return found.withColumn("window_us", F.unix_micros("window_start"))
 

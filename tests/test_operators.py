@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -72,6 +74,25 @@ def test_anchored_windows(spark):
     assert got == {("k", 0): 0, ("k", 9): 0, ("k", 10): 10, ("k", 19): 10, ("k", 25): 25, (None, 3): 3}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_of_a_key_that_is_cut_into_pieces(spark, seed):
+    """One key of all rows, and one among others, in more pieces than windows or fewer; equal to one fold of each key."""
+    rng = random.Random(seed)
+    span, n = [(400, 900), (5_000, 900), (90_000, 300), (30, 500), (1, 200), (2_000, 900)][seed]
+    keys = ["hot"] if seed % 2 else ["hot"] * 8 + ["a", "b", None]
+    rows = [(rng.choice(keys), rng.randrange(span) * 1000, k) for k in range(n)]
+    df = spark.createDataFrame(rows, "k string, us long, ord long").withColumn("ts", F.timestamp_micros("us"))
+    out = anchored(df, "k", "ts", 50_000, "ord", pieces=13)
+    assert out.columns == ["k", "us", "ord", "ts", "window_start"]
+    got = {r["ord"]: r["w"] for r in out.select("ord", F.unix_micros("window_start").alias("w"), F.spark_partition_id().alias("p")).collect()}
+    assert out.where("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count() > 6 or span == 1
+    want = {}
+    for key in {r[0] for r in rows}:
+        mine = sorted((t, o) for k, t, o in rows if k == key)
+        want |= dict(zip((o for _, o in mine), starts(np.array([t for t, _ in mine]), 50_000, None).tolist()))
+    assert got == want
+
+
 def test_floods_leave_out_what_is_not_admitted(spark):
     rows = [("slow query", 0), ("slow query", 0), ("disk full", 1), ("slow query", 3), ("slow query", 12), ("disk full", 13), ("disk full", 14), ("disk full", 15)]
     df = spark.createDataFrame([(k, at(t), f"s{k}", "1", b, len(b)) for k, (b, t) in enumerate(rows)], "ord long, ts timestamp, service string, severity string, body string, body_bytes long")
