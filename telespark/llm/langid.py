@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,21 +124,26 @@ def fit(train: DataFrame, *, most_rows: int = 1500) -> LanguageModel:
         .groupBy("lang", "kind", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    top = counts.toPandas()
-    langs = sorted(top["lang"].unique())
+    # as columns, in order: what the driver holds is little more than the n-grams' letters
+    top = counts.orderBy("kind", "gram", "lang").toArrow().combine_chunks()
+    kind, n = top["kind"].to_numpy(), top["n"].to_numpy()
+    langs = sorted(top["lang"].unique().to_pylist())
     at = {x: i for i, x in enumerate(langs)}
+    lang = np.array([at[x] for x in top["lang"].to_pylist()], dtype=np.int64)
     total = np.ones((MAX_GRAM + 1, len(langs)))
-    for (lang, kind), t in top.groupby(["lang", "kind"])["n"].sum().items():
-        total[kind, at[lang]] = t
-    grams: dict[int, dict[str, int]] = {n: {} for n in range(MAX_GRAM + 1)}
-    size = len(top[["kind", "gram"]].drop_duplicates())
-    freq, kinds, k = np.zeros((size, len(langs))), np.zeros(size, dtype=np.int64), 0
-    for lang, kind, gram, n in top.sort_values(["kind", "gram", "lang"])[["lang", "kind", "gram", "n"]].itertuples(index=False):
-        i = grams[kind].setdefault(gram, k)
-        k = max(k, i + 1)
-        freq[i, at[lang]] = n
-        kinds[i] = kind
-    matrix = np.log((freq + 0.5) / (total[kinds] + 1.0)).astype(np.float32) if size else freq
+    np.add.at(total, (kind, lang), n)
+    total[total > 1] -= 1
+    gram = top["gram"].combine_chunks()
+    new = np.ones(len(top), dtype=bool)
+    if len(top) > 1:
+        new[1:] = (kind[1:] != kind[:-1]) | pc.not_equal(gram.slice(1), gram.slice(0, len(top) - 1)).to_numpy(zero_copy_only=False)
+    row, kinds = np.cumsum(new) - 1, kind[new]
+    freq = np.zeros((len(kinds), len(langs)))
+    freq[row, lang] = n
+    grams: dict[int, dict[str, int]] = {k: {} for k in range(MAX_GRAM + 1)}
+    for i, (k, g) in enumerate(zip(kinds.tolist(), gram.filter(pa.array(new)).to_pylist())):
+        grams[k][g] = i
+    matrix = np.log((freq + 0.5) / (total[kinds] + 1.0)).astype(np.float32) if len(kinds) else freq
     words = grams.pop(0)
     return LanguageModel(langs, np.log(total[0] / total[0].sum()), matrix, words, grams)
 
