@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,32 +20,48 @@ def generator_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.where(c.rlike("^[0-9]{4}-") & ~noise)
 
 
+def early_verdict(*, skew_s: int = 300, nonce: tuple[int, int] = (16, 128)) -> Column:
+    """Why a request (ts, key_id, sig_ts in seconds as text, nonce, sig) is turned away before its nonce is taken, or null."""
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    stamp = F.expr("try_cast(sig_ts AS BIGINT)")
+    return (
+        F.when(~(given("key_id") & given("sig_ts") & given("nonce") & given("sig")), "missing_header")
+        .when(stamp.isNull(), "bad_timestamp")
+        .when(F.abs(F.unix_timestamp("ts") - stamp) > skew_s, "skew")
+        .when(~F.length("nonce").between(*nonce), "bad_nonce")
+    )
+
+
+def judged(checked: DataFrame, keys: DataFrame, early: str = "early", replay: str = "replay", most_keys: int = 1_000_000) -> DataFrame:
+    """Adds tenant_id and verdict to requests with their early verdict and whether they are replays, which two go.
+
+    Keys (key_id, tenant_id, revoked) are broadcast if there are no more than ``most_keys`` that aren't revoked.
+    """
+    known = keys.where(F.col("revoked") == 0).groupBy(F.col("key_id").alias("_key")).agg(F.min("tenant_id").alias("tenant_id"))
+    side = F.broadcast(known) if known.count() <= most_keys else known
+    out = checked.join(side, F.col("key_id") == F.col("_key"), "left")
+    verdict = F.coalesce(early, F.when(F.col(replay), "replay"), F.when(F.col("_key").isNull(), "invalid_key"), F.lit("accepted"))
+    return out.withColumn("verdict", verdict).drop(early, replay, "_key")
+
+
 def audit(requests: DataFrame, keys: DataFrame, *, skew_s: int = 300, nonce: tuple[int, int] = (16, 128), ttl_s: int = 600) -> DataFrame:
     """Adds verdict to requests (ts, key_id, sig_ts in seconds as text, nonce, sig, ord): the first that applies of
     missing_header, bad_timestamp, skew, bad_nonce, replay, invalid_key, else accepted.
 
     A nonce is taken before the key is looked at, by requests that reach that check; a replay within ``ttl_s`` of the
-    taking is rejected and does not extend it.
+    taking is rejected and does not extend it.  A window's first request is the one that takes its nonce.
     """
     from telespark.operators.anchored import anchored
 
-    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    stamp = F.expr("try_cast(sig_ts AS BIGINT)")
-    early = (
-        F.when(~(given("key_id") & given("sig_ts") & given("nonce") & given("sig")), "missing_header")
-        .when(stamp.isNull(), "bad_timestamp")
-        .when(F.abs(F.unix_timestamp("ts") - stamp) > skew_s, "skew")
-        .when(~F.length("nonce").between(*nonce), "bad_nonce")
-    )
-    rows = requests.withColumn("_early", early)
+    rows = requests.withColumn("_early", early_verdict(skew_s=skew_s, nonce=nonce))
     windows = anchored(rows.where(F.col("_early").isNull()), "nonce", "ts", ttl_s * 1_000_000, "ord")
-    nth = F.row_number().over(Window.partitionBy("nonce", "window_start").orderBy("ts", "ord"))
-    fresh = windows.withColumn("_replay", nth > 1).drop("window_start")
+    # only the requests of the instant at which a window opens can have taken the nonce
+    opening = windows.where(F.col("ts") == F.col("window_start"))
+    takers = opening.groupBy(F.col("nonce").alias("_n"), F.col("window_start").alias("_w")).agg(F.min("ord").alias("_first"))
+    fresh = windows.join(takers, (F.col("nonce") == F.col("_n")) & (F.col("window_start") == F.col("_w")), "left")
+    fresh = fresh.withColumn("_replay", F.col("ord") != F.col("_first")).drop("window_start", "_n", "_w", "_first")
     checked = fresh.unionByName(rows.where(F.col("_early").isNotNull()).withColumn("_replay", F.lit(False)))
-    known = keys.where(F.col("revoked") == 0).select(F.col("key_id").alias("_key"), "tenant_id").dropDuplicates(["_key"])
-    out = checked.join(known, F.col("key_id") == F.col("_key"), "left")
-    verdict = F.coalesce("_early", F.when(F.col("_replay"), "replay"), F.when(F.col("_key").isNull(), "invalid_key"), F.lit("accepted"))
-    return out.withColumn("verdict", verdict).drop("_early", "_replay", "_key")
+    return judged(checked, keys, "_early", "_replay")
 
 
 def target_rate(config: DataFrame) -> DataFrame:

@@ -27,3 +27,19 @@ def attr_cardinality(attrs: DataFrame, cap: int = 10_000, approximate: bool = Fa
 
 def top_attributes(attrs: DataFrame, k: int = 10, cap: int = 10_000) -> DataFrame:
     return attr_cardinality(attrs, cap).orderBy(F.desc("distinct_values"), "metric_name", "attr_key").limit(k)
+
+
+def sketches(attrs: DataFrame, *by: str, lg_k: int = 12) -> DataFrame:
+    """A sketch of the distinct values, and the observations, of each metric_name, attr_key and ``by`` (an hour, a batch).
+
+    Sketches have 2 ** ``lg_k`` cells at most, however many values there are, and unite later (``united``).
+    """
+    known = attrs.where(F.col("attr_value").isNotNull())
+    return known.groupBy("metric_name", "attr_key", *by).agg(F.hll_sketch_agg("attr_value", F.lit(lg_k)).alias("sketch"), F.count(F.lit(1)).alias("observations"))
+
+
+def united(tables: DataFrame, *by: str) -> DataFrame:
+    """estimate and observations of each metric_name, attr_key and ``by`` over all rows of a table of sketches.  The standard
+    error of an estimate is about 1.04 / sqrt(2 ** lg_k), 1.6 % by default."""
+    sums = tables.groupBy("metric_name", "attr_key", *by).agg(F.hll_union_agg("sketch").alias("_s"), F.sum("observations").alias("observations"))
+    return sums.select("metric_name", "attr_key", *by, F.hll_sketch_estimate("_s").alias("estimate"), "observations")

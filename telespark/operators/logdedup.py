@@ -110,11 +110,17 @@ def occurrences(logs: DataFrame, least: int = 100, cap: int = CAP) -> DataFrame:
 
     That record counts for all before it; each counts under its own labels.
     """
-    rows = kept(logs, cap)
+    return occurrences_of(kept(logs, cap), least)
+
+
+def occurrences_of(rows: DataFrame, least: int = 100, before: DataFrame | None = None) -> DataFrame:
+    """The same of records with their hash, after ``before`` (hash, n) records of each, a table of as many rows as
+    templates are admitted."""
     labels = ["service", "severity", "hash"]
+    past = rows.withColumn("_past", F.lit(0).cast("long")) if before is None else rows.join(F.broadcast(before.select("hash", F.col("n").alias("_past"))), "hash", "left").na.fill(0, ["_past"])
     # the first records of a hash are cut before the shuffle; all others need only be counted
     nth = Window.partitionBy("hash").orderBy("ord")
-    head = rows.select(*labels, "ord").withColumn("rn", F.row_number().over(nth)).where(F.col("rn") <= least)
+    head = past.select(*labels, "ord", "_past").withColumn("rn", F.row_number().over(nth)).where(F.col("rn") <= least).withColumn("rn", F.col("rn") + F.col("_past")).where(F.col("rn") <= least)
     early = head.groupBy(*labels).agg(F.count(F.lit(1)).alias("early"), F.count_if(F.col("rn") == least).alias("hits"))
     total = rows.groupBy(*labels).agg(F.count(F.lit(1)).alias("n"))
     joined = total.join(early, labels, "left").na.fill(0, ["early", "hits"])
@@ -145,11 +151,31 @@ def floods(logs: DataFrame, length_us: int = 60_000_000, threshold: int = 1000,
     The windows are found on one row for each template and time, so that a flood's records, which share times, meet as
     counts; only those of the time at which a window fills up are looked at one by one.
     """
-    rows = kept(logs, cap).select("hash", "ts", "ord", "service")
+    return flood_events(kept(logs, cap), length_us, threshold)[0].groupBy("service").agg(F.count(F.lit(1)).alias("flood_events"))
+
+
+def flood_events(rows: DataFrame, length_us: int = 60_000_000, threshold: int = 1000, opened: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The floods among records (hash, ts, ord, service), and the last window of each hash: hash, ts (its start) and n.
+
+    ``opened`` holds the windows that records before these have left open, in the same form; records from before a window's
+    start count as of its start.
+    """
+    rows = rows.select("hash", "ts", "ord", "service")
     counts = rows.groupBy("hash", "ts").agg(F.count(F.lit(1)).alias("n"))
+    if opened is not None:
+        held = F.broadcast(opened.select("hash", F.col("ts").alias("_start")))
+        rows = rows.join(held, "hash", "left").withColumn("ts", F.greatest("ts", "_start")).drop("_start")
+        counts = rows.groupBy("hash", "ts").agg(F.count(F.lit(1)).alias("n")).withColumn("past", F.lit(0).cast("long"))
+        counts = counts.unionByName(opened.select("hash", "ts", "n", F.col("n").alias("past"))).groupBy("hash", "ts").agg(F.sum("n").alias("n"), F.sum("past").alias("past"))
+    else:
+        counts = counts.withColumn("past", F.lit(0).cast("long"))
+    windows = anchored(counts, "hash", "ts", length_us)
     upto = F.sum("n").over(Window.partitionBy("hash", "window_start").orderBy("ts"))
-    filled = anchored(counts, "hash", "ts", length_us).withColumn("upto", upto).where((F.col("upto") >= threshold) & (F.col("upto") - F.col("n") < threshold))
-    filled = filled.select("hash", "ts", (threshold - F.col("upto") + F.col("n")).alias("at"))
+    new = F.col("upto") - F.col("n") + F.col("past")
+    filled = windows.withColumn("upto", upto).where((F.col("upto") >= threshold) & (new < threshold))
+    filled = filled.select("hash", "ts", "window_start", (threshold - new).alias("at"))
     nth = F.row_number().over(Window.partitionBy("hash", "ts").orderBy("ord"))
     hit = rows.join(filled, ["hash", "ts"]).withColumn("nth", nth).where(F.col("nth") == F.col("at"))
-    return hit.groupBy("service").agg(F.count(F.lit(1)).alias("flood_events"))
+    sums = windows.groupBy("hash", F.col("window_start").alias("ts")).agg(F.sum("n").alias("n"))
+    last = sums.groupBy("hash").agg(F.max(F.struct("ts", "n")).alias("w")).select("hash", "w.ts", "w.n")
+    return hit.select("hash", "window_start", "service", F.col("ts").alias("at")), last

@@ -5,16 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FIELDS = r"^\s*(\S+?)(\{.*\})?\s+(\S+)"
-_LABEL = r'([A-Za-z_][A-Za-z0-9_]*)="((?:[^"\\]|\\.)*)"'
+_FIELDS = r"^\s*([^\s{]+)\s*(\{(?:[^\"{}]|\"(?:[^\"\\]|\\.)*\")*\})?\s+(\S+)"
+_LABEL = r'([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
+
+
+def unescaped(c: Column) -> Column:
+    """A label value as it was before its backslashes, quotes and line ends were escaped; other escapes stay."""
+    signs = F.regexp_extract_all(c, F.lit(r"(?s)\\.|[^\\]|\\$"), F.lit(0))
+    told = F.transform(signs, lambda x: F.when(x == "\\\\", "\\").when(x == '\\"', '"').when(x == "\\n", "\n").otherwise(x))
+    return F.when(c.contains("\\"), F.array_join(told, "")).otherwise(c)
+
+
+def _labels(braces: Column) -> Column:
+    """Names and values of a line's labels; of a repeated name the last counts."""
+    names, values = (F.regexp_extract_all(braces, F.lit(_LABEL), F.lit(k)) for k in (1, 2))
+    last = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0))), e["k"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"].alias("key"), unescaped(e["v"]).alias("value"))))
 
 
 def parse_exposition(lines: DataFrame, column: str = "value") -> DataFrame:
     """metric, labels and value of each line that holds a sample.  Blank lines, comments and lines without a number go."""
     line = F.col(column)
     text = lines.where((F.trim(line) != "") & ~line.startswith("#"))
-    braces = F.regexp_extract(line, _FIELDS, 2)
-    labels = F.map_from_arrays(F.regexp_extract_all(braces, F.lit(_LABEL), 1), F.regexp_extract_all(braces, F.lit(_LABEL), 2))
+    labels = _labels(F.regexp_extract(line, _FIELDS, 2))
     number = F.regexp_replace(F.regexp_extract(line, _FIELDS, 3), "^[+]Inf$", "Infinity")
     out = text.select(*(c for c in lines.columns if c != column), F.regexp_extract(line, _FIELDS, 1).alias("metric"), labels.alias("labels"), number.try_cast("double").alias("value"))
     return out.where((F.col("metric") != "") & F.col("value").isNotNull())

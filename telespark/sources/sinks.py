@@ -28,6 +28,13 @@ def write_jsonl(df: DataFrame, path: str, max_rows: int = 100_000, ts: str | Non
     (out.partitionBy("day") if ts else out).json(path)
 
 
+def stream_jsonl(stream: DataFrame, path: str, checkpoint: str, max_rows: int = 100_000, ts: str | None = None, trigger: dict | None = None):
+    """The same for a stream: each row is written once, and each micro-batch begins files of its own."""
+    dated = stream.withColumn("day", F.to_date(ts)) if ts else stream
+    out = dated.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", max_rows).trigger(**(trigger or {"processingTime": "10 seconds"}))
+    return (out.partitionBy("day") if ts else out).start()
+
+
 def emit_kept(spans: DataFrame, decisions: DataFrame, path: str, *window: str) -> None:
     """Writes the spans of kept traces; with ``window``, those of the windows in which a trace is kept."""
     write_jsonl(kept_spans(spans, decisions, *window), path)

@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import datetime
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+#: Rows have ``ord``, a number or a struct of numbers, and ``arrival_us``.
+def _place(ord_) -> tuple[int, ...]:
+    """A row's place in the total order, as numbers that compare."""
+    if isinstance(ord_, dict):  # how structs come
+        return tuple(ord_.values())
+    return tuple(ord_) if isinstance(ord_, tuple) else (ord_,)
+
+
+def _in_order(rows) -> list:
+    return sorted(rows, key=lambda r: (r.arrival_us, _place(r.ord)))
+
+
+def _utc(us: int) -> datetime.datetime:
+    return datetime.datetime.fromtimestamp(us / 1e6, datetime.timezone.utc).replace(tzinfo=None)
+
+
 TRACE_COLUMNS = "trace_id string, window_start timestamp, spans long, bytes long, max_duration_ns long, error boolean, service string, first_ts timestamp"
 FLOOD_COLUMNS = "hash string, window_start timestamp, service string, at timestamp"
 
@@ -14,28 +33,37 @@ FLOOD_COLUMNS = "hash string, window_start timestamp, service string, at timesta
 class TraceFold(StatefulProcessor):
     """Folds a trace's spans until ``length_ms`` after the first of them and then gives one row.
 
-    State is one small row for each open trace.  A span that comes later opens a new group.
+    State is one small row for each open trace.  A span that comes later opens a new group.  With ``processing`` the time of
+    a span is the wall clock when its micro-batch is handled, and no watermark is needed.
     """
 
-    def __init__(self, length_ms: int = 10_000):
-        self.length_ms = length_ms
+    def __init__(self, length_ms: int = 10_000, processing: bool = False):
+        self.length_ms, self.processing = length_ms, processing
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fold = handle.getValueState("fold", "start_us long, spans long, bytes long, longest long, error boolean, service string, service_us long")
+        self.fold = handle.getValueState("fold", "start_us long, spans long, bytes long, longest long, error boolean, service string, known array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for r in sorted(rows, key=lambda x: (x.arrival_us, x.ord)):
-            held = self.fold.get() if self.fold.exists() else None
-            if held is not None and r.arrival_us - held[0] >= self.length_ms * 1000:
+        now = timerValues.getCurrentProcessingTimeInMs() * 1000 if self.processing else None
+        held = self.fold.get() if self.fold.exists() else None
+        before = held[0] if held is not None else None
+        for r in _in_order(rows):
+            at = r.arrival_us if now is None else now
+            if held is not None and at - held[0] >= self.length_ms * 1000:
                 yield self._closed(key, held)
-                self.handle.deleteTimer(self._due(held[0]))
                 held = None
             if held is None:
-                held = (r.arrival_us, 0, 0, 0, False, "unknown", -1)
+                held = (at, 0, 0, 0, False, "unknown", [])
+            place = list(_place(r.ord))
+            known = r.service != "unknown" and place >= list(held[6])
+            held = (held[0], held[1] + 1, held[2] + r.bytes_est, max(held[3], r.duration_ns), held[4] or r.error, r.service if known else held[5], place if known else list(held[6]))
+        if held is not None:
+            self.fold.update(held)
+            if held[0] != before:
+                if before is not None:
+                    self.handle.deleteTimer(self._due(before))
                 self.handle.registerTimer(self._due(held[0]))
-            known = r.service != "unknown" and r.ord >= held[6]
-            self.fold.update((held[0], held[1] + 1, held[2] + r.bytes_est, max(held[3], r.duration_ns), held[4] or r.error, r.service if known else held[5], r.ord if known else held[6]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.fold.exists():
@@ -46,9 +74,7 @@ class TraceFold(StatefulProcessor):
         return start_us // 1000 + self.length_ms
 
     def _closed(self, key, held) -> Row:
-        import datetime
-
-        start = datetime.datetime.fromtimestamp(held[0] / 1e6, datetime.timezone.utc).replace(tzinfo=None)
+        start = _utc(held[0])
         return Row(trace_id=key[0], window_start=start, spans=held[1], bytes=held[2], max_duration_ns=held[3], error=held[4], service=held[5], first_ts=start)
 
     def close(self) -> None:
@@ -70,9 +96,7 @@ class FloodCount(StatefulProcessor):
         self.count = handle.getValueState("count", "start_us long, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        import datetime
-
-        for r in sorted(rows, key=lambda x: (x.arrival_us, x.ord)):
+        for r in _in_order(rows):
             held = self.count.get() if self.count.exists() else None
             if held is None or r.arrival_us - held[0] >= self.length_ms * 1000:
                 if held is not None:
@@ -81,8 +105,7 @@ class FloodCount(StatefulProcessor):
                 self.handle.registerTimer(self._due(held[0]))
             self.count.update((held[0], held[1] + 1))
             if held[1] + 1 == self.threshold:
-                at = [datetime.datetime.fromtimestamp(t / 1e6, datetime.timezone.utc).replace(tzinfo=None) for t in (held[0], r.arrival_us)]
-                yield Row(hash=key[0], window_start=at[0], service=r.service, at=at[1])
+                yield Row(hash=key[0], window_start=_utc(held[0]), service=r.service, at=_utc(r.arrival_us))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.count.exists() and self._due(self.count.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
@@ -120,10 +143,147 @@ class CappedSet(StatefulProcessor):
         pass
 
 
-def traces(facts: DataFrame, length_ms: int = 10_000) -> DataFrame:
-    """Trace facts of a stream of (trace_id, service, duration_ns, error, bytes_est, arrival_us, ord, arrival_ts) with a
-    watermark on arrival_ts."""
-    return facts.groupBy("trace_id").transformWithState(TraceFold(length_ms), TRACE_COLUMNS, "append", "eventTime")
+class NonceTaken(StatefulProcessor):
+    """Tells whether a nonce is taken: by the first request, for ``ttl_s`` from then on, whatever comes in between."""
+
+    def __init__(self, ttl_s: int = 600):
+        self.ttl_us = ttl_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.taken = handle.getValueState("taken", "at_us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        at = before = self.taken.get()[0] if self.taken.exists() else None
+        for r in _in_order(rows):
+            fresh = at is None or r.arrival_us - at >= self.ttl_us
+            if fresh:
+                at = r.arrival_us
+            yield Row(ord=r.ord, arrival_us=r.arrival_us, key_id=r.key_id, early=None, replay=not fresh)
+        if at != before:
+            self.taken.update((at,))
+            if before is not None:
+                self.handle.deleteTimer(self._due(before))
+            self.handle.registerTimer(self._due(at))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.taken.exists() and self._due(self.taken.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.taken.clear()
+        return iter(())
+
+    def _due(self, at_us: int) -> int:
+        return -(-(at_us + self.ttl_us) // 1000)
+
+    def close(self) -> None:
+        pass
+
+
+class Running(StatefulProcessor):
+    """A row for each batch: the records so far, and a sample time later than the one before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "total long, sample_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        total, ms = self.held.get() if self.held.exists() else (0, None)
+        for r in sorted(rows, key=lambda x: _place(x.ord)):
+            total, ms = total + r.n_records, r.now_ms if ms is None else max(r.now_ms, ms + 1)
+            yield Row(signal=key[0], subtask=key[1], ord=r.ord, total=total, sample_ms=ms)
+        self.held.update((total, ms))
+
+    def close(self) -> None:
+        pass
+
+
+class Throughput(StatefulProcessor):
+    """The rise per second of a scraped counter over ``window_us``, for each scrape.
+
+    State is a ring: the points of the last ``window_us`` and the latest one before them.  A failed scrape empties it.
+    """
+
+    def __init__(self, window_us: int = 5_000_000):
+        self.window_us = window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", "t_us long, value double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        ring = deque(tuple(p) for p in self.ring.get())
+        for r in sorted(rows, key=lambda x: x.t_us):
+            if r.failed:
+                ring.clear()
+                yield Row(type=key[0], t_us=r.t_us, per_second=None)
+                continue
+            ring.append((r.t_us, r.value))
+            while len(ring) > 1 and ring[1][0] < r.t_us - self.window_us:
+                ring.popleft()
+            t, v = ring[0]
+            yield Row(type=key[0], t_us=r.t_us, per_second=max(r.value - v, 0.0) / ((r.t_us - t) / 1e6) if r.t_us > t else 0.0)
+        self.ring.put(list(ring)) if ring else self.ring.clear()
+
+    def close(self) -> None:
+        pass
+
+
+class LastRows(StatefulProcessor):
+    """The last ``n`` rows of a key, in a ring; gives the whole ring after each micro-batch, back being 1 for the last."""
+
+    def __init__(self, n: int = 200):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", "ord long, line string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        ring = deque((tuple(p) for p in self.ring.get()), maxlen=self.n)
+        ring.extend(sorted((r.ord, r.line) for r in rows))
+        self.ring.put(list(ring))
+        for k, (ord_, line) in enumerate(reversed(ring)):
+            yield Row(source=key[0], ord=ord_, line=line, back=k + 1)
+
+    def close(self) -> None:
+        pass
+
+
+class AlertRun(StatefulProcessor):
+    """A rule's state for one series: pending while its condition holds, firing from the ``least``-th step on, resolved when
+    it doesn't hold or a step is missing.
+
+    Gives a row whenever the state changes or a firing run grows.  State is one row for each series.
+    """
+
+    def __init__(self, least: int, step: int = 1):
+        self.least, self.step = least, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "start long, until long, points long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        run = tuple(self.run.get()) if self.run.exists() else None
+        for r in sorted(rows, key=lambda x: x.step_no):
+            if run is not None and not (r.holds and r.step_no == run[1] + self.step):
+                if run[2] >= self.least:
+                    yield self._row(key, run, "resolved")
+                run = None
+            if r.holds:
+                run = (r.step_no, r.step_no, 1) if run is None else (run[0], r.step_no, run[2] + 1)
+                if run[2] >= self.least or run[2] == 1:
+                    yield self._row(key, run, "firing" if run[2] >= self.least else "pending")
+        self.run.update(run) if run is not None else self.run.clear()
+
+    @staticmethod
+    def _row(key, run, state: str) -> Row:
+        return Row(type=key[0], start=run[0], until=run[1], points=run[2], state=state)
+
+    def close(self) -> None:
+        pass
+
+
+def traces(facts: DataFrame, length_ms: int = 10_000, *, processing: bool = False) -> DataFrame:
+    """Trace facts of a stream of (trace_id, service, duration_ns, error, bytes_est, ord, arrival_ts): with a watermark on
+    arrival_ts, or by the clock (``processing``)."""
+    timed = facts.select("trace_id", "service", "duration_ns", "error", "bytes_est", "ord", "arrival_ts", F.unix_micros("arrival_ts").alias("arrival_us"))
+    return timed.groupBy("trace_id").transformWithState(TraceFold(length_ms, processing), TRACE_COLUMNS, "append", "processingTime" if processing else "eventTime")
 
 
 def floods(logs: DataFrame, length_ms: int = 60_000, threshold: int = 1000) -> DataFrame:
@@ -134,3 +294,31 @@ def floods(logs: DataFrame, length_ms: int = 60_000, threshold: int = 1000) -> D
 def distinct_values(attrs: DataFrame, cap: int = 10_000) -> DataFrame:
     """Growing distinct counts of a stream of (metric_name, attr_key, attr_value)."""
     return attrs.groupBy("metric_name", "attr_key").transformWithState(CappedSet(cap), "metric_name string, attr_key string, distinct_values long", "update", "none")
+
+
+def taken(requests: DataFrame, ttl_s: int = 600) -> DataFrame:
+    """ord, arrival_us, key_id, early (null) and replay of a stream of (nonce, ts, key_id, ord) with a watermark on ts."""
+    kind = dict(requests.dtypes)["ord"]
+    timed = requests.select("nonce", "key_id", "ord", "ts", F.unix_micros("ts").alias("arrival_us"))
+    return timed.groupBy("nonce").transformWithState(NonceTaken(ttl_s), f"ord {kind}, arrival_us long, key_id string, early string, replay boolean", "append", "eventTime")
+
+
+def running(batches: DataFrame) -> DataFrame:
+    """signal, subtask, ord, total and sample_ms of each row of a stream of (signal, subtask, ord, n_records, now_ms)."""
+    kind = dict(batches.dtypes)
+    return batches.groupBy("signal", "subtask").transformWithState(Running(), f"signal {kind['signal']}, subtask {kind['subtask']}, ord {kind['ord']}, total long, sample_ms long", "append", "none")
+
+
+def throughput(scrapes: DataFrame, window_us: int = 5_000_000) -> DataFrame:
+    """type, t_us and per_second of each row of a stream of (type, t_us, value, failed)."""
+    return scrapes.groupBy("type").transformWithState(Throughput(window_us), "type string, t_us long, per_second double", "append", "none")
+
+
+def last_rows(lines: DataFrame, n: int = 200) -> DataFrame:
+    """The last rows of each source of a stream of (source, ord, line), whole after each micro-batch that brings some."""
+    return lines.groupBy("source").transformWithState(LastRows(n), "source string, ord long, line string, back int", "update", "none")
+
+
+def alerts(points: DataFrame, least: int, step: int = 1) -> DataFrame:
+    """Changes of an alert's state, from a stream of (type, step_no, holds)."""
+    return points.groupBy("type").transformWithState(AlertRun(least, step), "type string, start long, until long, points long, state string", "append", "none")

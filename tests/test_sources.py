@@ -128,13 +128,25 @@ def test_exposition(spark, tmp_path):
     text = '# HELP x y\n\nrx_spans{a="b",c="d \\" e"} 150\nup 1e3 1700000000\nmalformed_line\nname notanumber\ninf +Inf\n'
     lines = spark.createDataFrame([(x,) for x in text.split("\n")], "value string")
     got = {r["metric"]: (r["labels"], r["value"]) for r in parse_exposition(lines).collect()}
-    assert got == {"rx_spans": ({"a": "b", "c": 'd \\" e'}, 150.0), "up": ({}, 1000.0), "inf": ({}, float("inf"))}
+    assert got == {"rx_spans": ({"a": "b", "c": 'd " e'}, 150.0), "up": ({}, 1000.0), "inf": ({}, float("inf"))}
     (tmp_path / "m.txt").write_text(text)
     assert read_exposition(spark, str(tmp_path)).count() == 3
     df = spark.createDataFrame([("m", {"service.name": 'a"b'}, 2.0), ("n", {}, 1.0)], "metric string, labels map<string,string>, value double")
     assert sorted(r[0] for r in to_exposition(df).collect()) == ['m{service_name="a\\"b"} 2.0', "n 1.0"]
 
 
+def test_exposition_reads_what_it_writes(spark):
+    """Escaped signs, braces and quotes in values, and labels of which there is none or one twice."""
+    signs = ['say "x" \\ y', "\\n isn't a line end", "two\nlines", "}", "{a=\"b\"} 5", "\\", "", "ü , =", "\\\\\"\n\\n"]
+    rows = [(f"m{k}", {"a": v, "b": "1"}, float(k)) for k, v in enumerate(signs)] + [("none", {}, 1.5)]
+    df = spark.createDataFrame(rows, "metric string, labels map<string,string>, value double")
+    got = {r["metric"]: (r["labels"], r["value"]) for r in parse_exposition(to_exposition(df)).collect()}
+    assert got == {m: (labels, v) for m, labels, v in rows}
+    lines = spark.createDataFrame([('q {a="1"} 5',), ('r{a="1",a="2"} 6 1700000000',), ('s{ a = "x" , b="y",} 7',)], "value string")
+    got = {r["metric"]: (r["labels"], r["value"]) for r in parse_exposition(lines).collect()}
+    assert got == {"q": ({"a": "1"}, 5.0), "r": ({"a": "2"}, 6.0), "s": ({"a": "x", "b": "y"}, 7.0)}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text(json.dumps(BODY) + "\n")

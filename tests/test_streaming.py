@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,10 +112,142 @@ def test_caps_hold_over_batches_and_restarts(spark, tmp_path):
     assert sorted((r["hash"] is None, r["n"]) for r in spark.read.parquet(f"{out}2/out").collect()) == [(False, 2), (True, 1)]
 
 
-def test_replays_are_dropped(spark, tmp_path):
-    import datetime
+def ticks(*seconds):
+    return [NOW + datetime.timedelta(seconds=s) for s in seconds]
+
+
+def requests_of(spark, path, rows):
+    """rows: (ord, seconds after the start, key, nonce)."""
+    out = [(o, ticks(t)[0], k, str(int(ticks(t)[0].replace(tzinfo=datetime.timezone.utc).timestamp())), n, "s") for o, t, k, n in rows]
+    return stream_of(spark, path, out, "ord long, ts timestamp, key_id string, sig_ts string, nonce string, sig string").withWatermark("ts", "10 seconds")
+
+
+def test_requests_are_judged_over_batches_and_restarts(spark, tmp_path, states):
+    """A nonce stays taken for its time to live from its taking, however far the watermark is, and a key revoked between two
+    micro-batches is turned away in the second."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    keys = str(tmp_path / "keys")
+    out, at = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def registry(s):
+        return s.read.schema("key_id string, tenant_id string, revoked int").json(keys)
+
+    def judge(rows):
+        stream = requests_of(spark, tmp_path / "in", rows)
+        jobs.audited(stream, registry, out, at, ttl_s=600, trigger=ONCE).awaitTermination()
+        return {r["ord"]: (r["verdict"], r["tenant_id"]) for r in spark.read.parquet(out).collect()}
+
+    n = "n" * 16
+    spark.createDataFrame([("k", "t", 0)], "key_id string, tenant_id string, revoked int").write.mode("overwrite").json(keys)
+    got = judge([(0, 0, "k", n), (1, 5, "k", n), (2, 300, "x", "m" * 16), (3, 301, None, n), (4, 302, "k", "short")])
+    assert got == {0: ("accepted", "t"), 1: ("replay", "t"), 2: ("invalid_key", None), 3: ("missing_header", None), 4: ("bad_nonce", "t")}
+    spark.createDataFrame([("k", "t", 1)], "key_id string, tenant_id string, revoked int").write.mode("overwrite").json(keys)
+    got = judge([(5, 599, "k", n), (6, 600, "k", n), (7, 700, "k", "p" * 16)])
+    assert got[5][0] == "replay" and got[6][0] == "invalid_key" and got[7][0] == "invalid_key", "the nonce is free again after 600 seconds, the key isn't"
+    got = judge([(8, 1199, "k", n), (9, 1201, "k", n)])
+    assert got[8][0] == "replay" and got[9][0] == "invalid_key"
+
+
+def logs_of(*records):
+    """records: (seconds, severity, body)."""
+    made = [{"timeUnixNano": str(int(ticks(t)[0].replace(tzinfo=datetime.timezone.utc).timestamp()) * 1_000_000_000), "severityText": s, "body": {"stringValue": b}} for t, s, b in records]
+    return json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": made}]}]})
+
+
+def test_log_templates_over_batches_restarts_and_a_cap(spark, tmp_path):
+    out, at, config = str(tmp_path / "out"), str(tmp_path / "state"), JobConfig(max_templates=2)
+    batches = [
+        [(0, "a", "disk 1"), (1, "b", "disk 2"), (2, "a", "net up")],
+        [(9, "a", "disk 3"), (11, "a", "disk 4"), (12, "a", "late one"), (13, "b", "disk 5")],
+        [(14, "b", "disk 6"), (15, "a", "net up"), (16, "c", "disk 7"), (17, "a", "late one")],
+    ]
+    for k, records in enumerate(batches):
+        stream = stream_of(spark, tmp_path / "in", [(logs_of(*records), k, NOW)], PAYLOADS)
+        jobs.start_logs(stream, out, at, config=config, wire=False, least=3, window_us=10_000_000, threshold=3, trigger=ONCE).awaitTermination()
+    series = spark.read.parquet(f"{out}/occurrences").groupBy("severity").agg(F.sum("occurrences").alias("n")).collect()
+    # of the seven records of "disk" the third counts for three, under its own severity
+    assert {r["severity"]: r["n"] for r in series} == {"a": 4, "b": 2, "c": 1}
+    floods = [(r["window_start"] - NOW).total_seconds() for r in spark.read.parquet(f"{out}/floods").orderBy("at").collect()]
+    assert floods == [0, 11], "the first window fills up in the second batch, the next one in the third"
+    assert {r["batch"]: r["overflow"] for r in spark.read.parquet(f"{out}/overflow").collect()} == {0: 0, 1: 1, 2: 1}
+
+
+def test_small_tables_of_batches_are_replaced_in_turn(spark, tmp_path):
+    slots = jobs.Slots(str(tmp_path / "t"), "k long")
+    for batch in range(7):
+        before = [r["k"] for r in slots.before(spark, batch).collect()]
+        assert before == ([] if batch in (0, 4) else [batch - 1])
+        rows = spark.createDataFrame([] if batch == 3 else [(batch,)], "k long")
+        slots.write(spark.createDataFrame([(99,)], "k long"), batch)  # a first try that is done again
+        slots.write(rows, batch)
+    assert len(list((tmp_path / "t").iterdir())) == jobs.SLOTS
+
+
+def test_traces_close_by_the_clock(spark, tmp_path, states):
+    """Ten seconds are two tenths here; no span follows, and there is no watermark."""
+    stream = stream_of(spark, tmp_path / "in", [(spans_of("a", "b"), 1, NOW)], PAYLOADS)
+    q = jobs.start_tail(stream, str(tmp_path / "out"), str(tmp_path / "state"), length_ms=200, processing=True, wire=False, trigger={"processingTime": "1 second"})
+    try:
+        for _ in range(120):
+            found = list((tmp_path / "out").glob("decisions/batch=*/part-*"))
+            if found and spark.read.parquet(str(tmp_path / "out" / "decisions")).count():
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    rows = spark.read.parquet(str(tmp_path / "out" / "decisions")).collect()
+    assert [(r["trace_id"], r["spans"]) for r in rows] == [("unknown", 2)]
+
+
+def test_late_rows_and_malformed_payloads_become_samples(spark, tmp_path, states):
+    target = str(tmp_path / "samples")
+    listener = jobs.JobMetrics(spark, target)
+    spark.streams.addListener(listener)
+    try:
+        for k, t in enumerate((3600, 7200, 0)):  # the last one is two hours late
+            stream = stream_of(spark, tmp_path / "in", [(spans_of("a"), k, ticks(t)[0]), ("no json", 10 + k, ticks(t)[0])], PAYLOADS)
+            jobs.start_tail(stream, str(tmp_path / "out"), str(tmp_path / "state"), wire=False, trigger=ONCE).awaitTermination()
+        for _ in range(60):
+            if (tmp_path / "samples").exists():
+                sums = {r["metric"] + r["m"]: r["v"] for r in spark.read.parquet(target).groupBy("metric", F.coalesce(F.col("labels")["metric"], F.lit("")).alias("m")).agg(F.sum("value").alias("v")).collect()}
+                if sums.get("job_late_rows") and sums.get("job_payloadsmalformed") == 3:
+                    break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sums["job_late_rows"] >= 1 and sums["job_payloadsmalformed"] == 3 and sums["job_payloadspayloads"] == 6
+
+
+def test_cardinality_of_payloads(spark, tmp_path, states):
+    point = lambda v: {"attributes": [{"key": "k", "value": {"stringValue": v}}], "asInt": "1"}
+    body = lambda *vs: json.dumps({"resourceMetrics": [{"scopeMetrics": [{"metrics": [{"name": "m", "gauge": {"dataPoints": [point(v) for v in vs]}}]}]}]})
+    for k, values in enumerate((("a", "b"), ("b", "c", "d"))):
+        stream = stream_of(spark, tmp_path / "in", [(body(*values), k, NOW)], PAYLOADS)
+        jobs.start_cardinality(stream, str(tmp_path / "out"), str(tmp_path / "state"), cap=3, wire=False, trigger=ONCE).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.max("distinct_values")).first()[0] == 3
+
+
+def test_rings_shed_by_age_and_number(spark, tmp_path, states):
+    got = []
+    for k, part in enumerate(([("s", 1, "a"), ("s", 2, "b"), ("t", 1, "x")], [("s", 3, "c"), ("s", 4, "d")])):
+        rows = processors.last_rows(stream_of(spark, tmp_path / "in", part, "source string, ord long, line string"), 3)
+        rows.writeStream.outputMode("update").foreachBatch(lambda b, _: got.append(sorted((r["source"], r["back"], r["line"]) for r in b.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert got == [[("s", 1, "b"), ("s", 2, "a"), ("t", 1, "x")], [("s", 1, "d"), ("s", 2, "c"), ("s", 3, "b")]]
+
+
+def test_alerts_are_pending_fire_and_are_resolved(spark, tmp_path, states):
+    schema = "type string, step_no long, holds boolean"
+    for part in ([("a", 1, True), ("a", 2, True)], [("a", 3, True), ("a", 4, False), ("b", 1, True)], [("a", 6, True), ("b", 3, True), ("a", 7, False)]):
+        rows = processors.alerts(stream_of(spark, tmp_path / "in", part, schema), 3)
+        jobs.appended(rows, str(tmp_path / "out"), str(tmp_path / "c"), trigger=ONCE).awaitTermination()
+    got = sorted((r["type"], r["start"], r["points"], r["state"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 1, 1, "pending"), ("a", 1, 3, "firing"), ("a", 1, 3, "resolved"), ("a", 6, 1, "pending"), ("b", 1, 1, "pending"), ("b", 3, 1, "pending")]
+
+
+def test_json_lines_of_a_stream_in_files_of_bounded_length(spark, tmp_path):
+    from telespark.sources.sinks import stream_jsonl
 
-    t = [NOW + datetime.timedelta(seconds=s) for s in (0, 5, 9)]
-    stream = stream_of(spark, tmp_path / "in", [("x", t[0]), ("x", t[1]), ("y", t[2])], "nonce string, ts timestamp")
-    jobs.appended(jobs.without_replays(stream), str(tmp_path / "out"), str(tmp_path / "state"), trigger=ONCE).awaitTermination()
-    assert sorted(r["nonce"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y"]
+    stream = stream_of(spark, tmp_path / "in", [(k, ticks(0)[0]) for k in range(10)], "k long, ts timestamp")
+    stream_jsonl(stream, str(tmp_path / "out"), str(tmp_path / "c"), max_rows=4, ts="ts", trigger=ONCE).awaitTermination()
+    files = list((tmp_path / "out").glob("day=*/part-*.json"))
+    assert len(files) == 3 and sum(len(f.read_text().splitlines()) for f in files) == 10
