@@ -4,14 +4,17 @@ The two halves of a vector are quantised apart, each to one of k centroids, so t
 query walks through the centroid pairs by rising summed distance, with a heap, until the cells it has met hold a given
 share of all rows; the entries of those cells are then ranked by their exact inner product.
 
-Rows are shuffled by blocks of cells of bounded size (a crowded cell's rows are dealt over several blocks), and a query is
-sent to the blocks that hold a cell of its walk.  Queries are dealt into chunks of bounded size, and a task holds one chunk
-against one block.
+Rows are dealt once into blocks of cells of bounded size (a crowded cell's rows are dealt over several blocks), and each
+block is a file in the shared folder.  A query is sent to the blocks that hold a cell of its walk.  Queries are dealt into
+chunks of bounded size, and a task reads one block against one chunk; so what is shuffled of the rows doesn't grow with the
+number of queries.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telespark.llm.common import hash_fraction, small_batches
+from telespark.llm.common import hash_fraction, read_table, shared_dir, small_batches
 
 
 @dataclass
@@ -182,8 +185,9 @@ def search(rows: DataFrame, queries: DataFrame, *, top: int = 20, share: float =
                     out += [(b, q, v, reached, floor) for b in sorted(to)]
             yield pd.DataFrame(out, columns=["block", "id", "vector", "reached", "floor"])
 
-    def ranked(qs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
+    def ranked(key: tuple[int, int], qs: pd.DataFrame) -> pd.DataFrame:
         m = shared.value
+        es = pd.concat([read_table(f).to_pandas() for f in files.get(key[0], [])]) if key[0] in files else pd.DataFrame({"id": []})
         out: list[tuple[np.ndarray, ...]] = []
         if len(qs) and len(es):
             es = es.sort_values(["i", "j", "id"], kind="stable")
@@ -212,7 +216,11 @@ def search(rows: DataFrame, queries: DataFrame, *, top: int = 20, share: float =
     spread = queries.select("id", "vector").repartition(max(spark.sparkContext.defaultParallelism, 8), "id")
     asked = spread.mapInPandas(sent, f"block long, id long, vector {kind}, reached array<int>, floor double")
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-    against = placed(rows.select("id", "vector"), index).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    pairs = asked.groupBy("block", "chunk").cogroup(against.groupBy("block", "chunk")).applyInPandas(ranked, "query_id long, vec_id long, score double")
+    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    placed(rows.select("id", "vector"), index).repartition("block").write.partitionBy("block").parquet(path)
+    files: dict[int, list[str]] = {}
+    for f in spark.read.parquet(path).inputFiles():
+        files.setdefault(int(re.search(r"/block=(\d+)/", f)[1]), []).append(f)
+    pairs = asked.groupBy("block", "chunk").applyInPandas(ranked, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,13 @@ def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_table(path: str) -> pa.Table:
+    """A Parquet file of the shared folder, read by a task; the folder has to be one that Python workers reach too."""
+    fs, inside = pyarrow.fs.FileSystem.from_uri(path)
+    with fs.open_input_file(inside) as f:
+        return pyarrow.parquet.ParquetFile(f).read()
+
+
 def sided(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     """``df`` as the side of a join: broadcast if it has no more than ``most_rows`` rows, else left to be shuffled."""
     return F.broadcast(df) if df.count() <= most_rows else df

@@ -15,12 +15,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telespark.llm.common import saved, shared_dir, small_batches
+from telespark.llm.common import read_table, saved, shared_dir, small_batches
 
 Best = tuple[np.ndarray, np.ndarray]
 
@@ -115,9 +113,8 @@ def within(lists: Lists, own: int, label: int, anchor: np.ndarray, goals: list[i
 
 
 def _read(path: str) -> Lists:
-    """A block's rows; the shared folder has to be one that Python workers can read too."""
-    fs, inside = pyarrow.fs.FileSystem.from_uri(path)
-    t = pyarrow.parquet.read_table(inside, filesystem=fs)
+    """A block's rows."""
+    t = read_table(path)
     vectors = t["vector"].combine_chunks()
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     return Lists(t["id"].to_numpy(), t["label"].to_numpy(), flat.reshape(len(t), -1))

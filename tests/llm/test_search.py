@@ -216,3 +216,20 @@ def test_chat_equals_its_sql_and_takes_empty_tables(spark, tmp_path):
     assert_same(queries.op5_chat(spark, str(tmp_path)), str(tmp_path), queries.ORACLE_SQL["op5_chat"])
     empty = spark.createDataFrame([], CHATS)
     assert chat.rendered(chat.branched(chat.linked(empty))).count() == 0
+
+
+def test_rows_are_dealt_into_files_once_whatever_the_number_of_chunks(spark):
+    from pathlib import Path
+
+    from telespark.llm.common import shared_dir
+
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(700)], "id long, vector array<double>")
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    found = []
+    for chunk in (2, 4096):
+        before = set(shared.glob("cells-*"))
+        found.append(sorted(map(tuple, ann.search(df, df.where("id % 20 = 0"), chunk=chunk, least=0).collect())))
+        (made,) = set(shared.glob("cells-*")) - before
+        assert spark.read.parquet(str(made)).count() == 700
+    assert found[0] == found[1]
