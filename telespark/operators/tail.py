@@ -6,12 +6,11 @@ a share of all by the hash of the trace id; the rest is boring and dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telespark.functions.hashing import sampled
 from telespark.functions.labels import UNKNOWN
-from telespark.operators.guard import admitted
 
 SLOW_NS = 1_000_000_000
 
@@ -37,13 +36,13 @@ def decide(traces: DataFrame, *, slow_ns: int = SLOW_NS, percent: int = 5, max_s
     first ``max_services`` are.  Services in ``seen`` (service), as many as are bounded elsewhere, aren't new."""
     plain = ~F.col("error") & (F.col("max_duration_ns") <= slow_ns) & (F.col("service") != UNKNOWN)
     rows = traces.withColumn("_plain", plain)
-    first = Window.partitionBy("service").orderBy("first_ts", "trace_id")
-    fresh = rows.where("_plain").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1)
+    # one row for each service, of which at most ``max_services`` are broadcast
+    first = rows.where("_plain").groupBy(F.col("service").alias("_s")).agg(F.min(F.struct("first_ts", "trace_id")).alias("_f"))
     if seen is not None:
-        fresh = fresh.join(F.broadcast(seen), "service", "left_anti")
-    fresh = fresh.join(F.broadcast(admitted(fresh, ["service"], "first_ts", max_services)), "service", "left_semi")
-    fresh = fresh.select(F.col("trace_id").alias("_t"), F.col("first_ts").alias("_f"), F.lit(True).alias("_rare"))
-    marked = rows.join(fresh, (F.col("trace_id") == F.col("_t")) & (F.col("first_ts") == F.col("_f")), "left")
+        first = first.join(F.broadcast(seen.select(F.col("service").alias("_s"))), "_s", "left_anti")
+    first = first.orderBy("_f.first_ts", "_s").limit(max_services).select("_s", F.col("_f.first_ts").alias("_t"), F.col("_f.trace_id").alias("_id"), F.lit(True).alias("_rare"))
+    same = (F.col("service") == F.col("_s")) & (F.col("first_ts") == F.col("_t")) & (F.col("trace_id") == F.col("_id"))
+    marked = rows.join(F.broadcast(first), same, "left").withColumn("_rare", F.col("_rare") & F.col("_plain"))
     reason = (
         F.when(F.col("error"), "error")
         .when(F.col("max_duration_ns") > slow_ns, "slow")
@@ -51,7 +50,7 @@ def decide(traces: DataFrame, *, slow_ns: int = SLOW_NS, percent: int = 5, max_s
         .when(sampled(F.col("trace_id"), percent), "probabilistic")
         .otherwise("boring")
     )
-    return marked.withColumn("reason", reason).withColumn("kept", F.col("reason") != "boring").drop("_plain", "_t", "_f", "_rare")
+    return marked.withColumn("reason", reason).withColumn("kept", F.col("reason") != "boring").drop("_plain", "_s", "_t", "_id", "_rare")
 
 
 def by_reason(decisions: DataFrame) -> DataFrame:
