@@ -32,9 +32,10 @@ def templated(logs: DataFrame) -> DataFrame:
     return fingerprinted(logs).withColumn("hash", hash_hex(F.col("template")))
 
 
-def masked(logs: DataFrame) -> DataFrame:
-    """Adds template and key, its 64-bit hash, to every record of a table, once for all that follows."""
-    return kept_table(fingerprinted(logs).withColumn("key", F.xxhash64("template")), "masked")
+def masked(logs: DataFrame, *columns: str) -> DataFrame:
+    """Adds template and key, its 64-bit hash, to the ``columns`` (all, if none are named) of every record of a table, once
+    for all that follows."""
+    return kept_table(fingerprinted(logs).select(*(columns or logs.columns), "template", F.xxhash64("template").alias("key")), "masked")
 
 
 def hashes(rows: DataFrame) -> DataFrame:
@@ -44,9 +45,10 @@ def hashes(rows: DataFrame) -> DataFrame:
     return by_key.withColumn("hash", hash_hex(F.col("text"))).drop("text")
 
 
-def hashed(logs: DataFrame) -> DataFrame:
-    """Adds template and its hash to every record of a table; the hash is worked out for each template."""
-    rows = masked(logs)
+def hashed(logs: DataFrame, *columns: str) -> DataFrame:
+    """Adds template and its hash to the ``columns`` (or all) of every record of a table; the hash is worked out for each
+    template."""
+    rows = masked(logs, *columns)
     return rows.join(hashes(rows).drop("first_ord"), "key").drop("key")
 
 
@@ -81,9 +83,9 @@ def admitted(rows: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def kept(logs: DataFrame, cap: int = CAP) -> DataFrame:
-    """The records of admitted templates, with template and hash."""
-    rows = masked(logs)
-    return rows.join(F.broadcast(admitted(rows, cap)), "key").drop("key")
+    """service, severity, ts, ord and hash of the records of admitted templates."""
+    rows = masked(logs, "service", "severity", "ts", "ord")
+    return rows.join(F.broadcast(admitted(rows, cap)), "key").drop("key", "template")
 
 
 def summary(logs: DataFrame, cap: int = CAP) -> DataFrame:

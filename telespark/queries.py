@@ -167,7 +167,7 @@ _ADMITTED, _FEW = _admitted(logdedup.CAP), _admitted(TEMPLATES)
 
 @query("SELECT ord, template, hash FROM logs", "logs")
 def log_fingerprint(spark, d):
-    return logdedup.hashed(views.logs(spark, d)).select("ord", "template", "hash")
+    return logdedup.hashed(views.logs(spark, d), "ord").select("ord", "template", "hash")
 
 
 _SUMMARY = """SELECT sum(n)::BIGINT AS records, count(*) FILTER (k) AS unique_templates, coalesce(sum(b - f) FILTER (k), 0)::BIGINT AS bytes_saved,
