@@ -116,6 +116,22 @@ def test_token_table_round_trip(spark, tmp_path, plain):
     assert table.where("doc_id = 7").select("ids").first()[0] == [*plain("one"), 0]
 
 
+def test_files_follow_each_other_by_number(spark, tmp_path):
+    """Part files have five digits at least, so text order is wrong from the 100,000th on."""
+    path = tmp_path / "t"
+    tokens.write_orc(frame(spark, [(k, f"text {k} " * (k % 3), None, None, 0, None, None, None) for k in range(60)]), str(path), tokenizer=PATH, partitions=3)
+    for f in [*path.glob(".*.crc"), *path.glob("_SUCCESS")]:
+        f.unlink()
+    names = {"00000": "10000", "00001": "10001", "00002": "100000"}
+    for f in list(path.glob("part-*")):
+        number = f.name[5:10]
+        f.rename(path / f.name.replace(number, names[number], 1))
+    assert [f.name[5:11] for f in sorted(path.glob("part-*"))] == ["10000-", "100000", "10001-"]
+    got = tokens.with_starts(tokens.digest(tokens.read_orc(spark, str(path)))).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == list(range(60))
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(60)]
+
+
 def test_orc_holds_indexes_that_prune(spark, tmp_path):
     """A file of several row groups has row indexes and Bloom filters, by which a lookup of an id reads fewer rows."""
     docs = spark.range(40_000).selectExpr("id * 2 as doc_id", "concat('word ', id) as text")
