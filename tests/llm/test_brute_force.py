@@ -5,17 +5,21 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from telespark.llm import langid, linear, mixing, quality, queries, stages, toxicity
+from telespark.llm import langid, linear, mixing, quality, queries, stages, tokens, toxicity
 from telespark.llm.common import hash_fraction, table
 from tests.conftest import SF
 from tests.llm.data import corpus, frame
+from tests.llm.test_mixing import plain_targets
+from tests.llm.test_near_duplicates import brute as near_brute
 
 
 def test_mix_takes_whole_epochs_and_then_the_smallest_keys(spark):
@@ -116,18 +120,16 @@ def test_toxicity_scores_equal_plain_sums(spark):
         assert abs(r["score"] - linear.logistic(math.fsum(w[i] for i in idx))) < 1e-12
 
 
-def test_languages_equal_a_plain_back_off(spark):
-    docs = table(spark, SF, "documents")
-    model = langid.fit(docs)
+def plain_back_off(train):
+    """The model's counts and a function from text to (language, posterior), one word at a time.  train: (text, lang)."""
     counts, total = defaultdict(Counter), Counter()
-    for r in docs.where("text is not null and lang is not null").collect():
-        for word in langid.words_of(r["text"]):
+    for text, lang in train:
+        for word in langid.words_of(text):
             for kind, gram in [(0, word), *((k, g) for k in range(1, 6) for g in langid.grams_of(word, k))]:
-                counts[r["lang"], kind][gram] += 1
-                total[r["lang"], kind] += 1
+                counts[lang, kind][gram] += 1
+                total[lang, kind] += 1
     langs = sorted({lang for lang, _ in counts})
     known = {kind: set().union(*(counts[lang, kind] for lang in langs)) for kind in range(6)}
-    assert langs == model.langs and known[0] == set(model.words) and all(known[k] == set(model.grams[k]) for k in range(1, 6))
 
     def logs(kind, gram):
         return np.array([math.log((counts[x, kind][gram] + 0.5) / (total[x, kind] + 1.0)) for x in langs])
@@ -141,12 +143,80 @@ def test_languages_equal_a_plain_back_off(spark):
         return np.zeros(len(langs))
 
     prior = np.log([total[x, 0] / sum(total[y, 0] for y in langs) for x in langs])
-    told = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+
+    def told(text):
+        s = prior + sum((n * of_word(w) for w, n in Counter(langid.words_of(text)).items()), np.zeros(len(langs)))
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        return langs[int(p.argmax())], p.max()
+
+    return langs, known, told
+
+
+def test_languages_equal_a_plain_back_off(spark):
+    docs = table(spark, SF, "documents")
+    model = langid.fit(docs)
+    langs, known, told = plain_back_off([(r["text"], r["lang"]) for r in docs.where("text is not null and lang is not null").collect()])
+    assert langs == model.langs and known[0] == set(model.words) and all(known[k] == set(model.grams[k]) for k in range(1, 6))
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
     for r in docs.collect():
         if langid.has_letter(r["text"]):
-            s = prior + sum((n * of_word(w) for w, n in Counter(langid.words_of(r["text"])).items()), np.zeros(len(langs)))
-            p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
-            assert told[r["doc_id"]]["lang_pred"] == langs[int(p.argmax())] and abs(told[r["doc_id"]]["score"] - p.max()) < 1e-3
+            lang, p = told(r["text"])
+            assert got[r["doc_id"]]["lang_pred"] == lang and abs(got[r["doc_id"]]["score"] - p) < 1e-3
+
+
+def test_pipeline_equals_plain_stages(spark):
+    """The pipeline's rows against plain versions of all stages: back-off word by word, sums of weights, all pairs of sets,
+    targets by repeated capping and keys in order, and the tokenizer itself."""
+    docs = table(spark, SF, "documents")
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    _, _, told = plain_back_off([(t, lang) for i, t, lang, _ in rows if not held(i) and t is not None and lang is not None])
+    rows = [r for r in rows if langid.has_letter(r[1]) and told(r[1])[1] >= 0.5]
+
+    left = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    features, weights = toxicity.fit(queries.labelled(spark, SF, left, "toxic"), "label", corpus=left)
+    odds = {r[0]: math.fsum(float(weights[k]) for k in features.of(r[1])) for r in rows}
+    rows = [r for r in rows if odds[r[0]] < 0]
+
+    component = {i: c for i, _, c in near_brute([r[:2] for r in rows])}
+    rows = [r for r in rows if component[r[0]] == r[0]]
+
+    marks = defaultdict(int)
+    for r in table(spark, SF, "labels").where("quality is not null").collect():
+        marks[r["doc_id"]] = max(marks[r["doc_id"]], 2 if r["quality"] == 1 else 1)
+    left = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("tie", F.xxhash64("text"))
+    drawn = {r["doc_id"]: r["u"] for r in left.withColumn("u", hash_fraction("doc_id", "tie", seed=1)).collect()}
+    size = {i: len(t.encode().split()) for i, t, _, _ in rows}
+    whole = Counter()
+    for i, *_, source in rows:
+        whole[source] += size[i]
+    copies = {}
+    for source, target in plain_targets(dict(whole)).items():
+        order = sorted((-math.log(drawn[i]) / (1.0, 0.5, 2.0)[marks[i]], i) for i, *_, s in rows if s == source)
+        epochs, rest = int(target // whole[source]), round(target - target // whole[source] * whole[source])
+        for _, i in order:
+            part = max(0, min(size[i], rest))
+            rest -= part
+            copies[i] = round((epochs * size[i] + part) / size[i])
+
+    t = Tokenizer.from_file(tokens.default_tokenizer())
+    ids = {r[0]: [*t.encode(r[1], add_special_tokens=False).ids, 1] for r in rows}
+    starts, sequences = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        piece = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], dtype="<u4")
+        assert zlib.crc32(piece.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        starts[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(starts) == {i for i, n in copies.items() if n}
+    for i, pieces in starts.items():
+        covered = Counter(k for at, n in pieces for k in range(at, at + n))
+        assert covered == {k: copies[i] for k in range(len(ids[i]))}, i
+    for pieces in sequences.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= 2048
 
 
 def written(spark, path, rows, labels):
