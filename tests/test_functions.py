@@ -56,3 +56,8 @@ def test_spans(spark):
     assert one(spark, spans.trace_hex(F.lit(b""))) == "unknown"
     assert one(spark, logs.severity_label(F.lit(""), F.lit(9))) == "9"
     assert one(spark, logs.severity_label(F.lit(""), F.lit(0))) == "unknown"
+
+
+def test_labels_of_a_key_are_shown_together(spark):
+    df = spark.createDataFrame([("a", "b|c", None)], "x string, y string, z string")
+    assert df.select(labels.shown(F.col("x"), F.col("y"), F.col("z"))).first()[0] == "a|b|c"
