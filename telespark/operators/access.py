@@ -49,17 +49,19 @@ def audit(requests: DataFrame, keys: DataFrame, *, skew_s: int = 300, nonce: tup
     missing_header, bad_timestamp, skew, bad_nonce, replay, invalid_key, else accepted.
 
     A nonce is taken before the key is looked at, by requests that reach that check; a replay within ``ttl_s`` of the
-    taking is rejected and does not extend it.  A window's first request is the one that takes its nonce.
+    taking is rejected and does not extend it.  A window's first request is the one that takes its nonce; one without a time
+    takes none and is no replay.
     """
     from telespark.operators.anchored import anchored
 
     rows = requests.withColumn("_early", early_verdict(skew_s=skew_s, nonce=nonce))
-    windows = anchored(rows.where(F.col("_early").isNull()), "nonce", "ts", ttl_s * 1_000_000, "ord")
-    # only the requests of the instant at which a window opens can have taken the nonce
-    opening = windows.where(F.col("ts") == F.col("window_start"))
-    takers = opening.groupBy(F.col("nonce").alias("_n"), F.col("window_start").alias("_w")).agg(F.min("ord").alias("_first"))
-    fresh = windows.join(takers, (F.col("nonce") == F.col("_n")) & (F.col("window_start") == F.col("_w")), "left")
-    fresh = fresh.withColumn("_replay", F.col("ord") != F.col("_first")).drop("window_start", "_n", "_w", "_first")
+    valid = rows.where(F.col("_early").isNull())
+    # of the requests of one instant only the first can take the nonce, so windows are found on a row for each instant
+    instants = valid.groupBy("nonce", "ts").agg(F.min("ord").alias("_first"))
+    windows = anchored(instants, "nonce", "ts", ttl_s * 1_000_000)
+    takers = windows.where(F.col("ts") == F.col("window_start")).select(F.col("nonce").alias("_n"), F.col("ts").alias("_t"), "_first")
+    fresh = valid.join(takers, (F.col("nonce") == F.col("_n")) & (F.col("ts") == F.col("_t")), "left")
+    fresh = fresh.withColumn("_replay", F.coalesce(F.col("ord") != F.col("_first"), F.col("ts").isNotNull())).drop("_n", "_t", "_first")
     checked = fresh.unionByName(rows.where(F.col("_early").isNotNull()).withColumn("_replay", F.lit(False)))
     return judged(checked, keys, "_early", "_replay")
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +55,10 @@ def exits(times: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return upto[step], leaves[step]
 
 
-def _segments(keys: list) -> list[tuple[int, int]]:
-    edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-    return list(zip(edges, edges[1:]))
+def _edges(keys: pa.Array) -> np.ndarray:
+    """Where runs of equal keys begin, and the number of keys."""
+    changed = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(changed) + 1, [len(keys)]])
 
 
 def _summaries(length: int):
@@ -68,15 +70,19 @@ def _summaries(length: int):
         for b in batches:
             if not len(b):
                 continue
-            keys, times = b.column(_KEY).to_pylist(), b.column(_TIME).to_numpy()
-            for i, j in _segments(keys):
-                if piece is None:
-                    piece, first, last = b.column(_PIECE)[0].as_py(), keys[0], keys[0]
-                if keys[i] != last:
-                    last, due, whole, held = keys[i], None, False, []
-                due = int(starts(times[i:j], length, None if due is None else due - length)[-1]) + length
-                if whole:
-                    held.append(times[i:j])
+            keys, times = b.column(_KEY), b.column(_TIME).to_numpy()
+            edges = _edges(keys)
+            start, end = keys[0].as_py(), keys[len(keys) - 1].as_py()
+            if piece is None:
+                piece, first, last = b.column(_PIECE)[0].as_py(), start, start
+            if start != last or len(edges) > 2:
+                whole, held = False, []
+            if end != last or len(edges) > 2:
+                last, due = end, None
+            tail = times[edges[-2] :]
+            due = int(starts(tail, length, None if due is None else due - length)[-1]) + length
+            if whole:
+                held.append(tail)
         out = []
         if piece is not None:
             steps = [x.tolist() for x in exits(np.concatenate(held), length)] if whole else [[], []]
@@ -134,16 +140,21 @@ def anchored(df: DataFrame, key: str, ts: str, length_us: int, *order: str, piec
         for b in batches:
             if not len(b):
                 continue
-            keys, times = b.column(_KEY).to_pylist(), b.column(_TIME).to_numpy()
+            keys, times = b.column(_KEY), b.column(_TIME).to_numpy()
+            edges = _edges(keys)
+            start = keys[0].as_py()
             if last is None:
-                last, due = keys[0], entries.get(b.column(_PIECE)[0].as_py())
+                due = entries.get(b.column(_PIECE)[0].as_py())
                 open_at = None if due is None else due - length_us
-            out = np.empty(len(keys), dtype=np.int64)
-            for i, j in _segments(keys):
-                if keys[i] != last:
-                    last, open_at = keys[i], None
-                out[i:j] = starts(times[i:j], length_us, open_at)
-                open_at = int(out[j - 1])
+            elif start != last:
+                open_at = None
+            # most keys' rows lie in one window, which their first row opens
+            firsts, ends = times[edges[:-1]], times[edges[1:] - 1]
+            out = np.repeat(firsts, np.diff(edges))
+            for k in [0, *np.flatnonzero(ends[1:] - firsts[1:] >= length_us) + 1]:
+                i, j = edges[k], edges[k + 1]
+                out[i:j] = starts(times[i:j], length_us, open_at if k == 0 else None)
+            last, open_at = keys[len(keys) - 1].as_py(), int(out[-1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, _WINDOW])
 
     return cut.mapInArrow(fold, schema).withColumn("window_start", F.timestamp_micros(_WINDOW)).drop(_TIME, _WINDOW, _PIECE, _KEY)
