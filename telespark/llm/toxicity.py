@@ -7,10 +7,12 @@ words as written and as restored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import re
 import sys
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telespark.llm import linear
-from telespark.llm.common import Recent, bounded_sample, small_batches, take_over
+from telespark.llm.common import Recent, bounded_sample, read_table, saved, shared_dir, small_batches, take_over
 
 #: Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -36,6 +38,13 @@ _REPEATED = re.compile(r"(.)\1+").finditer
 _NOISE = "".join(c for c in _EDGE if c not in SIGNS)
 #: Pieces of whose features a worker keeps as many to twice as many.
 _KEPT = 150_000
+#: Bits of a character in a trigram's key, and what stands there for any character that was never met after the other two.
+_BITS = 21
+_ANY = (1 << _BITS) - 1
+#: Trigrams of a file of the stored model, about; files and costs of which a worker keeps as many to twice as many.
+_PAGE = 50_000
+_PAGES = 16
+_COSTS = 100_000
 #: Words or trigrams that a task sums up before it passes their counts on.
 _FOLD = 200_000
 
@@ -44,16 +53,8 @@ class CharModel:
     """Character trigrams with add-k smoothing over lower-case words."""
 
     def __init__(self, counts: dict[str, int], k: float = 0.05):
-        self._learn(trigrams(counts), k)
-
-    @classmethod
-    def of_trigrams(cls, counts: dict[str, int], k: float = 0.05) -> CharModel:
-        out = cls.__new__(cls)
-        out._learn(counts, k)
-        return out
-
-    def _learn(self, tri: dict[str, int], k: float) -> None:
         """Costs of the trigrams met and, by the two characters before, of those never met."""
+        tri = trigrams(counts)
         bi: Counter = Counter()
         for t, n in tri.items():
             bi[t[:2]] += n
@@ -66,6 +67,57 @@ class CharModel:
         found = self.met.get(before + c)
         return self.new.get(before, self.none) if found is None else found
 
+    def forget(self) -> None:
+        """Nothing here was only remembered."""
+
+
+class StoredModel(CharModel):
+    """The same model as files of the shared folder, each a range of trigrams in the order of their keys.
+
+    A worker reads a file when it first meets a trigram of its range, and keeps some files and the costs that it worked out
+    lately.  So neither the driver nor a worker holds what grows with the corpus, but for the first key of each file.
+    """
+
+    def __init__(self, files: list[tuple[int, str]], size: int, k: float = 0.05):
+        self.first, self.files = [f for f, _ in files], [f for _, f in files]
+        self.size, self.k = size, k
+        self.forget()
+
+    def forget(self) -> None:
+        self.pages = Recent(self._page, _PAGES, 10_000)
+        self.costs = Recent(self._cost, _COSTS)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("pages", "costs")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    def cost(self, before: str, c: str) -> float:
+        return self.costs[before + c]
+
+    def _page(self, file: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = read_table(file)
+        return tuple(found.column(c).to_numpy() for c in ("key", "n", "total"))
+
+    def _cost(self, gram: str) -> float:
+        key = key_of(gram)
+        for wanted in (key, key | _ANY):
+            page = bisect.bisect_right(self.first, wanted) - 1
+            if page >= 0:
+                keys, n, total = self.pages[self.files[page]]
+                at = int(np.searchsorted(keys, wanted))
+                if at < len(keys) and keys[at] == wanted:
+                    return -math.log((int(n[at]) + self.k) / (int(total[at]) + self.k * self.size))
+        return math.log(self.size)
+
+
+def key_of(gram: str) -> int:
+    """The three characters of a trigram as one number."""
+    a, b, c = map(ord, gram)
+    return a << 2 * _BITS | b << _BITS | c
+
 
 def trigrams(words: dict[str, int]) -> Counter:
     """Counts of the character trigrams of words, with two marks before each and one after it."""
@@ -224,6 +276,10 @@ class Features:
         self.__dict__.update(state)
         self.kept = Recent(self.of_piece, _KEPT)
 
+    def forget(self) -> None:
+        self.kept.clear()
+        self.model.forget()
+
     def of_words(self, words: set[str]) -> tuple[int, ...]:
         named = {f"w{w}" for w in words} | {f"p{w[:n]}" for w in words for n in (4, 5) if len(w) > n}
         return tuple({max(1, xxhash.xxh3_64_intdigest(f) & self.mask) for f in named})
@@ -255,7 +311,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found.update(trigrams(spelt))
 
     def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array(map(key_of, found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["key", "n"])
         found.clear()
         return out
 
@@ -270,14 +326,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def fit_chars(docs: DataFrame) -> CharModel:
+def fit_chars(docs: DataFrame) -> StoredModel:
     """The character model of all purely alphabetic words of two letters or more in the texts of ``docs``.
 
-    Every text counts whole and no trigram is left out, so the model grows with the corpus.  Letters that stand alone are
-    what the decoder has to join; they teach nothing.
+    Every text counts whole and no trigram is left out, so the model grows with the corpus; it stays in files of the shared
+    folder.  Letters that stand alone are what the decoder has to join; they teach nothing.
     """
-    top = docs.select("text").mapInArrow(_counted, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    return CharModel.of_trigrams(dict(zip(top["gram"], top["n"].tolist())))
+    spark = docs.sparkSession
+    grams = saved(docs.select("text").mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    third = F.col("key").bitwiseAND(F.lit(_ANY))
+    pairs = grams.groupBy((F.col("key") - third).alias("pair")).agg(F.sum("n").alias("total"))
+    chars = grams.select(F.explode(F.array(third, F.shiftright("key", _BITS).bitwiseAND(F.lit(_ANY)), F.shiftright("key", 2 * _BITS)))).distinct().count()
+    met = grams.join(pairs, F.col("key") - third == F.col("pair")).select("key", "n", "total")
+    new = pairs.select((F.col("pair") + F.lit(_ANY)).alias("key"), F.lit(0).cast("long").alias("n"), "total")
+    path = f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex}"
+    met.unionByName(new).repartitionByRange(-(-grams.count() // _PAGE) or 1, "key").sortWithinPartitions("key").write.parquet(path)
+    firsts = spark.read.schema("key long").parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.min("key").alias("first"))
+    return StoredModel(sorted((r["first"], r["file"]) for r in firsts.collect()), 1 + chars)
 
 
 def fit(train: DataFrame, label: str, *, corpus: DataFrame | None = None, most_rows: int = 8000, params: linear.Ftrl | None = None) -> tuple[Features, np.ndarray]:
@@ -291,7 +356,7 @@ def fit(train: DataFrame, label: str, *, corpus: DataFrame | None = None, most_r
     shared = train.sparkSession.sparkContext.broadcast(features)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        take_over("toxicity examples", shared.value.kept.clear)
+        take_over("toxicity examples", shared.value.forget)
         for pdf in batches:
             idx = [np.sort(shared.value.of(t)).astype(np.int32) for t in pdf["text"]]
             yield pd.DataFrame({"key": pdf["key"], "label": pdf["label"], "idx": idx, "val": [np.ones(len(i), dtype=np.float32) for i in idx]})
@@ -306,7 +371,7 @@ def score(docs: DataFrame, features: Features, weights: np.ndarray, *, out: str
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f, w = shared.value
-        take_over("toxicity", f.kept.clear)
+        take_over("toxicity", f.forget)
         for texts in batches:
             yield pd.Series([linear.logistic(math.fsum(w[f.of(t)])) for t in texts], dtype="float64")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import pickle
 import random
 import time
 import zlib
@@ -160,8 +162,29 @@ def test_character_model_counts_every_text(spark, monkeypatch):
     model = toxicity.fit(docs, "y", corpus=both)[0].model
     words = [w.rstrip(".,") for r in both.collect() for w in (r["text"] or "").lower().split()]
     want = toxicity.CharModel(Counter(w for w in words if len(w) > 1 and w.isalpha()))
-    assert model.met == want.met and model.new == want.new and model.none == want.none
-    assert "zyz" in model.met and "uxq" in model.met and toxicity.fit(docs, "y")[0].model.met.keys() < model.met.keys()
+    # every trigram met, every one of characters met, and characters never met
+    signs = sorted({c for t in want.met for c in t} | set("☃#"))
+    asked = [*want.met, *("".join(t) for t in itertools.islice(itertools.product(signs, repeat=3), 0, None, 7))]
+    assert {t: model.cost(t[:2], t[2]) for t in asked} == {t: want.cost(t[:2], t[2]) for t in asked}
+    few = toxicity.fit(docs, "y")[0].model
+    assert all(t in want.met and few.cost(t[:2], t[2]) != want.cost(t[:2], t[2]) for t in ("zyz", "uxq"))
+
+
+def test_stored_model_in_many_files(spark, monkeypatch):
+    """Files, kept files and kept costs as small as can be: costs are those of the model in memory, also after it was sent."""
+    for name, n in (("_PAGE", 20), ("_PAGES", 2), ("_COSTS", 3)):
+        monkeypatch.setattr(toxicity, name, n)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdé字😀", k=rng.randint(2, 6))) for _ in range(30)) for _ in range(20)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, ""])], "doc_id long, text string")
+    model = pickle.loads(pickle.dumps(toxicity.fit_chars(docs)))
+    want = toxicity.CharModel(Counter(w for t in texts for w in t.split() if w.isalpha()))
+    assert len(model.files) > 5
+    for t in itertools.product("^abcdé字😀$z", repeat=3):
+        assert model.cost("".join(t[:2]), t[2]) == want.cost("".join(t[:2]), t[2])
+    assert len(model.pages) <= 2 and len(model.costs) <= 3
+    assert toxicity.decode("a1d.5aa", model) == toxicity.decode("a1d.5aa", want)
+    assert toxicity.fit_chars(docs.limit(0)).cost("^^", "a") == toxicity.CharModel({}).cost("^^", "a") == 0
 
 
 def test_stages_keep_columns_and_clean_rows(spark):
