@@ -154,7 +154,11 @@ def decided(traces: DataFrame, target: str, checkpoint: str, *, slow_ns: int = t
     def put(df: DataFrame, batch: int) -> None:
         seen = known.before(df.sparkSession, batch)
         decisions = f"{target}/decisions/batch={batch}"
-        tail.decide(df, slow_ns=slow_ns, percent=percent, max_services=max(0, max_services - seen.count()), seen=seen).write.mode("overwrite").parquet(decisions)
+        df.persist()  # read twice, and the keyed state behind it is worked on once
+        try:
+            tail.decide(df, slow_ns=slow_ns, percent=percent, max_services=max(0, max_services - seen.count()), seen=seen).write.mode("overwrite").parquet(decisions)
+        finally:
+            df.unpersist()
         found = df.sparkSession.read.parquet(decisions)
         known.add(found.where("reason = 'rare'").select("service").distinct(), batch)
 

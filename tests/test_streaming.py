@@ -251,3 +251,40 @@ def test_json_lines_of_a_stream_in_files_of_bounded_length(spark, tmp_path):
     stream_jsonl(stream, str(tmp_path / "out"), str(tmp_path / "c"), max_rows=4, ts="ts", trigger=ONCE).awaitTermination()
     files = list((tmp_path / "out").glob("day=*/part-*.json"))
     assert len(files) == 3 and sum(len(f.read_text().splitlines()) for f in files) == 10
+
+
+def test_micro_batches_stay_of_one_size_and_keep_step(spark, monkeypatch):
+    from telespark import queries
+
+    monkeypatch.setattr(queries, "TURN", 500)
+    rows = spark.range(3000).select(F.col("id").alias("ord"), (F.col("id") % 7).alias("v"))
+    ends = queries._turns(rows, F.col("ord"))
+    for table, most in ((rows, 800), (rows.where("v = 0"), 120)):
+        got = {}
+        stream = queries._streamed(spark, table, "turns", "ord", ends)
+        put = lambda b, k: got.__setitem__(k, b.agg(F.min("ord"), F.max("ord"), F.count(F.lit(1))).first())  # noqa: E731, B023
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", queries.shared_path(spark, "turns-state")).trigger(availableNow=True).start().awaitTermination()
+        assert len(got) == len(ends) + 1 == 6 and all(0 < n <= most for _, _, n in got.values()), "two batches of half the table, before"
+        assert all(got[k][1] <= ends[k] < got[k + 1][0] for k in range(5))
+        assert sum(n for _, _, n in got.values()) == table.count()
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """The events twice: those of greater ids have the same times again."""
+    d = tmp_path_factory.mktemp("repeated")
+    e = spark.read.parquet(f"{SF}/events.parquet").withColumn("event_id", F.col("event_id").cast("long"))
+    n = e.agg(F.max("event_id")).first()[0] + 1
+    e.unionByName(e.withColumn("event_id", F.col("event_id") + n)).toPandas().to_parquet(d / "events.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+    (d / "nation.parquet").symlink_to(f"{SF}/nation.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["stream_tail", "stream_tail_from_envelopes", "stream_flood", "stream_audit"])
+def test_streams_go_by_time(spark, repeated, monkeypatch, name):
+    """By number, the second half of these rows would be late."""
+    from telespark import queries
+    from tests.oracle import assert_same
+
+    monkeypatch.setattr(queries, "TURN", 700)
+    assert_same(queries.QUERIES[name](spark, repeated), repeated, queries.ORACLE_SQL[name])
