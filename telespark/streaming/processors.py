@@ -26,15 +26,34 @@ def _utc(us: int) -> datetime.datetime:
     return datetime.datetime.fromtimestamp(us / 1e6, datetime.timezone.utc).replace(tzinfo=None)
 
 
+def _moved(handle: StatefulProcessorHandle, before: int | None, after: int | None) -> None:
+    """Puts a key's timer at ``after`` in place of ``before``."""
+    if before != after:
+        if before is not None:
+            handle.deleteTimer(before)
+        if after is not None:
+            handle.registerTimer(after)
+
+
+#: Keys of short life share a state: so many buckets there are.
+BUCKETS = 512
+
+
+def _buckets(rows: DataFrame, key: str):
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).groupBy("_bucket")
+
+
 TRACE_COLUMNS = "trace_id string, window_start timestamp, spans long, bytes long, max_duration_ns long, error boolean, service string, first_ts timestamp"
 FLOOD_COLUMNS = "hash string, window_start timestamp, service string, at timestamp"
 
 
 class TraceFold(StatefulProcessor):
-    """Folds a trace's spans until ``length_ms`` after the first of them and then gives one row.
+    """Folds each trace's spans until ``length_ms`` after the first of them and then gives one row.
 
-    State is one small row for each open trace.  A span that comes later opens a new group.  With ``processing`` the time of
-    a span is the wall clock when its micro-batch is handled, and no watermark is needed.
+    A key is a bucket of traces: its state is one small row for each open trace and a timer for the earliest of them, so what
+    is read and written is a list for each bucket and not a few messages for each trace.  A span that comes later opens a new
+    group.  With ``processing`` the time of a span is the wall clock when its micro-batch is handled, and no watermark is
+    needed.
     """
 
     def __init__(self, length_ms: int = 10_000, processing: bool = False):
@@ -42,40 +61,56 @@ class TraceFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fold = handle.getValueState("fold", "start_us long, spans long, bytes long, longest long, error boolean, service string, known array<long>")
+        self.open = handle.getListState("open", "trace_id string, start_us long, spans long, bytes long, longest long, error boolean, service string, known string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs() * 1000 if self.processing else None
-        held = self.fold.get() if self.fold.exists() else None
-        before = held[0] if held is not None else None
+        folds = self._held()
+        before = self._next(folds)
         for r in _in_order(rows):
             at = r.arrival_us if now is None else now
+            held = folds.get(r.trace_id)
             if held is not None and at - held[0] >= self.length_ms * 1000:
-                yield self._closed(key, held)
+                yield self._closed(r.trace_id, held)
                 held = None
             if held is None:
-                held = (at, 0, 0, 0, False, "unknown", [])
-            place = list(_place(r.ord))
-            known = r.service != "unknown" and place >= list(held[6])
-            held = (held[0], held[1] + 1, held[2] + r.bytes_est, max(held[3], r.duration_ns), held[4] or r.error, r.service if known else held[5], place if known else list(held[6]))
-        if held is not None:
-            self.fold.update(held)
-            if held[0] != before:
-                if before is not None:
-                    self.handle.deleteTimer(self._due(before))
-                self.handle.registerTimer(self._due(held[0]))
+                held = folds[r.trace_id] = [at, 0, 0, 0, False, "unknown", ()]
+            held[1] += 1
+            held[2] += r.bytes_est
+            held[3] = max(held[3], r.duration_ns)
+            held[4] = held[4] or r.error
+            place = _place(r.ord)
+            if r.service != "unknown" and place >= held[6]:
+                held[5], held[6] = r.service, place
+        self._keep(folds, before)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.fold.exists():
-            yield self._closed(key, self.fold.get())
-            self.fold.clear()
+        now = timerValues.getCurrentProcessingTimeInMs() if self.processing else timerValues.getCurrentWatermarkInMs()
+        now = max(now, expiredTimerInfo.getExpiryTimeInMs())
+        folds = self._held()
+        for trace_id, held in list(folds.items()):
+            if self._due(held[0]) <= now:
+                yield self._closed(trace_id, folds.pop(trace_id))
+        self._keep(folds, None)
+
+    def _held(self) -> dict:
+        return {r[0]: [*r[1:7], tuple(map(int, r[7].split(",")) if r[7] else ())] for r in self.open.get()}
+
+    def _keep(self, folds: dict, before: int | None) -> None:
+        """Leaves the open traces, and a timer for the earliest in place of the one at ``before``."""
+        rows = [(trace_id, *held[:6], ",".join(map(str, held[6]))) for trace_id, held in folds.items()]
+        self.open.put(rows) if rows else self.open.clear()
+        _moved(self.handle, before, self._next(folds))
+
+    def _next(self, folds: dict) -> int | None:
+        return self._due(min(held[0] for held in folds.values())) if folds else None
 
     def _due(self, start_us: int) -> int:
         return start_us // 1000 + self.length_ms
 
-    def _closed(self, key, held) -> Row:
+    def _closed(self, trace_id, held) -> Row:
         start = _utc(held[0])
-        return Row(trace_id=key[0], window_start=start, spans=held[1], bytes=held[2], max_duration_ns=held[3], error=held[4], service=held[5], first_ts=start)
+        return Row(trace_id=trace_id, window_start=start, spans=held[1], bytes=held[2], max_duration_ns=held[3], error=held[4], service=held[5], first_ts=start)
 
     def close(self) -> None:
         pass
@@ -96,16 +131,15 @@ class FloodCount(StatefulProcessor):
         self.count = handle.getValueState("count", "start_us long, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = before = self.count.get()
         for r in _in_order(rows):
-            held = self.count.get() if self.count.exists() else None
             if held is None or r.arrival_us - held[0] >= self.length_ms * 1000:
-                if held is not None:
-                    self.handle.deleteTimer(self._due(held[0]))
                 held = (r.arrival_us, 0)
-                self.handle.registerTimer(self._due(held[0]))
-            self.count.update((held[0], held[1] + 1))
-            if held[1] + 1 == self.threshold:
+            held = (held[0], held[1] + 1)
+            if held[1] == self.threshold:
                 yield Row(hash=key[0], window_start=_utc(held[0]), service=r.service, at=_utc(r.arrival_us))
+        self.count.update(held)
+        _moved(self.handle, None if before is None else self._due(before[0]), self._due(held[0]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.count.exists() and self._due(self.count.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
@@ -144,33 +178,41 @@ class CappedSet(StatefulProcessor):
 
 
 class NonceTaken(StatefulProcessor):
-    """Tells whether a nonce is taken: by the first request, for ``ttl_s`` from then on, whatever comes in between."""
+    """Tells whether a nonce is taken: by the first request, for ``ttl_s`` from then on, whatever comes in between.
+
+    A key is a bucket of nonces, whose state is a row for each that is taken and a timer for the earliest.
+    """
 
     def __init__(self, ttl_s: int = 600):
         self.ttl_us = ttl_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.taken = handle.getValueState("taken", "at_us long")
+        self.taken = handle.getListState("taken", "nonce string, at_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        at = before = self.taken.get()[0] if self.taken.exists() else None
+        taken = dict(self.taken.get())
+        before = self._next(taken)
         for r in _in_order(rows):
+            at = taken.get(r.nonce)
             fresh = at is None or r.arrival_us - at >= self.ttl_us
             if fresh:
-                at = r.arrival_us
+                taken[r.nonce] = r.arrival_us
             yield Row(ord=r.ord, arrival_us=r.arrival_us, key_id=r.key_id, early=None, replay=not fresh)
-        if at != before:
-            self.taken.update((at,))
-            if before is not None:
-                self.handle.deleteTimer(self._due(before))
-            self.handle.registerTimer(self._due(at))
+        self._keep(taken, before)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.taken.exists() and self._due(self.taken.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.taken.clear()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        self._keep({nonce: at for nonce, at in self.taken.get() if self._due(at) > now}, None)
         return iter(())
 
+    def _keep(self, taken: dict, before: int | None) -> None:
+        self.taken.put(list(taken.items())) if taken else self.taken.clear()
+        _moved(self.handle, before, self._next(taken))
+
+    def _next(self, taken: dict) -> int | None:
+        return self._due(min(taken.values())) if taken else None
+
     def _due(self, at_us: int) -> int:
         return -(-(at_us + self.ttl_us) // 1000)
 
@@ -283,7 +325,7 @@ def traces(facts: DataFrame, length_ms: int = 10_000, *, processing: bool = Fals
     """Trace facts of a stream of (trace_id, service, duration_ns, error, bytes_est, ord, arrival_ts): with a watermark on
     arrival_ts, or by the clock (``processing``)."""
     timed = facts.select("trace_id", "service", "duration_ns", "error", "bytes_est", "ord", "arrival_ts", F.unix_micros("arrival_ts").alias("arrival_us"))
-    return timed.groupBy("trace_id").transformWithState(TraceFold(length_ms, processing), TRACE_COLUMNS, "append", "processingTime" if processing else "eventTime")
+    return _buckets(timed, "trace_id").transformWithState(TraceFold(length_ms, processing), TRACE_COLUMNS, "append", "processingTime" if processing else "eventTime")
 
 
 def floods(logs: DataFrame, length_ms: int = 60_000, threshold: int = 1000) -> DataFrame:
@@ -300,7 +342,7 @@ def taken(requests: DataFrame, ttl_s: int = 600) -> DataFrame:
     """ord, arrival_us, key_id, early (null) and replay of a stream of (nonce, ts, key_id, ord) with a watermark on ts."""
     kind = dict(requests.dtypes)["ord"]
     timed = requests.select("nonce", "key_id", "ord", "ts", F.unix_micros("ts").alias("arrival_us"))
-    return timed.groupBy("nonce").transformWithState(NonceTaken(ttl_s), f"ord {kind}, arrival_us long, key_id string, early string, replay boolean", "append", "eventTime")
+    return _buckets(timed, "nonce").transformWithState(NonceTaken(ttl_s), f"ord {kind}, arrival_us long, key_id string, early string, replay boolean", "append", "eventTime")
 
 
 def running(batches: DataFrame) -> DataFrame:

@@ -288,3 +288,17 @@ def test_streams_go_by_time(spark, repeated, monkeypatch, name):
 
     monkeypatch.setattr(queries, "TURN", 700)
     assert_same(queries.QUERIES[name](spark, repeated), repeated, queries.ORACLE_SQL[name])
+
+
+def test_states_of_traces_and_nonces_are_rows_of_buckets(spark, tmp_path, states):
+    rows = [(f"t{k}", "a", 1, False, 1, k, t) for k in range(2000) for t in ticks(k % 3)]
+    schema = "trace_id string, service string, duration_ns long, error boolean, bytes_est long, ord long, arrival_ts timestamp"
+    closed = processors.traces(stream_of(spark, tmp_path / "in", rows, schema).withWatermark("arrival_ts", "1 second"))
+    q = jobs.appended(closed, str(tmp_path / "out"), str(tmp_path / "c"), trigger=ONCE)
+    q.awaitTermination()
+    assert max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 2 * processors.BUCKETS
+    # one span much later closes all but its own trace
+    late = stream_of(spark, tmp_path / "in", [("end", "a", 1, False, 1, 9999, ticks(3600)[0])], schema).withWatermark("arrival_ts", "1 second")
+    jobs.appended(processors.traces(late), str(tmp_path / "out"), str(tmp_path / "c"), trigger=ONCE).awaitTermination()
+    got = spark.read.schema(processors.TRACE_COLUMNS).parquet(str(tmp_path / "out"))
+    assert got.count() == got.select("trace_id").distinct().count() == 2000 and got.where("spans <> 1 or service <> 'a'").isEmpty()
