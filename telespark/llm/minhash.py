@@ -156,19 +156,22 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _members(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """key, band, node, n_shingles and root of each member of each bucket; ``buckets`` has one row for each node, so roots
+    are joined to nodes and not to members.  A node that has no links is its own root."""
+    rooted = buckets.withColumn("root", F.col("node")) if roots is None else buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rooted.select("node", "n_shingles", "root", F.explode("at").alias("x")).select("x.key", "x.band", "node", "n_shingles", "root")
+
+
 def _against_pivots(buckets: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
     """Pairs (a, b) of each bucket's members with one of them, which is drawn by ``turn``; where roots are given, only
     pairs of different components."""
     salt = F.xxhash64("band", F.lit(turn))
-    pivot = buckets.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(salt)).alias("p"))
-    pairs = buckets.join(pivot, "key").select("node", F.col("p").bitwiseXOR(salt).alias("pivot")).where(F.col("node") != F.col("pivot"))
-    pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    if roots is not None:
-        for x in "ab":
-            pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left")
-        differ = F.coalesce("ra", "a") != F.coalesce("rb", "b")
-        pairs = pairs.where(differ).select("a", "b")
-    return pairs
+    members = _members(buckets, roots).select("key", "node", "root", F.col("node").bitwiseXOR(salt).alias("drawn"), salt.alias("salt"))
+    pivot = members.groupBy("key").agg(F.min(F.struct("drawn", "root", "salt")).alias("p"))
+    pivot = pivot.select("key", F.col("p.drawn").bitwiseXOR(F.col("p.salt")).alias("pivot"), F.col("p.root").alias("other"))
+    pairs = members.select("key", "node", "root").join(pivot, "key").where(F.col("root") != F.col("other"))
+    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
 def _all_others(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, percent: int) -> DataFrame:
@@ -179,7 +182,7 @@ def _all_others(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, docs: Da
     members need their full sets, and then those.  Nodes that share several buckets are compared in the first band.
     """
     weight = F.lit(1 / BLOCK) + F.col("n_shingles") / BLOCK_SHINGLES
-    rooted = buckets.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"), weight.alias("w"))
+    rooted = _members(buckets, roots).select("key", "band", "node", "root", weight.alias("w"))
     parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
     # the bucket's size in members and blocks, its number of components, and the root and blocks of the largest
     whole = parts.groupBy("key").agg(F.sum("n").alias("m"), F.sum("w").alias("all"), F.count(F.lit(1)).alias("k"), F.max(F.struct("n", (-F.col("root")).alias("minus"), "w")).alias("most"))
@@ -250,7 +253,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
     keys = nodes.select("node", "n_shingles", F.posexplode(bands).alias("band", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
-    buckets = saved(keys.join(shared, "key"), "buckets")
+    members = keys.join(shared, "key").groupBy("node", "n_shingles").agg(F.collect_list(F.struct("key", "band")).alias("at"))  # no more than BANDS
+    buckets = saved(members, "buckets")
 
     links = roots = None
     for turn in range(2):

@@ -131,3 +131,19 @@ def plain_sketch(members: np.ndarray) -> list[int]:
 def test_sketches_equal_their_definition_and_fill_every_coordinate(n):
     members = np.unique(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))
     assert minhash.sketch(members).tolist() == plain_sketch(members)
+
+
+def test_roots_are_joined_to_nodes_and_not_to_members_of_buckets(spark):
+    """A thousand near copies in all 32 bands are 32,000 members; pairs of one component are dropped as they are made."""
+    at = [(k, k) for k in range(32)]
+    buckets = spark.createDataFrame([(n, 10, at) for n in range(1000)] + [(2000, 10, at[:1])], "node long, n_shingles long, at array<struct<key:long,band:int>>")
+    roots = spark.createDataFrame([(n, 0) for n in range(1000)], "node long, root long")
+    assert minhash._members(buckets, roots).count() == 32_001
+    pairs = minhash._against_pivots(buckets, roots, 1)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and plan.count("Generate") == 2, "roots meet nodes below the explosion, once for each side"
+    for line in plan.splitlines():
+        if "Join Inner" in line:
+            assert "NOT (root" in line, "pairs of one component are no rows"
+    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert all(b == 2000 for _, b in found) and len(found) in (1, 1000), "the pivot of the one mixed bucket against its rest"
