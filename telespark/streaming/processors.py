@@ -6,10 +6,14 @@ import datetime
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from telespark.operators.anchored import starts
+
 #: Rows have ``ord``, a number or a struct of numbers, and ``arrival_us``.
 def _place(ord_) -> tuple[int, ...]:
     """A row's place in the total order, as numbers that compare."""
@@ -22,6 +26,21 @@ def _in_order(rows) -> list:
     return sorted(rows, key=lambda r: (r.arrival_us, _place(r.ord)))
 
 
+def _times_and_services(frames: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, list]:
+    """arrival_us of rows in order, the number of each one's service, and the services; of a row a few numbers are held, as
+    a key may have all rows of a micro-batch.  ``ord`` is of whole numbers."""
+    times, places, numbers, services = [], [], [], {}
+    for f in frames:
+        codes, names = pd.factorize(f["service"], use_na_sentinel=False)
+        known = np.array([services.setdefault(x if isinstance(x, str) else None, len(services)) for x in names])
+        numbers.append(known[codes])
+        times.append(f["arrival_us"].to_numpy(np.int64))
+        places.append(np.array([_place(x) for x in f["ord"].tolist()], dtype=np.int64))
+    times, numbers, places = np.concatenate(times), np.concatenate(numbers), np.concatenate(places)
+    order = np.lexsort([*places.T[::-1], times])
+    return times[order], numbers[order], list(services)
+
+
 def _utc(us: int) -> datetime.datetime:
     return datetime.datetime.fromtimestamp(us / 1e6, datetime.timezone.utc).replace(tzinfo=None)
 
@@ -120,7 +139,7 @@ class FloodCount(StatefulProcessor):
     """Gives a row when a template has its ``threshold``-th record in an anchored window of ``length_ms``.
 
     State is one pair of numbers for each open window; it goes when the watermark has passed the window's end, after which
-    any record opens another.
+    any record opens another.  A key's records come as frames of bounded size, of which only numbers are held.
     """
 
     def __init__(self, length_ms: int = 60_000, threshold: int = 1000):
@@ -130,18 +149,24 @@ class FloodCount(StatefulProcessor):
         self.handle = handle
         self.count = handle.getValueState("count", "start_us long, n long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = before = self.count.get()
-        for r in _in_order(rows):
-            if held is None or r.arrival_us - held[0] >= self.length_ms * 1000:
-                held = (r.arrival_us, 0)
-            held = (held[0], held[1] + 1)
-            if held[1] == self.threshold:
-                yield Row(hash=key[0], window_start=_utc(held[0]), service=r.service, at=_utc(r.arrival_us))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.count.get()
+        times, numbers, services = _times_and_services(rows)
+        windows = starts(times, self.length_ms * 1000, None if before is None else before[0])
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(windows)) + 1, [len(windows)]])
+        past = np.zeros(len(edges) - 1, dtype=np.int64)
+        if before is not None and windows[0] == before[0]:
+            past[0] = before[1]
+        filled = edges[:-1] + self.threshold - past - 1
+        filled = filled[(past < self.threshold) & (filled < edges[1:])]
+        start, at = (pd.to_datetime(x[filled], unit="us", utc=True) for x in (windows, times))
+        service = np.array([*services, None], dtype=object)[numbers[filled]]
+        yield pd.DataFrame({"hash": np.full(len(filled), key[0], dtype=object), "window_start": start, "service": service, "at": at}).astype({"hash": object, "service": object})
+        held = int(windows[-1]), int(edges[-1] - edges[-2] + past[-1])
         self.count.update(held)
         _moved(self.handle, None if before is None else self._due(before[0]), self._due(held[0]))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.count.exists() and self._due(self.count.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
             self.count.clear()
         return iter(())
@@ -330,7 +355,7 @@ def traces(facts: DataFrame, length_ms: int = 10_000, *, processing: bool = Fals
 
 def floods(logs: DataFrame, length_ms: int = 60_000, threshold: int = 1000) -> DataFrame:
     """Flood events of a stream of (hash, service, arrival_us, ord, arrival_ts) with a watermark on arrival_ts."""
-    return logs.groupBy("hash").transformWithState(FloodCount(length_ms, threshold), FLOOD_COLUMNS, "append", "eventTime")
+    return logs.groupBy("hash").transformWithStateInPandas(FloodCount(length_ms, threshold), FLOOD_COLUMNS, "append", "eventTime")
 
 
 def distinct_values(attrs: DataFrame, cap: int = 10_000) -> DataFrame:

@@ -2,9 +2,13 @@ from __future__ import annotations
 
 import datetime
 import json
+import random
 import time
+import tracemalloc
 
+import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from telespark.config import JobConfig
@@ -302,3 +306,63 @@ def test_states_of_traces_and_nonces_are_rows_of_buckets(spark, tmp_path, states
     jobs.appended(processors.traces(late), str(tmp_path / "out"), str(tmp_path / "c"), trigger=ONCE).awaitTermination()
     got = spark.read.schema(processors.TRACE_COLUMNS).parquet(str(tmp_path / "out"))
     assert got.count() == got.select("trace_id").distinct().count() == 2000 and got.where("spans <> 1 or service <> 'a'").isEmpty()
+
+
+class _Held:
+    """Stands in for a handle and the one value that a processor keeps by it."""
+
+    def __init__(self):
+        self.value = None
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        pass
+
+    deleteTimer = registerTimer
+
+
+def _flood_count(length_ms, threshold):
+    counter = processors.FloodCount(length_ms, threshold)
+    counter.init(_Held())
+    return counter
+
+
+def test_a_flood_s_records_are_held_as_numbers():
+    counter, n = _flood_count(1000, 3), 200_000
+    parts = (range(k, k + 10_000) for k in reversed(range(0, n, 10_000)))
+    rows = (pd.DataFrame({"hash": "h", "service": [f"s{k % 5}" for k in p], "arrival_us": [k * 400_000 for k in p], "ord": list(p)}) for p in parts)
+    tracemalloc.start()
+    try:
+        found = sum(len(f) for f in counter.handleInputRows(("h",), rows, None))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == n // 3
+    assert most < 120 * n, "rows take more than that"
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_floods_of_micro_batches_are_those_of_one_record_after_another(wide):
+    dealt = random.Random(5)
+    for length_ms, threshold in ((10, 1), (10, 3), (40, 4)):
+        counter, held, found, wanted = _flood_count(length_ms, threshold), None, [], []
+        for batch in range(12):
+            rows = [Row(service=dealt.choice(["a", "b", None]), arrival_us=1000 * (20 * batch + dealt.randrange(-9, 30)), ord=(k % 3, k) if wide else k) for k in dealt.sample(range(40), dealt.randrange(1, 12))]
+            frames = (pd.DataFrame([r.asDict() for r in rows[k : k + 4]]) for k in range(0, len(rows), 4))
+            found += [tuple(r) for f in counter.handleInputRows(("h",), frames, None) for r in f[["window_start", "service", "at"]].itertuples(index=False)]
+            for r in sorted(rows, key=lambda r: (r.arrival_us, r.ord)):
+                if held is None or r.arrival_us - held[0] >= length_ms * 1000:
+                    held = r.arrival_us, 0
+                held = held[0], held[1] + 1
+                if held[1] == threshold:
+                    wanted.append((held[0], r.service, r.arrival_us))
+            assert counter.count.get() == held
+        assert [(start.value // 1000, service, at.value // 1000) for start, service, at in found] == wanted and wanted
