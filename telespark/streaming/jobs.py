@@ -7,7 +7,7 @@ is a small table that each micro-batch writes anew, in one of a few folders in t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,8 @@ STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark
 Put = Callable[[DataFrame, int], None]
 #: Folders that take turns for what each micro-batch replaces.
 SLOTS = 3
+#: What ``log_templates`` writes.
+LOG_TABLES = ("occurrences", "floods", "overflow")
 
 
 def _each(stream: DataFrame, put: Put, checkpoint: str, trigger: dict | None, mode: str = "append") -> StreamingQuery:
@@ -195,10 +197,11 @@ def kept_live(spans: DataFrame, decisions: DataFrame, length: str = "10 seconds"
     return s.join(d, inside).drop("_trace")
 
 
-def log_templates(logs: DataFrame, target: str, checkpoint: str, *, least: int = 100, window_us: int = 60_000_000, threshold: int = 1000, cap: int = logdedup.CAP, trigger: dict | None = None) -> StreamingQuery:
+def log_templates(logs: DataFrame, target: str, checkpoint: str, *, least: int = 100, window_us: int = 60_000_000, threshold: int = 1000, cap: int = logdedup.CAP, tables: Collection[str] = LOG_TABLES, trigger: dict | None = None) -> StreamingQuery:
     """Occurrences and floods of a stream of flattened log records: ``target``/occurrences has the growth of each series,
     back-filled when a template has its ``least``-th record, ``target``/floods an event for each window that fills up, and
-    ``target``/overflow how many records of each batch belong to no admitted template.
+    ``target``/overflow how many records of each batch belong to no admitted template.  Only those of these ``tables`` that
+    are named are worked out; a job that is started again has to name the same.
 
     Each micro-batch is handled by the batch operators, which split hot templates.  What lasts is a table of one row for each
     of the at most ``cap`` admitted templates: how many records it has had, and its last window.  Sessions need
@@ -208,7 +211,7 @@ def log_templates(logs: DataFrame, target: str, checkpoint: str, *, least: int =
 
     def put(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        rows = logdedup.fingerprinted(df).withColumn("key", F.xxhash64("template")).persist()
+        rows = logdedup.fingerprinted(df).select("service", "severity", "ts", "ord", "template", F.xxhash64("template").alias("key")).persist()
         try:
             step(spark, rows, batch)
         finally:
@@ -216,20 +219,24 @@ def log_templates(logs: DataFrame, target: str, checkpoint: str, *, least: int =
 
     def step(spark: SparkSession, rows: DataFrame, batch: int) -> None:
         before = held.before(spark, batch).persist()
-        found = logdedup.hashes(rows)
+        found = logdedup.hashes(rows).persist()  # read by all that follows
         new = found.groupBy("hash").agg(F.min("first_ord").alias("first_ord")).join(F.broadcast(before), "hash", "left_anti")
         new = new.orderBy("first_ord", "hash").limit(max(0, cap - before.count())).select("hash")
         known = before.select("hash").unionByName(new)
         records = rows.join(F.broadcast(found.join(F.broadcast(known), "hash", "left_semi").select("key", "hash")), "key").select("hash", "service", "severity", "ts", "ord").persist()
-        logdedup.occurrences_of(records, least, before.select("hash", F.col("total").alias("n"))).write.mode("overwrite").parquet(f"{target}/occurrences/batch={batch}")
-        floods, last = logdedup.flood_events(records, window_us, threshold, before.where(F.col("ts").isNotNull()).select("hash", "ts", "n"))
-        floods.write.mode("overwrite").parquet(f"{target}/floods/batch={batch}")
-        dropped = rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(records.agg(F.count(F.lit(1)).alias("m"))).select((F.col("n") - F.col("m")).alias("overflow"))
-        dropped.write.mode("overwrite").parquet(f"{target}/overflow/batch={batch}")
         total = before.select("hash", "total").unionByName(records.groupBy("hash").agg(F.count(F.lit(1)).alias("total"))).groupBy("hash").agg(F.sum("total").alias("total"))
+        last = before.select("hash", "ts", "n").limit(0)
+        if "occurrences" in tables:
+            logdedup.occurrences_of(records, least, before.select("hash", F.col("total").alias("n"))).write.mode("overwrite").parquet(f"{target}/occurrences/batch={batch}")
+        if "floods" in tables:
+            floods, last = logdedup.flood_events(records, window_us, threshold, before.where(F.col("ts").isNotNull()).select("hash", "ts", "n"))
+            floods.write.mode("overwrite").parquet(f"{target}/floods/batch={batch}")
+        if "overflow" in tables:
+            dropped = rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(records.agg(F.count(F.lit(1)).alias("m"))).select((F.col("n") - F.col("m")).alias("overflow"))
+            dropped.write.mode("overwrite").parquet(f"{target}/overflow/batch={batch}")
         held.write(total.join(last, "hash", "left").select("hash", "total", "ts", "n"), batch)
-        records.unpersist()
-        before.unpersist()
+        for held_back in (records, found, before):
+            held_back.unpersist()
 
     return _each(logs, put, checkpoint, trigger)
 
@@ -311,11 +318,11 @@ def start_tail(payloads: DataFrame, target: str, checkpoint: str, *, config: Job
     return decided(processors.traces(timed, length_ms, processing=processing), target, checkpoint, max_services=config.max_services, trigger=trigger or {"processingTime": config.trigger})
 
 
-def start_logs(payloads: DataFrame, target: str, checkpoint: str, *, config: JobConfig = JobConfig(), wire: bool = True, trigger: dict | None = None, **rules: int) -> StreamingQuery:
+def start_logs(payloads: DataFrame, target: str, checkpoint: str, *, config: JobConfig = JobConfig(), wire: bool = True, tables: Collection[str] = LOG_TABLES, trigger: dict | None = None, **rules: int) -> StreamingQuery:
     """``log_templates`` on a stream of payloads, with its least, window_us and threshold as ``rules``."""
     logs = flatten.flatten_logs(observed((decode_otlp_proto if wire else decode_json)(payloads, "logs", config.malformed)))
     slim = logs.select("service", "severity", "body", "body_bytes", "ts", "ord")
-    return log_templates(slim, target, checkpoint, cap=config.max_templates, trigger=trigger or {"processingTime": config.trigger}, **rules)
+    return log_templates(slim, target, checkpoint, cap=config.max_templates, tables=tables, trigger=trigger or {"processingTime": config.trigger}, **rules)
 
 
 def start_cardinality(payloads: DataFrame, target: str, checkpoint: str, *, config: JobConfig = JobConfig(), cap: int = 10_000, wire: bool = True, trigger: dict | None = None) -> StreamingQuery:

@@ -366,3 +366,21 @@ def test_floods_of_micro_batches_are_those_of_one_record_after_another(wide):
                     wanted.append((held[0], r.service, r.arrival_us))
             assert counter.count.get() == held
         assert [(start.value // 1000, service, at.value // 1000) for start, service, at in found] == wanted and wanted
+
+
+def test_log_templates_work_out_only_the_tables_that_are_named(spark, tmp_path, monkeypatch):
+    from telespark.operators import logdedup
+
+    stream = lambda: spark.readStream.schema(PAYLOADS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for batch in range(2):
+        rows = [(json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [{"severityText": "INFO", "body": {"stringValue": f"t{'ab'[k % 2]} {k}"}}]}]}]}), 10 * batch + k, NOW) for k in range(7)]
+        stream_of(spark, tmp_path / "in", rows, PAYLOADS)
+    rules = {"wire": False, "least": 3, "window_us": 10_000_000, "threshold": 3, "trigger": ONCE}
+    jobs.start_logs(stream(), str(tmp_path / "all"), str(tmp_path / "c0"), **rules).awaitTermination()
+    for n, (table, other) in enumerate([("floods", "occurrences_of"), ("occurrences", "flood_events")]):
+        with monkeypatch.context() as m:
+            m.setattr(logdedup, other, None)
+            jobs.start_logs(stream(), str(tmp_path / table), str(tmp_path / f"c{n + 1}"), tables=[table], **rules).awaitTermination()
+        read = lambda job: sorted(map(str, spark.read.parquet(str(tmp_path / job / table)).collect()))  # noqa: E731, B023
+        assert read(table) == read("all") and read(table)
+        assert {f.name for f in (tmp_path / table).iterdir()} == {table, "templates"}
