@@ -59,22 +59,23 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
     return out
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_rows: int = 2048, linear: float = 1.0, quadratic: float = 1 / 2048, added_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_rows: int = 2048, linear: float = 1.0, quadratic: float = 1 / 2048, added_tokens: bool = False, kept: int = KEPT) -> DataFrame:
     """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 16 bits).
 
     Needs columns doc_id and text.  A document's ids are its text's and ``end_id``, which is all that a null or empty text
     has; equal doc_ids stay apart, as each row is a document.  Every id lies in exactly one piece, and the pieces of a
-    sequence leave no gap.  A vocabulary whose ids don't fit in 16 bits is an error.
+    sequence leave no gap.  A vocabulary whose ids don't fit in 16 bits is an error.  ``kept``: of how many units of text a
+    worker keeps the ids.
     """
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens.check_ids(tokenizer, 16, KEPT)
+        tokens.check_ids(tokenizer, 16, kept)
         for b in batches:
             names = b.column("doc_id")
             for at, texts in blocks(b.column("text")):
                 rows: list[tuple[int, int, int, bytes]] = []
-                for k, ids in enumerate(tokens.encode(texts, tokenizer, added_tokens=added_tokens, kept=KEPT)):
+                for k, ids in enumerate(tokens.encode(texts, tokenizer, added_tokens=added_tokens, kept=kept)):
                     short = np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes() + end
                     n = len(short) // 2
                     rows += [(at + k, s, n, short[2 * s : 2 * (s + capacity)]) for s in range(0, n, capacity)]
@@ -107,5 +108,16 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 20
 
 def digest(pieces: DataFrame) -> DataFrame:
     """Replaces ids by ids_crc32, the checksum of the ids as little-endian unsigned 32-bit integers."""
-    wide = F.unhex(F.regexp_replace(F.hex("ids"), "(.{4})", "$10000"))  # two zero bytes after each two; there is no group 10
-    return pieces.select("doc_id", "start", "length", F.crc32(wide).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            ids = b.column("ids").to_pylist()
+            wide = memoryview(np.frombuffer(b"".join(ids), dtype="<u2").astype("<u4")).cast("B")
+            ends = np.cumsum([2 * len(x) for x in ids], dtype=np.int64).tolist()
+            crcs = pa.array([tokens.crc(wide[i:j]) for i, j in zip([0, *ends], ends)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in before), crcs, *(b.column(c) for c in behind)], [*before, "ids_crc32", *behind])
+
+    before, behind = ("doc_id", "start", "length"), ("doc_tokens", "sequence_id", "offset")
+    return small_batches(pieces).mapInArrow(summed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

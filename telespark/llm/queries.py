@@ -109,7 +109,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     table gives no rows.
     """
     docs = table(spark, sf_dir, "documents")
-    return packing.digest(packing.pack(docs, tokenizer=tokens.default_tokenizer(), added_tokens=True))
+    return packing.digest(packing.pack(docs, tokenizer=tokens.default_tokenizer(), added_tokens=True, kept=tokens.KEPT))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

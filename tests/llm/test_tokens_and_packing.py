@@ -209,3 +209,11 @@ def test_costs_are_balanced():
         cost[to] += n + n * n / 2048
     c = np.array(list(cost.values()))
     assert c.std() / c.mean() < 0.15
+
+
+def test_checksums_of_pieces_are_those_of_32_bit_ids(spark):
+    ids = [[0, 1, 65535], [50256] * 2048, [7]]
+    rows = [(k, 0, len(x), len(x), k, 0, bytearray(np.array(x, dtype="<u2").tobytes())) for k, x in enumerate(ids)]
+    found = packing.digest(spark.createDataFrame(rows, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"))
+    assert {r["doc_id"]: r["ids_crc32"] for r in found.collect()} == {k: zlib.crc32(np.array(x, dtype="<u4").tobytes()) for k, x in enumerate(ids)}
+    assert "regexp_replace" not in found._jdf.queryExecution().toString(), "pieces aren't spelled out as text"
