@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telespark.llm import tokens
-from telespark.llm.common import blocks, saved, small_batches
+from telespark.llm.common import blocks, saved, small_batches, take_over
 
 #: Of how many units of text a worker keeps the ids: fewer than for token tables, as it also holds pieces.
 KEPT = 150_000
@@ -66,6 +66,9 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 20
     has; equal doc_ids stay apart, as each row is a document.  Every id lies in exactly one piece, and the pieces of a
     sequence leave no gap.  A vocabulary whose ids don't fit in 16 bits is an error.  ``kept``: of how many units of text a
     worker keeps the ids.
+
+    The packed pieces are saved: a task that packed them and passed them on to a caller's Python step would hold two
+    workers at once, and an executor keeps as many workers as its tasks ever held.
     """
     end = np.array([end_id], dtype="<u2").tobytes()
 
@@ -91,6 +94,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 20
     groups = max(1, -(-rest.count() // group_rows))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        take_over("packing", lambda: None)
         pdf = pdf.sort_values("rid")
         ids = pdf["ids"].to_list()
         rows = assign(pdf["length"].to_numpy(), capacity, linear, quadratic)
@@ -103,7 +107,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 20
         return out[["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]]
 
     dealt = rest.withColumn("g", F.pmod(F.xxhash64("rid"), F.lit(groups)))
-    return whole.unionByName(dealt.groupBy("g").applyInPandas(packed, _PIECES))
+    return whole.unionByName(saved(dealt.groupBy("g").applyInPandas(packed, _PIECES), "packed"))
 
 
 def digest(pieces: DataFrame) -> DataFrame:

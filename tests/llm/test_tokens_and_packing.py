@@ -217,3 +217,9 @@ def test_checksums_of_pieces_are_those_of_32_bit_ids(spark):
     found = packing.digest(spark.createDataFrame(rows, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"))
     assert {r["doc_id"]: r["ids_crc32"] for r in found.collect()} == {k: zlib.crc32(np.array(x, dtype="<u4").tobytes()) for k, x in enumerate(ids)}
     assert "regexp_replace" not in found._jdf.queryExecution().toString(), "pieces aren't spelled out as text"
+
+
+def test_packing_and_checksums_are_never_one_task(spark):
+    """Such a task holds two Python workers at once, and an executor then keeps twice as many workers as it has cores."""
+    plan = packing.digest(packing.pack(frame(spark), tokenizer=PATH))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
